@@ -1,7 +1,6 @@
 """Text forms as Column expressions.
 
-Java's ``\\s`` is ASCII only, so white space is spelled out. The same pattern text also runs in
-RE2, which lets the SQL statements of the queries share it.
+Java's ``\\s`` is ASCII only unless flagged; ``SPACE`` follows the Unicode white space rules.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from pyspark.sql.types import StringType
 
 # --- fixed values --------------------------------------------------------------------------
 
-SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SPACE_IN_LINE = r"[ \t\x{b}\x{c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE = r"(?U:[\s\x1c-\x1f])"
+SPACE_IN_LINE = r"(?U:[\s\x1c-\x1f&&[^\n]])"
 ZERO_WIDTH = r"[\x{200b}-\x{200d}\x{feff}]"
 NOT_WORD = r"[^\p{L}\p{N}_\s-]"
 

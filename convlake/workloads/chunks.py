@@ -10,7 +10,11 @@ from convlake.sources import entities as E
 from convlake.sources import records as R
 from convlake.workloads.registry import Tables, query
 
-TOKS = f"list_filter(string_split_regex(text, '{T.SPACE}+'), lambda x: x <> '')"
+# the white space classes as RE2 spells them
+SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_IN_LINE = r"[ \t\x{b}\x{c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+TOKS = f"list_filter(string_split_regex(text, '{SPACE}+'), lambda x: x <> '')"
 DOC_TOKENS = f"""
 toks AS (SELECT doc_id, lang, source, text, {TOKS} AS tk FROM documents),
 wins AS (
@@ -305,7 +309,7 @@ def _(t):
 
 # --- text forms ----------------------------------------------------------------------------------
 
-CANON = rf"trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '{T.NOT_WORD}', ' ', 'g'), '{T.SPACE}+', ' ', 'g'))"
+CANON = rf"trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '{T.NOT_WORD}', ' ', 'g'), '{SPACE}+', ' ', 'g'))"
 
 
 @query("h1_canonicalize_text", f"SELECT doc_id, md5({CANON}) AS m FROM documents")
@@ -329,8 +333,8 @@ def _(t):
 
 
 NT = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  text, '\r\n?', chr(10), 'g'), '{T.ZERO_WIDTH}', '', 'g'), '{T.SPACE_IN_LINE}+', ' ', 'g'), ' ?\n ?', chr(10), 'g'),
-  '\n{{3,}}', chr(10) || chr(10), 'g'), '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"""
+  text, '\r\n?', chr(10), 'g'), '{T.ZERO_WIDTH}', '', 'g'), '{SPACE_IN_LINE}+', ' ', 'g'), ' ?\n ?', chr(10), 'g'),
+  '\n{{3,}}', chr(10) || chr(10), 'g'), '^{SPACE}+|{SPACE}+$', '', 'g')"""
 
 
 @query("h4_normalise_text", f"SELECT doc_id, md5({NT}) AS m FROM documents")
@@ -387,7 +391,7 @@ def _(t):
 
 
 @query("h34_speakable_text", f"""
-SELECT page_id, md5(replace(translate(regexp_replace(html, '^{T.SPACE}+|{T.SPACE}+$', '', 'g'), '“”‘’*_`', '""'''''), ' : ', ' ')) AS m FROM pages""")
+SELECT page_id, md5(replace(translate(regexp_replace(html, '^{SPACE}+|{SPACE}+$', '', 'g'), '“”‘’*_`', '""'''''), ' : ', ' ')) AS m FROM pages""")
 def _(t):
     return t.pages.select("page_id", F.md5(T.speakable_text(F.col("html"))).alias("m"))
 
@@ -397,7 +401,7 @@ for _d, _w in enumerate(T.DIGIT_WORDS):
     SPOKEN = f"regexp_replace({SPOKEN}, '\\b{_d}\\b', '{_w}', 'g')"
 
 
-@query("h35_spoken_normal_form", f"SELECT doc_id, md5(trim(regexp_replace({SPOKEN}, '{T.SPACE}+', ' ', 'g'))) AS m FROM documents")
+@query("h35_spoken_normal_form", f"SELECT doc_id, md5(trim(regexp_replace({SPOKEN}, '{SPACE}+', ' ', 'g'))) AS m FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.md5(T.spoken_normal_form(F.col("text"))).alias("m"))
 
