@@ -44,8 +44,8 @@ bon AS (SELECT *, {FIELD.format(l="vlabel")} AS source_field,
      WHEN 2 THEN CASE vlabel % 5 WHEN 2 THEN 0.2 + 0.8 ELSE 0 END
      WHEN 3 THEN CASE vlabel % 5 WHEN 3 THEN 0.7 WHEN 4 THEN -0.35 ELSE 0 END
      ELSE CASE vlabel % 5 WHEN 4 THEN 0.5 ELSE 0 END END AS bonus FROM pool),
-rer AS (SELECT query_id, vec_id, qlabel, vlabel, source_field, score AS dense_score, CAST(bonus AS DOUBLE) AS intent_bonus, score + bonus AS score,
-   row_number() OVER (PARTITION BY query_id ORDER BY score + bonus DESC, score DESC, vec_id) AS rank FROM bon QUALIFY rank <= 5),
+rer AS (SELECT query_id, vec_id, qlabel, vlabel, source_field, score AS dense_score, CAST(bonus AS DOUBLE) AS intent_bonus, score + bonus AS score, new_rank AS rank FROM
+   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score + bonus DESC, score DESC, vec_id) AS new_rank FROM bon) WHERE new_rank <= 5),
 res AS (SELECT 'raw' AS technique, query_id, vec_id, qlabel, vlabel, source_field, rank FROM bon WHERE rank <= 5
         UNION ALL SELECT 'rerank', query_id, vec_id, qlabel, vlabel, source_field, rank FROM rer)
 """
