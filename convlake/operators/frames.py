@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.plans import slices as S
-from convlake.plans.quantiles import exact_quantiles
 
 SYSTEM_END_ID, USER_END_ID, SYSTEM_ID, USER_ID = 0, 1, 2, 3
 PIECE = 4096
@@ -28,23 +27,23 @@ def horizon_frames(ms: int, freq: float) -> int:
 
 
 def with_runs(frames: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
-    """Add ``run_start``, ``run_end``, ``next_label`` and ``prev_label`` of the run of a frame."""
-    at = S.by_index("idx")
-    c = F.col(label)
-    df = S.scan(frames, keys, ["idx"], at, [S.Lag("_prev", F.struct(c.alias("l"))), S.Lead("_next", F.struct(c.alias("l")))])
-    first = F.col("_prev").isNull() | ~F.col("_prev.l").eqNullSafe(c)
-    last = F.col("_next").isNull() | ~F.col("_next.l").eqNullSafe(c)
-    df = df.withColumn("_first", first).withColumn("_last", last)
+    """Add the run of each frame: ``run_start``, ``run_end``, ``prev_label``, ``next_label``.
+
+    ``prev_start`` is the start of the run before, on the first frame of a run only.
+    """
+    c = F.struct(F.col(label).alias("l"))
+    df = S.neighbours(frames, keys, "idx", [S.Lag("_prev", c), S.Lead("_next", c)])
+    first = F.col("_prev").isNull() | ~F.col("_prev.l").eqNullSafe(F.col(label))
+    last = F.col("_next").isNull() | ~F.col("_next.l").eqNullSafe(F.col(label))
+    begin = F.when(first, F.struct(F.col("idx").alias("i"), F.col("_prev.l").alias("l")))
+    end = F.when(last, F.struct(F.col("idx").alias("i"), F.col("_next.l").alias("l")))
     df = S.scan(
-        df, keys, ["idx"], at,
-        [
-            S.LastValid("_rs", F.when(F.col("_first"), F.struct(F.col("idx").alias("i"), F.col("_prev.l").alias("l")))),
-            S.NextValid("_re", F.when(F.col("_last"), F.struct(F.col("idx").alias("i"), F.col("_next.l").alias("l")))),
-        ],
+        df, keys, ["idx"], F.col(S.SLICE),
+        [S.LastValid("_rs", begin), S.NextValid("_re", end), S.LastValid("prev_start", begin["i"], inclusive=False)],
     )
     return df.select(
         *frames.columns, F.col("_rs.i").alias("run_start"), F.col("_re.i").alias("run_end"),
-        F.col("_rs.l").alias("prev_label"), F.col("_re.l").alias("next_label"),
+        F.col("_rs.l").alias("prev_label"), F.col("_re.l").alias("next_label"), "prev_start",
     )
 
 
@@ -61,13 +60,12 @@ def min_turn_filter(runs: DataFrame, freq: float, min_s: float) -> DataFrame:
 def forecast_labels(frames: DataFrame, keys: Sequence[str], horizons: Sequence[int], min_len: int = 1) -> DataFrame:
     """Targets (keys, idx, horizon, target): the last ``h`` user frames before a user end and the
     end frame itself are 1, if the turn has at least max(min_len, h) user frames."""
-    df = with_runs(frames, keys)
-    df = S.scan(df, keys, ["idx"], S.by_index("idx"), [S.Lag("_prev_start", F.col("run_start"))])
+    df = with_runs(frames.select(*keys, "idx", "label"), keys)
     h = F.col("horizon")
     df = df.withColumn("horizon", F.explode(F.array(*[F.lit(x) for x in horizons])))
     need = F.greatest(h, F.lit(min_len))
     in_turn = (F.col("label") == USER_ID) & (F.col("next_label") == USER_END_ID) & (F.col("run_end") + 1 - F.col("idx") <= h) & (F.col("run_end") - F.col("run_start") + 1 >= need)
-    at_end = (F.col("label") == USER_END_ID) & (F.col("prev_label") == USER_ID) & (F.col("idx") == F.col("run_start")) & (F.col("idx") - F.col("_prev_start") >= need)
+    at_end = (F.col("label") == USER_END_ID) & (F.col("prev_label") == USER_ID) & (F.col("idx") == F.col("run_start")) & (F.col("idx") - F.col("prev_start") >= need)
     return df.select(*keys, "idx", "horizon", F.coalesce(in_turn | at_end, F.lit(False)).cast("int").alias("target"))
 
 
@@ -89,14 +87,13 @@ def ramp_weights(targets: DataFrame, keys: Sequence[str], max_w: float, min_w: f
 
     Later frames of a run weigh 0, frames outside runs ``rest_w``.
     """
-    at = S.by_index("idx")
     g = [*keys, "horizon"]
-    df = S.scan(targets, g, ["idx"], at, [S.Lag("_y", F.col("target"))])
-    start = F.when((F.col("target") == 1) & (F.coalesce("_y", F.lit(0)) != 1), F.col("idx"))
-    df = S.scan(df.withColumn("_s", start), g, ["idx"], at, [S.LastValid("_start", F.col("_s"))])
+    df = S.neighbours(targets, g, "idx", [S.Lag("_y", F.col("target"), F.lit(0))])
+    start = F.when((F.col("target") == 1) & (F.col("_y") != 1), F.col("idx"))
+    df = S.scan(df, g, ["idx"], F.col(S.SLICE), [S.LastValid("_start", start)])
     pos, h = F.col("idx") - F.col("_start"), F.col("horizon")
     ramp = F.when(pos >= h, 0.0).otherwise(max_w - (max_w - min_w) * pos / F.greatest(h - 1, F.lit(1)))
-    return df.withColumn("weight", F.when(F.col("target") == 1, ramp).otherwise(rest_w)).drop("_y", "_s", "_start")
+    return df.withColumn("weight", F.when(F.col("target") == 1, ramp).otherwise(rest_w)).drop("_y", "_start")
 
 
 def near_positive_mask(targets: DataFrame, keys: Sequence[str], w: int) -> DataFrame:
@@ -227,16 +224,16 @@ def turn_metrics(scored: DataFrame, keys: Sequence[str], grid: Sequence[float],
 
 def forecast_metrics(per_turn: DataFrame, freq: float, collar: int = 1) -> DataFrame:
     """Report row per (threshold, horizon)."""
-    keys = ["th_idx", "horizon"]
-    base = per_turn.groupBy(*keys).agg(
+    # leads are whole frames up to the horizon and early counts small integers, so the exact
+    # percentile keeps few distinct values per group and everything is one aggregation
+    lead_s = F.round(F.col("lead") / freq, 4)
+    return per_turn.groupBy("th_idx", "horizon").agg(
         F.count(F.lit(1)).alias("turns"), (F.avg((F.col("early") > 0).cast("double")) * 100).alias("premature_pct"),
-        F.round(F.avg("early"), 4).alias("early_mean"), F.round(F.avg("early_share"), 4).alias("early_share_mean"),
+        F.round(F.avg("early"), 4).alias("early_mean"), F.percentile("early", F.lit(0.5)).alias("early_median"),
+        F.round(F.avg("early_share"), 4).alias("early_share_mean"),
+        F.round(F.percentile(lead_s, F.lit(0.5)) * 1000).alias("lead_median_ms"),
         F.round(F.avg((F.col("lead") >= F.col("horizon") - collar).cast("double")), 2).alias("entry_accuracy"),
     )
-    early = exact_quantiles(per_turn, keys, "early", {"early_median": 0.5})
-    lead = exact_quantiles(per_turn.withColumn("lead_s", F.round(F.col("lead") / freq, 4)), keys, "lead_s", {"lead_s": 0.5})
-    lead = lead.select(*keys, F.round(F.col("lead_s") * 1000).alias("lead_median_ms"))
-    return base.join(early, keys).join(lead, keys)
 
 
 def operating_point(metrics: DataFrame, curve: Sequence[str], metric: str, target: float) -> DataFrame:
@@ -269,13 +266,18 @@ def endpoint_latency(frames: DataFrame, keys: Sequence[str], grid: Sequence[floa
 
 def endpoint_metrics(latencies: DataFrame, freq: float, key: str = "th_idx", value: str = "latency") -> DataFrame:
     """Per threshold: % negative; median and p90 (ms) over the non-negative and over all."""
+    # latencies are whole frames between a turn length and the bound: few distinct values
     ms = 1000 / freq
-    share = latencies.groupBy(key).agg((F.avg((F.col(value) < 0).cast("double")) * 100).alias("cutoff_pct"))
-    every = exact_quantiles(latencies, [key], value, {"all_median": 0.5, "all_p90": 0.9})
-    late = exact_quantiles(latencies.filter(F.col(value) >= 0), [key], value, {"positive_median": 0.5, "positive_p90": 0.9})
-    out = share.join(every, key).join(late, key, "left")
-    names = ["positive_median", "positive_p90", "all_median", "all_p90"]
-    return out.select(key, "cutoff_pct", *[(F.col(n) * ms).alias(f"{n}_ms") for n in names])
+    late = F.when(F.col(value) >= 0, F.col(value))
+
+    def at(c: Column, q: float) -> Column:
+        return F.percentile(c, F.lit(q)) * ms
+
+    return latencies.groupBy(key).agg(
+        (F.avg((F.col(value) < 0).cast("double")) * 100).alias("cutoff_pct"),
+        at(late, 0.5).alias("positive_median_ms"), at(late, 0.9).alias("positive_p90_ms"),
+        at(F.col(value), 0.5).alias("all_median_ms"), at(F.col(value), 0.9).alias("all_p90_ms"),
+    )
 
 
 def crossings(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_expr: Column, value: str, threshold: float) -> DataFrame:

@@ -100,7 +100,8 @@ def scan(
     ``order`` must be unique within a group and ``slice_expr`` must not decrease along it.
     """
     keys, order = list(keys), list(order)
-    df = df.withColumn(SLICE, slice_expr)
+    if SLICE not in df.columns:
+        df = df.withColumn(SLICE, slice_expr)
     for i, s in enumerate(specs):
         df = df.withColumn(f"_x{i}", s.expr)
 
@@ -172,6 +173,26 @@ def scan(
     return joined.select(*out)
 
 
+def neighbours(
+    df: DataFrame, keys: Sequence[str], idx: str, specs: Sequence[Lag | Lead], rows: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """``Lag``/``Lead`` over a dense integer ``idx``: one shuffle and no join.
+
+    With a dense index the neighbour of a border row is known to lie in the next slice, so border
+    rows are copied there. The column ``_slice`` stays, and with it the partitioning.
+    """
+    own, i = F.floor(F.col(idx) / rows).cast("long"), F.pmod(F.col(idx), F.lit(rows))
+    homes = F.array_compact(F.array(own, F.when(i == rows - 1, own + 1), F.when(i == 0, own - 1)))
+    df = df.withColumn("_own", own).withColumn(SLICE, F.explode(homes))
+    w = Window.partitionBy(*keys, SLICE).orderBy(idx)
+    cols = []
+    for s in specs:
+        found = (F.lag if isinstance(s, Lag) else F.lead)(F.struct(s.expr.alias("v"))).over(w)
+        value = found["v"]
+        cols.append((value if s.default is None else F.when(found.isNull(), s.default).otherwise(value)).alias(s.out))
+    return df.select("*", *cols).filter(F.col("_own") == F.col(SLICE)).drop("_own")
+
+
 def row_index(df: DataFrame, keys, order, slice_expr: Column, out: str) -> DataFrame:
     """Dense 0-based position of each row in its group."""
     indexed = scan(df, keys, order, slice_expr, [RunSum(out, F.lit(1).cast("long"))])

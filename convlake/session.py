@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -57,3 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a result that several consumers read, through the shared folder."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convlake.operators import frames as FR
 from convlake.operators import turns as U
 from convlake.plans import slices as S
+from convlake.session import staged
 from convlake.workloads import views as VW
 from convlake.workloads.registry import Tables, query
 from convlake.workloads.turns import FR as TURN_FRAMES
@@ -152,7 +153,7 @@ def _(t):
 
 @query("u3_common_keys", f"WITH {MET} SELECT th_idx FROM met WHERE premature_pct > 5 INTERSECT SELECT th_idx FROM met WHERE lead_median_ms > 0 INTERSECT SELECT th_idx FROM met WHERE entry_accuracy > 0.2")
 def _(t):
-    m = metrics(t)
+    m = staged(metrics(t))
     return FR.common_keys(m.filter("premature_pct > 5").select("th_idx"), m.filter("lead_median_ms > 0").select("th_idx"), m.filter("entry_accuracy > 0.2").select("th_idx"))
 
 
@@ -160,7 +161,7 @@ def _(t):
   FROM met WINDOW w AS (PARTITION BY horizon ORDER BY th_idx))
 SELECT horizon, th_idx, CASE WHEN k IS NULL THEN last_value(k IGNORE NULLS) OVER (PARTITION BY horizon ORDER BY th_idx) END AS alias FROM ch""")
 def _(t):
-    c = FR.collapse_equal_neighbours(metrics(t), ["horizon"], "th_idx", ["lead_median_ms", "early_median"])
+    c = FR.collapse_equal_neighbours(staged(metrics(t)), ["horizon"], "th_idx", ["lead_median_ms", "early_median"])
     return c.select("horizon", "th_idx", "alias")
 
 
