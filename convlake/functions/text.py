@@ -71,7 +71,7 @@ def squeeze(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Tokens separated by Unicode white space."""
-    return F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")
+    return F.array_remove(F.split(c, f"{SPACE}+"), "")
 
 
 def truncate_tokens(c: Column, n: int) -> Column:

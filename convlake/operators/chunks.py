@@ -114,7 +114,8 @@ def build_chunks(
     df = records
     if cfg.chunk_impl != "basic" and cfg.v2_drop_noisy_fields:
         df = df.filter(~is_noisy(F.col("source_field")))
-    df = df.withColumn("_tokens", T.tokens(F.col("text")))
+    # a one-element explode pins the tokens: filter and windows below read them, not the regex
+    df = df.select("*", F.explode(F.array(T.tokens(F.col("text")))).alias("_tokens"))
     df = df.filter(F.size("_tokens") >= min_tokens(cfg, F.col("source_field")))
     df = token_windows(df, "_tokens", cfg.chunk_size, cfg.chunk_overlap)
     body = F.array_join("window", " ")

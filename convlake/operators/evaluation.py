@@ -12,7 +12,7 @@ from convlake.functions import text as T
 RATES = ["entity_hit_rate", "field_hit_rate", "answer_hit_rate", "any_hit_rate", "entity_mrr"]
 
 
-def question_hits(results: DataFrame, questions: DataFrame, ks: Sequence[int]) -> DataFrame:
+def question_hits(results: DataFrame, questions: DataFrame, ks: Sequence[int], techniques: Sequence[str]) -> DataFrame:
     """One row per (technique, question, k): hit flags and the first rank of a target entity.
 
     ``results``: technique, item_id, rank, entity_id, source_field, preview.
@@ -31,9 +31,7 @@ def question_hits(results: DataFrame, questions: DataFrame, ks: Sequence[int]) -
     first = hit.groupBy("technique", "item_id").agg(
         *[F.min(F.when(F.col(c), F.col("rank"))).alias(f"{c}_rank") for c in "efa"]
     )
-    names = results.agg(F.collect_set("technique").alias("names")).withColumn("_one", F.lit(1))
-    base = q.select("item_id", "dataset", "entity_targets", F.lit(1).alias("_one")).join(names, "_one")
-    base = base.withColumn("technique", F.explode("names")).drop("_one", "names")
+    base = q.select("item_id", "dataset", "entity_targets", F.explode(F.array(*[F.lit(x) for x in techniques])).alias("technique"))
     rows = base.join(first, ["technique", "item_id"], "left")
     rows = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
 

@@ -181,7 +181,8 @@ def turn_metrics(scored: DataFrame, keys: Sequence[str], grid: Sequence[float],
     inside = F.col("run_end") - F.col("idx") < h
     lead = F.col("run_end") - F.col("idx") + 1
     leads = F.array(*[F.max(F.when(inside & (F.col("prob") > t), lead)) for t in grid])
-    outs = F.sort_array(F.collect_list(F.when(~inside, F.struct(F.col("idx").cast("long").alias("i"), F.col("prob").alias("p")))))
+    # scores that reach no threshold cannot start a trigger
+    outs = F.sort_array(F.collect_list(F.when(~inside & (F.col("prob") > min(grid)), F.struct(F.col("idx").cast("long").alias("i"), F.col("prob").alias("p")))))
     turn = [*keys, "run_start", "run_end", "horizon"]
     df = scored.withColumn("_p", F.floor((F.col("idx") - F.col("run_start")) / piece).cast("long"))
     df = df.groupBy(*turn, "_p").agg(leads.alias("_leads"), outs.alias("_outs"))

@@ -86,27 +86,25 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(all_)
 
 
-def _short_grams(c: Column, lengths: Sequence[int]) -> Column:
-    """Distinct substrings of the given small lengths."""
-
-    def of(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1)))
-        return F.when(F.length(c) >= k, F.transform(starts, lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(k) for k in lengths]))
-
-
 def _contained(hay: DataFrame, needle: DataFrame) -> DataFrame:
     """Pairs (h, n) of distinct texts where ``h`` contains ``n``, without comparing all pairs.
 
     Every substring of a contained text occurs in the text around it, so a needle is looked up by
     one of its grams only: the one that the fewest needles share. Texts shorter than a gram are
-    looked up whole.
+    looked up whole, over the lengths that occur.
     """
     n = needle.select(F.explode(_grams(F.col("n"))).alias("g"), "n")
     rare = n.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     key = n.join(rare, "g").groupBy("n").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
-    h = hay.select("h", F.explode(F.array_union(_grams(F.col("h")), _short_grams(F.col("h"), range(1, GRAM)))).alias("g"))
+    short = needle.agg(F.collect_set(F.when(F.length("n") < GRAM, F.length("n"))).alias("_k")).withColumn("_one", F.lit(1))
+    text = F.col("h")
+
+    def of(k: Column) -> Column:
+        starts = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(text, i, k))
+
+    h = hay.select("h", F.lit(1).alias("_one")).join(short, "_one")
+    h = h.select("h", F.explode(F.array_union(_grams(text), F.flatten(F.transform("_k", of)))).alias("g"))
     return h.join(key, "g").filter(F.col("h").contains(F.col("n"))).select("h", "n").distinct()
 
 

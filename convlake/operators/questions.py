@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
+from convlake.session import staged
 from convlake.sources.entities import field
 
 # fixed values: how points are written in assessment texts
@@ -201,11 +202,17 @@ def _top(df: DataFrame, group: str, order: Sequence[Column], quota: str) -> Data
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= F.col(quota)).drop("_n")
 
 
-def _finish(picked: DataFrame, pool: DataFrame, n: int, order: Sequence[str], prefix: str) -> DataFrame:
-    """Fill up to ``n`` from the pool, put in a stable order, and number."""
-    rest = pool.join(picked.select("question"), "question", "left_anti").orderBy("_h2", "question").limit(n)
-    both = picked.withColumn("_prio", F.lit(0)).unionByName(rest.withColumn("_prio", F.lit(1)).withColumn("_quota_ord", F.lit(0)).withColumn("_h", F.col("_h2")))
-    keep = both.orderBy("_prio", "_quota_ord", "_h", "question").limit(n)
+def _finish(picked: DataFrame, pool: DataFrame, quotas: dict[str, int], n: int, order: Sequence[str], prefix: str) -> DataFrame:
+    """Fill up to ``n`` from the pool, put in a stable order, and number.
+
+    The picks are few and read twice, so they are staged. Of the pool the first n + picks rows
+    in fill order are enough, whichever of them are picked already.
+    """
+    picked = staged(picked)
+    head = pool.orderBy("_h2", "question").limit(n + sum(quotas.values()))
+    rest = head.join(picked.select("question"), "question", "left_anti")
+    rest = rest.withColumn("_prio", F.lit(1)).withColumn("_quota_ord", F.lit(0)).withColumn("_h", F.col("_h2"))
+    keep = picked.withColumn("_prio", F.lit(0)).unionByName(rest).orderBy("_prio", "_quota_ord", "_h", "question").limit(n)
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # at most n rows
     return keep.select(*[c for c in pool.columns if not c.startswith("_")], F.format_string(f"{prefix}_%03d", number).alias("id"))
 
@@ -231,7 +238,7 @@ def quota_sample(items: DataFrame, quotas: dict[str, int], n: int, seed: str, or
     """
     pool = _pool(items, seed)
     picked = _top(_quota_table(pool, quotas).filter("_quota > 0"), "type", [F.col("_h"), F.col("question")], "_quota").drop("_quota")
-    return _finish(picked, pool, n, order, prefix)
+    return _finish(picked, pool, quotas, n, order, prefix)
 
 
 def diverse_quota_sample(items: DataFrame, quotas: dict[str, int], n: int, seed: str, order: Sequence[str], entity: str = "entity", prefix: str = "item") -> DataFrame:
@@ -246,7 +253,7 @@ def diverse_quota_sample(items: DataFrame, quotas: dict[str, int], n: int, seed:
     one = _top(wanted.join(firsts, ["type", "question"], "left_semi"), "type", by, "_quota").withColumn("_pass", F.lit(0))
     two = _top(wanted.join(firsts, ["type", "question"], "left_anti"), "type", by, "_quota").withColumn("_pass", F.lit(1))
     picked = _top(one.unionByName(two), "type", [F.col("_pass"), *by], "_quota").drop("_quota", "_pass")
-    return _finish(picked, pool, n, order, prefix)
+    return _finish(picked, pool, quotas, n, order, prefix)
 
 
 def shortest_text(df: DataFrame, keys: Sequence[str], text: str, order: str) -> DataFrame:

@@ -256,23 +256,23 @@ def field_coverage(df: DataFrame, id: str, fields: Sequence[str]) -> tuple[DataF
     return totals.select("total", F.explode(counts).alias("r")).select("r.field", "total", "r.present"), long.filter(~F.col("present")).select("field", id)
 
 
-def multiset_coverage(src: DataFrame, clean: DataFrame, doc: str) -> DataFrame:
+def multiset_coverage(docs: DataFrame, doc: str, source: str, clean: str) -> DataFrame:
     """Share of source text units found in the cleaned document.
 
-    ``src``/``clean``: doc, text. A unit counts fully when the clean side holds it as often; a
-    unit found inside the clean text counts once. Only units that miss the first test meet the
-    clean text.
+    A unit counts fully when the clean side holds it as often; a unit found inside the clean text
+    counts once. Units of both sides are counted in one aggregation; only those that miss the
+    first test meet the clean text (the flag in the join key keeps the others spread).
     """
-    units = lambda df: df.select(doc, F.explode(T.text_units(F.col("text"))).alias("unit")).groupBy(doc, "unit").agg(F.count(F.lit(1)).alias("n"))
-    both = units(src).join(units(clean).withColumnRenamed("n", "m"), [doc, "unit"], "left")
-    found = both.withColumn("hit", F.when(F.coalesce("m", F.lit(0)) >= F.col("n"), F.col("n")))
-    sure = found.filter("hit IS NOT NULL").groupBy(doc).agg(F.sum("n").alias("total"), F.sum("hit").alias("matched"))
-    # clean texts keep their line ends here, units joined by line breaks
-    blobs = clean.select(doc, F.array_join(T.text_units(F.col("text")), "\n").alias("blob"))
-    rest = found.filter("hit IS NULL").select(doc, "unit", "n").join(blobs, doc, "left")
+    def units(side: int, c: str) -> Column:
+        return F.transform(T.text_units(F.col(c)), lambda u: F.struct(F.lit(side).alias("side"), u.alias("unit")))
+
+    both = docs.select(doc, F.explode(F.concat(units(0, source), units(1, clean))).alias("u")).select(doc, "u.*")
+    counts = both.groupBy(doc, "unit").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m")).filter("n > 0")
+    counts = counts.withColumn("_miss", F.col("m") < F.col("n"))
+    blobs = docs.select(doc, F.lit(True).alias("_miss"), F.array_join(T.text_units(F.col(clean)), "\n").alias("blob"))
     rescued = F.coalesce(F.col("blob").contains(F.col("unit")), F.lit(False)).cast("long")
-    late = rest.groupBy(doc).agg(F.sum("n").alias("total"), F.sum(rescued).alias("matched"))
-    out = sure.unionByName(late).groupBy(doc).agg(F.sum("total").alias("total"), F.sum("matched").alias("matched"))
+    hit = F.when(F.col("_miss"), rescued).otherwise(F.col("n"))
+    out = counts.join(blobs, [doc, "_miss"], "left").groupBy(doc).agg(F.sum("n").alias("total"), F.sum(hit).alias("matched"))
     return out.withColumn("coverage", F.col("matched") / F.col("total"))
 
 

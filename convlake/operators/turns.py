@@ -7,12 +7,11 @@ so a single long conversation spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from convlake.functions import text as T
 from convlake.plans import slices as S
@@ -94,16 +93,26 @@ def resolve_overlaps(turns: DataFrame, keys: Sequence[str], keep_current: bool =
     cols = [*keys, "seg", "turn", "start_s", "end_s", "text"]
     single = df.filter("_alone").withColumn("end_s", fixed).select(*cols)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        rows = resolve_segments(list(pdf[["seg", "turn", "start_s", "end_s", "text"]].itertuples(index=False, name=None)), keep_current)
-        out = pd.DataFrame(rows, columns=["seg", "turn", "start_s", "end_s", "text"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[cols]
+    n = len(keys)
 
-    many = df.filter(~F.col("_alone")).groupBy(*keys, "_island").applyInPandas(fold, single.schema)
-    return single.unionByName(many)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # partitions arrive sorted, so an island is a run of rows and only one is held at a time
+        island, rows = None, []
+        for pdf in batches:
+            out = []
+            for rec in pdf.itertuples(index=False, name=None):
+                if rec[: n + 1] != island:
+                    if rows:
+                        out += [island[:n] + r for r in resolve_segments(rows, keep_current)]
+                    island, rows = rec[: n + 1], []
+                rows.append(rec[n + 1 :])
+            yield pd.DataFrame(out, columns=cols)
+        if rows:
+            yield pd.DataFrame([island[:n] + r for r in resolve_segments(rows, keep_current)], columns=cols)
+
+    many = df.filter(~F.col("_alone")).select(*keys, "_island", "seg", "turn", "start_s", "end_s", "text")
+    many = many.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "seg")
+    return single.unionByName(many.mapInPandas(fold, single.schema))
 
 
 def relabel_short_turns(turns: DataFrame, min_words: int) -> DataFrame:
@@ -175,7 +184,6 @@ def merge_same_role(turns: DataFrame, key: str = "conv_id", order: str = "turn",
     """
     kept = turns.filter(F.translate("text", T.INTERRUPTION_MARK, "") != "")
     df = role_islands(kept, key, [order], S.by_index(order))
-    df = df.withColumn("_first", F.col("message"))
     parts = F.sort_array(F.collect_list(F.struct(order, "text")))
     merged = df.groupBy(key, "message").agg(F.first("role").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("content"))
     heads = merged.filter("message <= 1").groupBy(key).agg(

@@ -139,14 +139,21 @@ def topk_per_query(scored: DataFrame, k: int, text: str | None = None, preview:
     return out if text is None else out.withColumn("preview", F.left(text, F.lit(preview))).drop(text)
 
 
+def score_pool(pool: DataFrame) -> DataFrame:
+    """Add the rule bonus to a dense pool: ``dense_score``, ``intent_bonus``, and the new ``score``."""
+    bonus = T.intent_bonus(F.col("question"), F.col("item_type"), F.col("source_field"), T.answer_field_hints(F.col("answer_field")))
+    scored = pool.withColumn("dense_score", F.col("score")).withColumn("intent_bonus", bonus)
+    return scored.withColumn("score", F.col("dense_score") + F.col("intent_bonus"))
+
+
+def rerank_order():
+    return Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("dense_score"), "vec_id")
+
+
 def rerank(pool: DataFrame, k: int) -> DataFrame:
     """Re-sort a dense pool by dense score plus rule bonus and keep ``k``.
 
     ``pool``: query_id, vec_id, score, question, item_type, answer_field, source_field; the pool
     is the dense top max(k, pool size) of each query.
     """
-    bonus = T.intent_bonus(F.col("question"), F.col("item_type"), F.col("source_field"), T.answer_field_hints(F.col("answer_field")))
-    scored = pool.withColumn("dense_score", F.col("score")).withColumn("intent_bonus", bonus)
-    scored = scored.withColumn("score", F.col("dense_score") + F.col("intent_bonus"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("dense_score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return score_pool(pool).withColumn("rank", F.row_number().over(rerank_order())).filter(F.col("rank") <= k)

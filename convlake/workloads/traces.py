@@ -280,10 +280,10 @@ cv AS (SELECT su.doc_id, sum(n) AS total, sum(CASE WHEN coalesce(m, 0) >= n THEN
 
 
 def coverage(t: Tables):
-    src = t.documents.select("doc_id", T.normalise_text(F.col("text")).alias("text"))
-    c = F.col("text")
+    src = t.documents.select("doc_id", T.normalise_text(F.col("text")).alias("source"))
+    c = F.col("source")
     changed = F.when(F.col("doc_id") % 3 == 0, F.replace(c, F.lit("\n"), F.lit(" "))).when(F.col("doc_id") % 3 == 1, F.translate(c, "e", "E")).otherwise(c)
-    return TC.multiset_coverage(src, src.withColumn("text", changed), "doc_id")
+    return TC.multiset_coverage(src.withColumn("clean", changed), "doc_id", "source", "clean")
 
 
 @query("a25_multiset_coverage", f"WITH {COV} SELECT doc_id, CAST(total AS BIGINT) AS total, CAST(matched AS BIGINT) AS matched, round(matched / total::DOUBLE, 6) AS coverage FROM cv")
