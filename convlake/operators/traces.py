@@ -56,10 +56,10 @@ def fifo_match(events: DataFrame, keys: Sequence[str], order: Sequence[str], sli
     """
     df = S.scan(events, keys, order, slice_expr, [S.RunSum("epoch", (F.col("kind") == "reset").cast("long"))])
     df = df.filter(F.col("kind") != "reset")
-    df = S.row_index(df, [*keys, "epoch", "kind"], order, slice_expr, "k")
-    ready = df.filter("kind = 'ready'").select(*keys, "epoch", "k", F.col("id").alias("ready_id"))
-    done = df.filter("kind = 'delivered'").select(*keys, "epoch", "k", F.col("id").alias("delivered_id"))
-    return ready.join(done, [*keys, "epoch", "k"])
+    df = S.row_index(df, [*keys, "epoch", "kind"], order, slice_expr, "nth")
+    ready = df.filter("kind = 'ready'").select(*keys, "epoch", "nth", F.col("id").alias("ready_id"))
+    done = df.filter("kind = 'delivered'").select(*keys, "epoch", "nth", F.col("id").alias("delivered_id"))
+    return ready.join(done, [*keys, "epoch", "nth"])
 
 
 def drain_steps(items: DataFrame, keys: Sequence[str], order: str, step: int) -> DataFrame:

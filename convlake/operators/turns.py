@@ -89,7 +89,7 @@ def resolve_overlaps(turns: DataFrame, keys: Sequence[str], keep_current: bool =
     df = S.scan(df, keys, ["seg"], S.by_index("seg"), [S.RunMax("_max", fixed, inclusive=False), S.Lead("_next", F.col("start_s"))])
     df = df.withColumn("_new", F.col("_max").isNull() | (F.col("start_s") >= F.col("_max")))
     alone = F.col("_new") & (F.col("_next").isNull() | (F.col("_next") >= F.greatest(fixed, F.coalesce("_max", fixed))))
-    df = S.scan(df.withColumn("_alone", alone), keys, ["seg"], S.by_index("seg"), [S.RunSum("_island", F.col("_new").cast("long"))])
+    df = df.withColumn("_alone", alone)
     cols = [*keys, "seg", "turn", "start_s", "end_s", "text"]
     single = df.filter("_alone").withColumn("end_s", fixed).select(*cols)
 
@@ -110,7 +110,8 @@ def resolve_overlaps(turns: DataFrame, keys: Sequence[str], keep_current: bool =
         if rows:
             yield pd.DataFrame([island[:n] + r for r in resolve_segments(rows, keep_current)], columns=cols)
 
-    many = df.filter(~F.col("_alone")).select(*keys, "_island", "seg", "turn", "start_s", "end_s", "text")
+    many = S.scan(df.filter(~F.col("_alone")), keys, ["seg"], S.by_index("seg"), [S.RunSum("_island", F.col("_new").cast("long"))])
+    many = many.select(*keys, "_island", "seg", "turn", "start_s", "end_s", "text")
     many = many.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "seg")
     return single.unionByName(many.mapInPandas(fold, single.schema))
 

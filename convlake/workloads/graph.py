@@ -141,7 +141,7 @@ def _(t):
 
 @query("h29_role_candidates", "SELECT c_custkey, u.pos, u.mention FROM customer, LATERAL (VALUES (CAST(0 AS BIGINT), c_name), (1, c_mktsegment)) u(pos, mention)")
 def _(t):
-    text = F.concat(F.lit(" "), F.col("c_name"), F.lit(" | (DCGM) | "), F.col("c_mktsegment"), F.lit("| (A-1/B)|"))
+    text = F.concat(F.lit(" "), F.col("c_name"), F.lit(" | (DEPT) | "), F.col("c_mktsegment"), F.lit("| (A-1/B)|"))
     r = G.role_candidates(t.customer.withColumn("t", text), "c_custkey", "t")
     return r.select("c_custkey", F.col("pos").cast("long").alias("pos"), "mention")
 

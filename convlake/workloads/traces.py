@@ -180,7 +180,7 @@ def _(t):
 
 @query("j9_fifo_match", f"""WITH {EV}, e AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS epoch FROM ev),
 k AS (SELECT user_id, event_id, epoch, event_type, row_number() OVER (PARTITION BY user_id, epoch, event_type ORDER BY ts_us, event_id) - 1 AS k FROM e WHERE event_type IN ('click', 'view'))
-SELECT r.user_id, r.epoch, r.k, r.event_id AS ready_id, d.event_id AS delivered_id FROM k r JOIN k d ON r.user_id = d.user_id AND r.epoch = d.epoch AND r.k = d.k AND r.event_type = 'click' AND d.event_type = 'view'""")
+SELECT r.user_id, r.epoch, r.k AS nth, r.event_id AS ready_id, d.event_id AS delivered_id FROM k r JOIN k d ON r.user_id = d.user_id AND r.epoch = d.epoch AND r.k = d.k AND r.event_type = 'click' AND d.event_type = 'view'""")
 def _(t):
     kind = F.when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "view", "delivered").when(F.col("event_type") == "error", "reset")
     e = VW.events(t).select("user_id", "ts_us", "event_id", kind.alias("kind"), F.col("event_id").alias("id")).filter("kind IS NOT NULL")

@@ -47,11 +47,6 @@ def _(t):
     return U.fill_gaps(timeline(t), ["conv_id"]).select("conv_id", "seg", "part", "turn", "start_s", "end_s")
 
 
-@query("w3_resolve_overlaps")
-def _(t):
-    return U.resolve_overlaps(overlapping(t), ["conv_id"]).select("conv_id", "seg", "turn", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"))
-
-
 # With one overlap of at most one second at a time the fold has a closed form: a user start cuts
 # the turn before it, a system start moves to the end before it.
 CUT = VW.OVERLAP_TIMES + """,
@@ -62,6 +57,12 @@ cut AS (SELECT conv_id, seg, turn, CASE WHEN turn = 'system' THEN greatest(start
 """
 
 
+@query("w3_resolve_overlaps", f"""WITH {CUT}
+SELECT conv_id, seg, turn, s / 1000.0::DOUBLE AS start_s, e / 1000.0::DOUBLE AS end_s FROM cut WHERE e > s""")
+def _(t):
+    return U.resolve_overlaps(overlapping(t), ["conv_id"]).select("conv_id", "seg", "turn", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"))
+
+
 @query("w3_resolved_timeline", f"""WITH {CUT}
 SELECT count(*) AS segments, CAST(sum(e - s) AS BIGINT) AS speech_ms, count(*) FILTER (e <= s) AS empty FROM cut""")
 def _(t):
