@@ -42,6 +42,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "convl
     return configure(spark)
 
 
+def shuffle_partitions(shuffled_bytes: int, target_bytes: int = 256 << 20, at_least: int = 200) -> int:
+    """Value for spark.sql.shuffle.partitions so that a reduce task sorts about ``target_bytes``.
+
+    Adaptive execution merges partitions that turn out small but cannot split plain ones, so the
+    setting should follow the largest shuffle of a job.
+    """
+    return max(at_least, -(-shuffled_bytes // target_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by the cluster in spark.checkpoint.dir.
 
