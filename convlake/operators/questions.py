@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
+from convlake.operators.graph import negative_sample
 from convlake.session import staged
 from convlake.sources.entities import field
 
@@ -181,6 +182,21 @@ PUBLICATION_ATTRIBUTES = [("year", "year", "year"), ("authors", "authors", "sect
 GROUP_ATTRIBUTES = [("contact_person", "contact_person", "team.principal_researcher[].name")]
 
 
+def membership_items(held: DataFrame, entity: str, value: str, kind: str, templates: Sequence[str], seed: str) -> DataFrame:
+    """Yes/no questions on a list attribute: one held value and one not held per entity.
+
+    ``held``: one row per (entity, value), such as people and their projects, awards, groups,
+    rooms or organisations. Templates use ``{entity}`` and ``{value}``.
+    """
+    pairs = held.select(F.col(entity).cast("string").alias("entity"), F.col(value).cast("string").alias("value")).distinct()
+    yes = pairs.groupBy("entity").agg(F.min_by("value", _digest(f"{seed}|yes", "entity", "value")).alias("value"))
+    no = negative_sample(pairs, "entity", "value", seed)
+    both = yes.withColumn("expected_answer", F.lit("Yes")).unionByName(no.withColumn("expected_answer", F.lit("No")))
+    at = F.concat_ws("|", F.lit(seed), "expected_answer", "entity")
+    ask = render_template(templates, at, {"entity": F.col("entity"), "value": F.col("value")})
+    return both.select("entity", F.concat(F.lit(f"{kind}_"), F.lower("expected_answer")).alias("type"), ask.alias("question"), "expected_answer")
+
+
 def answer_lookup(items: DataFrame, entities: DataFrame, key: str, answers: dict[str, Column]) -> DataFrame:
     """Gold answer of each item: the entity attribute its type names, else the expected answer."""
     df = items.join(entities, key, "left")

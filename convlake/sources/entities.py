@@ -94,6 +94,31 @@ def json_leaves(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: [{"source_field": p, "text": t} for p, t in _leaves(json.loads(b))])
 
 
+def _answers(value):
+    if isinstance(value, bool) or value is None:
+        return
+    if isinstance(value, (int, float)):
+        yield str(value)
+    elif isinstance(value, str):
+        if value.strip():
+            yield value.strip()
+    else:
+        for v in value.values() if isinstance(value, dict) else value:
+            yield from _answers(v)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def answer_strings(answers: pd.Series) -> pd.Series:
+    """Strings and numbers of a JSON answer of any shape; booleans are no targets."""
+    return answers.map(lambda a: [] if a is None else list(_answers(json.loads(a))))
+
+
+def answer_targets(answer: Column, min_length: int = 4) -> Column:
+    """Distinct normalised answer strings that are long enough to look for."""
+    forms = F.transform(answer_strings(answer), lambda s: T.match_normal_form(s))
+    return F.array_distinct(F.filter(forms, lambda s: F.length(s) >= min_length))
+
+
 def flatten_leaves(entities: DataFrame) -> DataFrame:
     """One row per string leaf: ``seq`` keeps the order of the document."""
     keep = [c for c in entities.columns if c != "body"]
