@@ -237,11 +237,15 @@ def forecast_metrics(per_turn: DataFrame, freq: float, collar: int = 1) -> DataF
     )
 
 
-def operating_point(metrics: DataFrame, curve: Sequence[str], metric: str, target: float) -> DataFrame:
-    """Per curve the row whose ``metric`` is the closest strictly above ``target``."""
+def operating_point(metrics: DataFrame, curve: Sequence[str], metric: str, target: float, order: str) -> DataFrame:
+    """Per curve the row whose ``metric`` is the closest strictly above ``target``.
+
+    Ties, and curves that stay below the target, take the first row in ``order``.
+    """
     rest = [c for c in metrics.columns if c not in curve]
-    above = metrics.filter(F.col(metric) > target)
-    best = above.groupBy(*curve).agg(F.min_by(F.struct(*rest), F.struct(F.col(metric) - target, *rest)).alias("r"))
+    above = F.col(metric) > target
+    rank = F.struct((~above).alias("below"), F.when(above, F.col(metric) - target).otherwise(0.0).alias("d"), order)
+    best = metrics.groupBy(*curve).agg(F.min_by(F.struct(*rest), rank).alias("r"))
     return best.select(*curve, "r.*")
 
 

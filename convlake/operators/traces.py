@@ -48,6 +48,18 @@ def asof_backward(a: DataFrame, b: DataFrame, keys: Sequence[str], ts: str, id:
     return line.filter(F.col("_side") == 1).select("_a.*", hit.alias("asof_ts"))
 
 
+def commit_details(attempts: DataFrame, pauses: DataFrame, keys: Sequence[str], slice_expr: Column, tolerance: float = 2.5) -> DataFrame:
+    """Drain times of committed attempts against the pause that confirmed them.
+
+    The attempt's own pause counts, else the latest one less than ``tolerance`` before its drain.
+    ``attempts``: keys, id, ts (drain start), status, own_pause, drain_end; ``pauses``: keys, ts, id.
+    """
+    rows = attempts.filter((F.col("status") == "committed") & F.col("ts").isNotNull())
+    near = asof_backward(rows, pauses, keys, "ts", "id", tolerance, slice_expr)
+    pause = F.coalesce("own_pause", "asof_ts")
+    return near.select(*keys, "id", pause.alias("pause"), (F.col("ts") - pause).alias("drain_after_pause"), (F.col("drain_end") - F.col("ts")).alias("drain_duration"))
+
+
 def fifo_match(events: DataFrame, keys: Sequence[str], order: Sequence[str], slice_expr: Column) -> DataFrame:
     """k-th ready item with the k-th delivery of the same reset epoch.
 

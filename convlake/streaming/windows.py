@@ -25,12 +25,21 @@ def read_events(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return spark.read.schema(schema).format(fmt).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all available input into a table of the shared folder, and read it."""
+def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """Run a stream over all available input into a table of the shared folder, and read it.
+
+    The number of state partitions is fixed for the life of a stream's checkpoint; unless given it
+    is the number of cores, not the shuffle setting of the session.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.sparkContext.defaultParallelism))
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 

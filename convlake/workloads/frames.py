@@ -146,9 +146,9 @@ def _(t):
     return metrics(t)
 
 
-@query("a16_operating_point", f"""WITH {MET} SELECT horizon, arg_min(th_idx, (entry_accuracy - 0.3) * 1000 + th_idx / 1000) AS th_idx FROM met WHERE entry_accuracy > 0.3 GROUP BY 1""")
+@query("a16_operating_point", f"""WITH {MET} SELECT horizon, arg_min(th_idx, CASE WHEN entry_accuracy > 0.3 THEN round((entry_accuracy - 0.3) * 1000) ELSE 1000000 END + th_idx / 1000) AS th_idx FROM met GROUP BY 1""")
 def _(t):
-    return FR.operating_point(metrics(t).select("horizon", "th_idx", "entry_accuracy"), ["horizon"], "entry_accuracy", 0.3).select("horizon", "th_idx")
+    return FR.operating_point(metrics(t).select("horizon", "th_idx", "entry_accuracy"), ["horizon"], "entry_accuracy", 0.3, "th_idx").select("horizon", "th_idx")
 
 
 @query("u3_common_keys", f"WITH {MET} SELECT th_idx FROM met WHERE premature_pct > 5 INTERSECT SELECT th_idx FROM met WHERE lead_median_ms > 0 INTERSECT SELECT th_idx FROM met WHERE entry_accuracy > 0.2")

@@ -134,6 +134,19 @@ def _(t):
     return TC.attempt_breakdown(attempts(t))
 
 
+@query("j8_commit_details", f"""WITH a AS (SELECT l_orderkey AS item, {POS} AS id, l_quantity / 10 + 0.4::DOUBLE AS ts, CASE WHEN l_tax > 0.04 THEN l_quantity / 10 + 0.1::DOUBLE END AS own, l_quantity / 10 + 0.4::DOUBLE + l_discount AS fin FROM lineitem WHERE l_returnflag = 'A'),
+p AS (SELECT l_orderkey AS item, l_quantity / 10 AS ts FROM lineitem WHERE l_returnflag <> 'A'),
+j AS (SELECT a.item, a.id, a.ts, own, fin, max(p.ts) AS near FROM a LEFT JOIN p ON p.item = a.item AND p.ts <= a.ts AND a.ts - p.ts < 2.5 GROUP BY ALL)
+SELECT item, id, round(coalesce(own, near), 6) AS pause, round(ts - coalesce(own, near), 6) AS drain_after_pause, round(fin - ts, 6) AS drain_duration FROM j""")
+def _(t):
+    v = line(t)
+    drain = F.col("q") + 0.4
+    a = v.select("item", F.col("pos").alias("id"), drain.alias("ts"), F.when(F.col("l_returnflag") == "A", "committed").otherwise("cancelled").alias("status"), F.when(F.col("l_tax") > 0.04, F.col("q") + 0.1).alias("own_pause"), (drain + F.col("l_discount")).alias("drain_end"))
+    p = v.filter("l_returnflag <> 'A'").select("item", F.col("q").alias("ts"), F.col("pos").alias("id"))
+    d = TC.commit_details(a, p, ["item"], F.floor(F.col("ts") / 60).cast("long"))
+    return d.select("item", "id", *[F.round(c, 6).alias(c) for c in ("pause", "drain_after_pause", "drain_duration")])
+
+
 @query("j14_latest_call", f"""WITH c AS (SELECT l_orderkey AS item, l_linenumber AS generation_index, arg_max(l_quantity, {POS}) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
 SELECT g.item, g.generation_index, c.q FROM (SELECT DISTINCT l_orderkey AS item, l_linenumber AS generation_index FROM lineitem) g LEFT JOIN c ON c.item = g.item AND c.generation_index = g.generation_index""")
 def _(t):
