@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.llm import simhash
+import public_tokenizers
+
+from convlake.llm import langid, packing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +28,49 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op1_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Fingerprints over four-word shingles, linked at four differing bits or fewer."""
     return simhash.near_copies(table(spark, path, "documents"), words=4, radius=4)
+
+
+@query
+def op10_bounded_space_packing(spark: SparkSession, path: str) -> DataFrame:
+    """All documents in sequences of 2048 ids."""
+    pieces = packing.pack(table(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op9_language_id(spark: SparkSession, path: str) -> DataFrame:
+    """Predicted language of every document; a quarter of the documents is never learned from."""
+    docs = table(spark, path, "documents")
+    held = F.coalesce(langid.remainder() == 2, F.lit(False)).alias("held_out")
+    return langid.identified(docs).select("doc_id", held, "lang_pred", "score", "rejected")
+
+
+def _spans_sql(rule: secrets.Rule, order: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, p AS start, {order} AS k, p + length(m) AS "end", '{rule.kind}' AS kind FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(ps) AS part, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+      list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))) AS p
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {rule.group}) AS ps,
+      string_split_regex(t, '{pattern}') AS gaps FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+  ) WHERE length(part) >= {rule.least}"""
+
+
+ORACLES["op5_secret_scan"] = f"""
+WITH s AS ({" UNION ALL ".join(_spans_sql(rule, k) for k, rule in enumerate(secrets.RULES))}),
+t AS (SELECT doc_id, string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, k) AS spans,
+  coalesce(string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, k) FILTER (k < {len(secrets.BASE)}), '') AS base,
+  count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+
+@query
+def op5_secret_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Secrets of every document: the three base kinds and the further rules."""
+    found = secrets.scan(table(spark, path, "documents"))
+    n = {f"n_{kind}": F.size(F.filter("_spans", lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in ("assign", "access", "hex")}
+    base = secrets.listed(F.filter("_spans", lambda s: s["order"] < len(secrets.BASE)))
+    return found.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
