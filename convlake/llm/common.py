@@ -44,24 +44,25 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
-    """Adds each row's place (from 0) in the order of all rows.
+def numbered(df: DataFrame, order: list[Column], name: str, amount: Column | None = None, partitions: int | None = None) -> DataFrame:
+    """Adds each row's place (from 0) in the order of all rows, or the sum of ``amount`` over those before.
 
-    Rows are dealt by range, numbered in their range, and moved up by the sizes of the ranges before;
-    the sizes are one row per range. Equal rows get places in any order.
+    Rows are dealt by range, numbered in their range, and moved up by the sums of the ranges before;
+    the sums are one row per range. Equal rows get places in any order.
     """
+    amount = F.lit(1) if amount is None else amount
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = staged(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    ranged = staged(df.repartitionByRange(parts, *order).withColumns({"_range": F.spark_partition_id(), "_amount": amount.cast("long")}), "ranged")
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = ranged.groupBy("_range").agg(F.sum("_amount").alias("_n"))
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    place = F.coalesce(F.sum("_amount").over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return (
         ranged.withColumn("_place", place)
         .join(F.broadcast(starts), "_range")  # one row per range
         .withColumn(name, F.col("_start") + F.col("_place"))
-        .drop("_range", "_place", "_start")
+        .drop("_range", "_amount", "_place", "_start")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from convlake.llm import langid, packing, secrets, simhash
+from convlake.llm import entropy, factors, importance, langid, mixing, packing, secrets, simhash, sketches, voronoi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,80 @@ def op5_secret_scan(spark: SparkSession, path: str) -> DataFrame:
     n = {f"n_{kind}": F.size(F.filter("_spans", lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in ("assign", "access", "hex")}
     base = secrets.listed(F.filter("_spans", lambda s: s["order"] < len(secrets.BASE)))
     return found.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
+
+
+WORD = "[^\\x20\\x09-\\x0D]+"
+ORACLES["op2_source_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+  substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS digest FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+f AS (SELECT *, sum(size) OVER () AS t, sum(weight) OVER () AS tw,
+  coalesce(sum(size) OVER w, 0) AS fs, coalesce(sum(weight) OVER w, 0) AS fw, row_number() OVER (ORDER BY size / weight, source) AS k
+  FROM s WINDOW w AS (ORDER BY size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT (t - 3::DOUBLE * fs) / (tw - fw) AS level, k FROM f WHERE 3 * size > (t - 3::DOUBLE * fs) / (tw - fw) * weight ORDER BY k LIMIT 1),
+g AS (SELECT source, size, least(3::DOUBLE * size, coalesce((SELECT level FROM l), 0) * weight) AS target FROM s),
+p AS (SELECT doc_id, d.source, d.size, g.size AS source_size, g.target, floor(g.target)::BIGINT AS words,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0
+  ELSE (words // source_size * size + greatest(0, least(size, words % source_size - at)))::BIGINT END AS taken FROM p
+"""
+
+
+@query
+def op2_source_mixing(spark: SparkSession, path: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mixed_sizes(table(spark, path, "documents"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """What repeated windows of 35 words take from every document."""
+    out = factors.remove_repeats(table(spark, path, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """Sketches of every text and of its edited text, with their likeness and that of the next document."""
+    rows = sketches.with_next(table(spark, path, "documents"))
+    kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
+    rows = rows.withColumn("edited", F.concat(kept, "next_head")).withColumn("edited_sketch", sketches.sketch(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.col("n_chars").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketches.as_text(F.col("sketch")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+ORACLES["op4_voronoi_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op4_voronoi_top_k(spark: SparkSession, path: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    found = voronoi.top_k(table(spark, path, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op6_cross_entropy_difference(spark: SparkSession, path: str) -> DataFrame:
+    """Loss difference of every document; the target are the documents labelled good."""
+    good = table(spark, path, "labels").where("quality = 1")
+    return entropy.scored(table(spark, path, "documents"), good)
+
+
+@query
+def op8_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    """Draws and selection of every document; as large a share is selected as is labelled good."""
+    return importance.resampled(table(spark, path, "documents"), table(spark, path, "labels"))
