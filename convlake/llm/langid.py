@@ -161,13 +161,8 @@ def fit(docs: DataFrame, where: Column, label: str = "lang", id_col: str = "doc_
     return train(found["snippet"].tolist(), found["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected, from whole texts.
-
-    Null texts and texts without letters, and all texts if there is no model, get ``und``, score 0 and
-    are rejected. Other texts get a learned language; they are rejected if its score is below the
-    calibrated one. The three columns replace any of the same names.
-    """
+def _labelled(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
+    """``docs`` with _label: lang_pred, score and rejected."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -185,10 +180,25 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS rows, one column per language
-    got = docs.withColumn("_label", label(F.col(text_col)))
+    return docs.withColumn("_label", label(F.col(text_col)))
+
+
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected, from whole texts.
+
+    Null texts and texts without letters, and all texts if there is no model, get ``und``, score 0 and
+    are rejected. Other texts get a learned language; they are rejected if its score is below the
+    calibrated one. The three columns replace any of the same names. Repeated rows are predicted alike.
+    """
+    got = _labelled(docs, model, text_col)
     return got.withColumns({k: F.col(f"_label.{k}") for k in ("lang_pred", "score", "rejected")}).drop("_label")
 
 
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``predict`` does not reject, with their columns as they are."""
+    return _labelled(docs, model, text_col).where(~F.col("_label.rejected")).drop("_label")
+
+
 def remainder(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

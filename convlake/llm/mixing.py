@@ -129,7 +129,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3
     """
     sources = source_table(docs, weights, most, block, source_col, text_col)
     rows = placed(docs, sources, id_col=id_col, source_col=source_col, text_col=text_col)
-    taken = taken_pieces(rows, sources, block).groupBy("_no", "_at", "pass").agg(F.sum("length").alias("_taken"))
+    taken = taken_pieces(rows, sources, block).groupBy("_no", "_at", F.col("pass").alias("_pass")).agg(F.sum("length").alias("_taken"))
     out = rows.where("_size > 0").join(taken, ["_no", "_at"])
     return out.withColumn(text_col, F.when(F.col("_taken") == F.col("_size"), F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("_taken")))).select(*docs.columns)
 

@@ -87,10 +87,10 @@ f AS (SELECT *, sum(size) OVER () AS t, sum(weight) OVER () AS tw,
 l AS (SELECT (t - 3::DOUBLE * fs) / (tw - fw) AS level, k FROM f WHERE 3 * size > (t - 3::DOUBLE * fs) / (tw - fw) * weight ORDER BY k LIMIT 1),
 g AS (SELECT source, size, least(3::DOUBLE * size, coalesce((SELECT level FROM l), 0) * weight) AS target FROM s),
 p AS (SELECT doc_id, d.source, d.size, g.size AS source_size, g.target, floor(g.target)::BIGINT AS words,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0
-  ELSE (words // source_size * size + greatest(0, least(size, words % source_size - at)))::BIGINT END AS taken FROM p
+  ELSE (words // source_size * size + greatest(0, least(size, words % source_size - place)))::BIGINT END AS taken FROM p
 """
 
 

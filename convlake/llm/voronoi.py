@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 16, bl
     reach = {}  # for each cell, the groups it may matter to and the least distance to its pivot that does
     for j, (edge, _) in sizes.items():
         for i, (wide, _) in groups.items():
-            least_far = float(np.linalg.norm(centres[i] - centres[j])) - wide - bound[i] - slack
+            least_far = float(np.linalg.norm(centres[i] - centres[j]) - wide - bound[i] - slack)
             if edge >= least_far:
                 reach.setdefault(j, []).append((i, least_far))
     sent = spark.createDataFrame([(j, i, f) for j, found in reach.items() for i, f in found] or [(-1, -1, 0.0)], "d_cell int, q_cell int, least_far double")  # pivots^2 rows at most
