@@ -71,9 +71,9 @@ FROM documents d LEFT JOIN t USING (doc_id)
 def op5_secret_scan(spark: SparkSession, path: str) -> DataFrame:
     """Secrets of every document: the three base kinds and the further rules."""
     found = secrets.scan(table(spark, path, "documents"))
-    n = {f"n_{kind}": F.size(F.filter("_spans", lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in ("assign", "access", "hex")}
+    of = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secrets.listed(F.filter("_spans", lambda s: s["order"] < len(secrets.BASE)))
-    return found.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
+    return found.select("doc_id", *[of(rule.kind) for rule in secrets.BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
 
 
 WORD = "[^\\x20\\x09-\\x0D]+"

@@ -15,8 +15,12 @@ meets in one place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +45,13 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
+def _block(items: pa.StructArray, width: int) -> tuple[np.ndarray, list, np.ndarray]:
+    """Row numbers, ids and vectors of a block."""
+    rows, ids, vectors = items.flatten()
+    even = pc.all(pc.equal(pc.list_value_length(vectors), width)).as_py()
+    return rows.to_numpy(), ids.to_pylist(), vectors.flatten().to_numpy().reshape(-1, width) if even and width else _matrix(vectors.to_pylist(), width)
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of all rows; by doubles where these are exact."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
@@ -120,25 +131,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 16, bl
     queries = queries.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     pairs = queries.join(data.select("q_cell", "at", "data"), ["q_cell", "at"]).select("queries", "data")
 
-    def solve(batches):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, held in zip(batch["queries"], batch["data"]):
-                a, b = _matrix([r["v"] for r in asked], width), _matrix([r["v"] for r in held], width)
-                scores = _products(a, b)
-                rows = np.array([r["row"] for r in held])
-                ids = [r["id"] for r in held]
-                none = np.array([x is None or pd.isna(x) for x in ids])
+            for asked, held in zip(batch.column("queries"), batch.column("data")):
+                (q_rows, q_ids, a), (rows, ids, b) = _block(asked.values, width), _block(held.values, width)
                 by_id = np.empty(len(ids), np.int64)
-                by_id[sorted(range(len(ids)), key=lambda n: (none[n], 0 if none[n] else ids[n], rows[n]))] = np.arange(len(ids))
+                by_id[sorted(range(len(ids)), key=lambda n: (ids[n] is None, 0 if ids[n] is None else ids[n], rows[n]))] = np.arange(len(ids))
                 out = []
-                for q, row in zip(asked, scores):
+                for q_row, q_id, row in zip(q_rows, q_ids, _products(a, b)):
                     order = np.lexsort((by_id, -row))[: k + 1]
-                    out += [(q["row"], str(q["id"]) if q["id"] is not None else None, int(rows[n]), None if none[n] else str(ids[n]), int(row[n])) for n in order if rows[n] != q["row"]][:k]
-                yield pd.DataFrame(out, columns=["q_row", "query_id", "row", "id", "score"])
+                    out += [(q_row, q_id, rows[n], ids[n], row[n]) for n in order if rows[n] != q_row][:k]
+                id_type = asked.values.type.field("id").type
+                types = [pa.int64(), id_type, pa.int64(), id_type, pa.int64()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)]
+                yield pa.RecordBatch.from_arrays(columns, ["q_row", "query_id", "row", "id", "score"])
 
-    # ids travel as text, which keeps large and null ids whole
-    best = pairs.mapInPandas(solve, "q_row long, query_id string, row long, id string, score long")
-    best = best.select("q_row", F.col("query_id").cast(kind).alias("query_id"), "row", F.col("id").cast(kind).alias("id"), "score")
+    best = pairs.mapInArrow(solve, f"q_row long, query_id {kind}, row long, id {kind}, score long")
     order = [F.col("score").desc(), F.col("id").asc_nulls_last(), F.col("row")]
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("q_row").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
