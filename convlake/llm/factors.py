@@ -30,7 +30,6 @@ from convlake.llm import words
 from convlake.llm.common import staged
 
 SECOND = 0xD6E8FEB86659FD93  # base of the second hash of a window (odd)
-OUT_ROWS = 1 << 17
 
 
 def _least_at(h: np.ndarray, width: int) -> np.ndarray:
@@ -43,23 +42,18 @@ def _least_at(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchors(word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and place of the anchors of a document, and the first and last window of each."""
+def anchors(batch: words.Batch, window: int) -> tuple[np.ndarray, ...]:
+    """Row, hash and place of the anchors of the batch's texts, and the first and last window of each."""
     run = (window + 1) // 2
-    h = words.runs(word, run)
-    at = _least_at(h, window - run + 1)
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-    return h[at[first]], at[first], first, last
-
-
-def _union(ranges: np.ndarray) -> np.ndarray:
-    """Disjoint ascending ranges (start, end exclusive) that cover the same."""
-    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(ranges[:, 1])
-    new = np.concatenate([[True], ranges[1:, 0] > reach[:-1]])
-    cut = np.flatnonzero(new)
-    return np.stack([ranges[cut, 0], reach[np.concatenate([cut[1:], [len(ranges)]]) - 1]], axis=1)
+    whole = np.flatnonzero(batch.whole(window))
+    if not len(whole):
+        return (np.zeros(0, np.int64),) * 5
+    h = words.runs(batch.word, run)
+    at, of = _least_at(h, window - run + 1)[whole], batch.text_of()[whole]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    ahead = batch.cuts[of[first]]
+    return batch.rows[of[first]], h[at[first]], at[first] - ahead, whole[first] - ahead, whole[last] - ahead
 
 
 def _inside(n: int, ranges: np.ndarray) -> np.ndarray:
@@ -75,48 +69,81 @@ def _ranges_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def parse(window: int):
-    """Factors of one document, from its repeated anchors: messages (k1, k2, kind, start, end) of windows.
+MESSAGE = "k1 long, k2 long, kind int, start long, end long"
+
 
-    kind 1: repeated; 0: to be checked. Half of them go to the reference's document.
+def parse(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Factors of documents, from all their repeated anchors sorted by document and place.
+
+    Returns messages (k1, k2, kind, start, end) on windows; kind 1: repeated, 0: to be checked. Half of
+    them go to the reference's document.
     """
     run = (window + 1) // 2
-
-    def document(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        k1, k2 = rows["k1"].iat[0], rows["k2"].iat[0]
-        at = rows["at"].to_numpy().astype(np.int64)
-        if len(at) > 1 and (at[1:] == at[:-1]).any():  # rows equal in id and text: all of it is repeated
-            out = _union(np.stack([rows["first"], rows["last"] + 1], axis=1).astype(np.int64))
-            return pd.DataFrame({"k1": k1, "k2": k2, "kind": 1, "start": out[:, 0], "end": out[:, 1]})
-        r1, r2 = rows["r1"].to_numpy(), rows["r2"].to_numpy()
-        shift = rows["rat"].to_numpy().astype(np.int64) - at
-        other = (r1 != k1) | (r2 != k2) | (shift != 0)
-        r1, r2, shift, at = r1[other], r2[other], shift[other], at[other]
-        first, last = (rows[c].to_numpy().astype(np.int64)[other] for c in ("first", "last"))
-        if not len(at):
-            return pd.DataFrame({"k1": [], "k2": [], "kind": [], "start": [], "end": []})
+    k1, k2, r1, r2 = (rows[c].to_numpy() for c in ("k1", "k2", "r1", "r2"))
+    at, first, last, ref_at = (rows[c].to_numpy().astype(np.int64) for c in ("at", "first", "last", "rat"))
+    same = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+    new = np.concatenate([[True], ~same])
+    doc = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    parts = []
+
+    # rows equal in id and text share their keys, so each place occurs twice: all of them is repeated
+    copied = np.zeros(len(head), bool)
+    copied[doc[1:][same & (at[1:] == at[:-1])]] = True
+    if copied.any():
+        ends = np.maximum.reduceat(last, head) + 1
+        parts.append((k1[head][copied], k2[head][copied], 1, np.minimum.reduceat(first, head)[copied], ends[copied]))
+
+    shift = ref_at - at
+    other = ~copied[doc] & ((r1 != k1) | (r2 != k2) | (shift != 0))
+    k1, k2, r1, r2, at, first, last, shift, doc = (x[other] for x in (k1, k2, r1, r2, at, first, last, shift, doc))
+    if len(at):
         # factors: anchors that touch, with one reference and one distance
-        new = np.concatenate([[True], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] - at[:-1] > run)])
-        cut = np.flatnonzero(new)
+        breaks = lambda gap: (doc[1:] != doc[:-1]) | (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (shift[1:] != shift[:-1]) | gap
+        cut = np.flatnonzero(np.concatenate([[True], breaks(at[1:] - at[:-1] > run)]))
         start, end = at[cut], at[np.concatenate([cut[1:], [len(at)]]) - 1] + run - window + 1
-        long = end > start
-        n = int(max(last.max() + 1, end.max()))
-        held = _inside(n, np.stack([start[long], end[long]], axis=1)) if long.any() else np.zeros(n, bool)
-        out = [(np.full(long.sum(), k1), np.full(long.sum(), k2), 1, start[long], end[long]), (r1[cut][long], r2[cut][long], 1, start[long] + shift[cut][long], end[long] + shift[cut][long])]
-        # what an anchor's windows have outside the factors
-        open_start, open_end = _ranges_of(~held)
-        owner = np.searchsorted(open_end, first, "right")
-        for k in np.flatnonzero(owner < len(open_start)):
-            j = owner[k]
-            while j < len(open_start) and open_start[j] <= last[k]:
-                a, b = max(first[k], open_start[j]), min(last[k] + 1, open_end[j])
-                out.append(([k1, r1[k]], [k2, r2[k]], 0, [a, a + shift[k]], [b, b + shift[k]]))
-                j += 1
-        parts = [pd.DataFrame({"k1": np.asarray(p[0], np.int64), "k2": np.asarray(p[1], np.int64), "kind": p[2], "start": np.asarray(p[3], np.int64), "end": np.asarray(p[4], np.int64)}) for p in out if len(p[0])]
-        return pd.concat(parts) if parts else pd.DataFrame({"k1": [], "k2": [], "kind": [], "start": [], "end": []})
-
-    return document
+        cut, start, end = (x[end > start] for x in (cut, start, end))
+        parts += [(k1[cut], k2[cut], 1, start, end), (r1[cut], r2[cut], 1, start + shift[cut], end + shift[cut])]
+        # the anchors' windows that no factor holds, in one row of windows for all documents
+        base = np.zeros(doc[-1] + 2, np.int64)
+        np.maximum.at(base, doc + 1, last + 1)
+        np.maximum.at(base, doc[cut] + 1, end)
+        base = np.cumsum(base)
+        held = _inside(int(base[-1]), np.stack([base[doc[cut]] + start, base[doc[cut]] + end], axis=1))
+        sizes = last - first + 1
+        owner = np.repeat(np.arange(len(at)), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner]
+        free = ~held[base[doc[owner]] + place]
+        owner, place = owner[free], place[free]
+        if len(owner):
+            a, b = owner[:-1], owner[1:]
+            apart = (doc[a] != doc[b]) | (r1[a] != r1[b]) | (r2[a] != r2[b]) | (shift[a] != shift[b]) | (place[1:] != place[:-1] + 1)
+            cut = np.flatnonzero(np.concatenate([[True], apart]))
+            start, end = place[cut], place[np.concatenate([cut[1:], [len(place)]]) - 1] + 1
+            cut = owner[cut]
+            parts += [(k1[cut], k2[cut], 0, start, end), (r1[cut], r2[cut], 0, start + shift[cut], end + shift[cut])]
+    names = [x.split()[0] for x in MESSAGE.split(", ")]
+    return pd.concat([pd.DataFrame(dict(zip(names, p))) for p in parts]) if parts else pd.DataFrame({n: [] for n in names})
+
+
+def _whole_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches, cut between documents only."""
+    held: list[pd.DataFrame] = []  # of the last document
+    for batch in batches:
+        if not len(batch):
+            continue
+        k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
+        before = np.flatnonzero((k1 != k1[-1]) | (k2 != k2[-1]))
+        start = int(before[-1]) + 1 if len(before) else 0
+        if start:
+            yield pd.concat([*held, batch.iloc[:start]])
+            held = []
+        elif held and (held[0]["k1"].iat[0], held[0]["k2"].iat[0]) != (k1[-1], k2[-1]):
+            yield pd.concat(held)
+            held = []
+        held.append(batch.iloc[start:])
+    if held:
+        yield pd.concat(held)
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
@@ -137,38 +164,37 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
-            out, n = [], 0
-            for row, word in words.blocks(batch["text"], window):
-                h, at, first, last = anchors(word, window)
-                out.append(pd.DataFrame({"h": h.view(np.int64), "k1": k1[row], "k2": k2[row], "at": at.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)}))
-                n += len(at)
-                if n >= OUT_ROWS:
-                    yield pd.concat(out)
-                    out, n = [], 0
-            if out:
-                yield pd.concat(out)
+            for texts in words.batches(batch["text"]):
+                row, h, at, first, last = anchors(texts, window)
+                yield pd.DataFrame({"h": h.view(np.int64), "k1": k1[row], "k2": k2[row], "at": at.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
     found = keyed.select("k1", "k2", "text").mapInPandas(anchor_rows, "h long, k1 long, k2 long, at int, first int, last int")
     seen = found.groupBy("h").agg(F.min(F.struct("k1", "k2", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
     seen = seen.select("h", F.col("ref.k1").alias("r1"), F.col("ref.k2").alias("r2"), F.col("ref.at").alias("rat"))
-    told = found.join(seen, "h").groupBy("k1", "k2").applyInPandas(parse(window), "k1 long, k2 long, kind int, start long, end long")
+
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_documents(batches):
+            if len(rows):
+                yield parse(rows, window)
+
+    told = found.join(seen, "h").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "at").mapInPandas(parsed, MESSAGE)
     told = staged(told.distinct(), "factors")
     ranges = lambda kind: told.where(F.col("kind") == kind).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
     def check_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            k1, k2, asked = batch["k1"].to_numpy(), batch["k2"].to_numpy(), batch["ranges"]
-            out, n = [], 0
-            for row, word in words.blocks(batch["text"], window):
-                pick = np.flatnonzero(_inside(len(word) - window + 1, np.array([(r["start"], r["end"]) for r in asked.iat[row]])))
-                a, b = words.runs(word, window)[pick], words.runs(words.mix(word, 1), window, SECOND)[pick]
-                out.append(pd.DataFrame({"h1": a.view(np.int64), "h2": b.view(np.int64), "k1": k1[row], "k2": k2[row], "start": pick}))
-                n += len(pick)
-                if n >= OUT_ROWS:
-                    yield pd.concat(out)
-                    out, n = [], 0
-            if out:
-                yield pd.concat(out)
+            k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
+            asked = [np.array([(r["start"], r["end"]) for r in found]) for found in batch["ranges"]]
+            for texts in words.batches(batch["text"]):
+                # a reference may end before the window that it is asked for
+                most = np.maximum(np.diff(texts.cuts) - window + 1, 0)
+                ranges = np.concatenate([np.clip(asked[row], 0, n) + ahead for row, n, ahead in zip(texts.rows, most, texts.cuts)])
+                pick = np.flatnonzero(_inside(len(texts.word), ranges))
+                a, b = words.runs(texts.word, window)[pick], words.runs(words.mix(texts.word, 1), window, SECOND)[pick]
+                of = texts.text_of()[pick]
+                row = texts.rows[of]
+                yield pd.DataFrame({"h1": a.view(np.int64), "h2": b.view(np.int64), "k1": k1[row], "k2": k2[row], "start": pick - texts.cuts[of]})
 
     # both joins below deal the texts by the same keys, so one exchange serves them
     checked = keyed.join(ranges(0), ["k1", "k2"]).mapInPandas(check_rows, "h1 long, h2 long, k1 long, k2 long, start long")

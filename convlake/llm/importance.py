@@ -26,9 +26,12 @@ from convlake.llm.common import numbered
 BUCKETS = 10_000
 
 
-def bucket_rows(word: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets of a text's words and word pairs."""
-    return np.concatenate([words.mix(word, 3), words.runs(words.mix(word, 4), 2)]) % np.uint64(buckets)
+def bucket_rows(batch: words.Batch, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text of the batch) of all words and word pairs."""
+    of = batch.text_of()
+    pair = np.flatnonzero(batch.whole(2))
+    both = words.runs(words.mix(batch.word, 4), 2)[pair]
+    return (np.concatenate([words.mix(batch.word, 3), both]) % np.uint64(buckets)).astype(np.int64), np.concatenate([of, of[pair]])
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -38,11 +41,10 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
             chosen = batch["target"].to_numpy().astype(bool)
-            for row, word in words.blocks(batch["text"]):
-                n = np.bincount(bucket_rows(word, buckets).astype(np.int64), minlength=buckets)
-                total[0] += n
-                if chosen[row]:
-                    total[1] += n
+            for texts in words.batches(batch["text"]):
+                bucket, of = bucket_rows(texts, buckets)
+                total[0] += np.bincount(bucket, minlength=buckets)
+                total[1] += np.bincount(bucket[chosen[texts.rows][of]], minlength=buckets)
         there = np.flatnonzero(total[0])
         yield pd.DataFrame({"bucket": there, "raw": total[0][there], "target": total[1][there]})
 
@@ -79,8 +81,10 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, ta
         ratios = shared.value
         for batch in batches:
             out = np.zeros((len(batch), 2))
-            for row, word in words.blocks(batch):
-                out[row] = len(word), ratios[bucket_rows(word, len(ratios))].sum()
+            for texts in words.batches(batch):
+                bucket, of = bucket_rows(texts, len(ratios))
+                out[texts.rows, 0] = np.diff(texts.cuts)
+                out[texts.rows, 1] = np.bincount(of, ratios[bucket], len(texts.rows))
             yield pd.DataFrame({"n_words": out[:, 0].astype(np.int64), "log_ratio": out[:, 1]})
 
     text, of = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("string")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -77,9 +78,41 @@ def runs(word: np.ndarray, n: int, base: int = BASE) -> np.ndarray:
     return out
 
 
-def blocks(batch: Iterator[bytes | None], least: int = 1) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of the texts of a batch that have ``least`` words or more."""
-    for row, data in enumerate(batch):
-        starts, ends = places(data or b"")
-        if len(starts) >= least:
-            yield row, hashes(data, starts, ends)
+@dataclass
+class Batch:
+    """Words of some texts, end to end: text k is row rows[k], its words are cuts[k] to cuts[k + 1]."""
+
+    rows: np.ndarray
+    cuts: np.ndarray
+    word: np.ndarray
+
+    def text_of(self) -> np.ndarray:
+        """For each word its text (k)."""
+        return np.repeat(np.arange(len(self.rows)), np.diff(self.cuts))
+
+    def whole(self, n: int) -> np.ndarray:
+        """Which runs of n words, by their first, lie in one text."""
+        of = self.text_of()
+        return of[: len(of) - n + 1] == of[n - 1 :] if len(of) >= n else np.zeros(0, bool)
+
+
+def batches(texts: Iterable[bytes | None]) -> Iterator[Batch]:
+    """The words of all texts, some BLOCK bytes at a time; a text is never cut."""
+    rows, parts, held = [], [], 0
+    for row, data in enumerate(texts):
+        if data:
+            rows.append(row)
+            parts.append(data)
+            held += len(data) + 1
+        if held >= BLOCK:
+            yield _batch(rows, parts)
+            rows, parts, held = [], [], 0
+    if rows:
+        yield _batch(rows, parts)
+
+
+def _batch(rows: list[int], parts: list[bytes]) -> Batch:
+    data = b"\n".join(parts)
+    starts, ends = places(data)
+    ahead = np.cumsum([0, *(len(x) + 1 for x in parts)])
+    return Batch(np.array(rows), np.searchsorted(starts, ahead), hashes(data, starts, ends))
