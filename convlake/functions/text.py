@@ -89,8 +89,8 @@ def canonicalize_text(c: Column) -> Column:
 
 
 def canonicalize_person(c: Column) -> Column:
-    """The name before the first comma in canonical form, without title tokens."""
-    name = F.substring_index(F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" ")), ",", 1)
+    """The name before the first comma (after compatibility forms) in canonical form, without title tokens."""
+    name = F.substring_index(F.replace(nfkc(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit(" ")), ",", 1)
     kept = F.filter(F.split(canonicalize_text(name), " "), lambda x: ~x.isin(PERSON_TITLES))
     return F.trim(F.array_join(kept, " "))
 

@@ -99,9 +99,9 @@ def compare_runs(base: DataFrame, spec: DataFrame, key: str, value: str, prefix:
 
 def run_comparison(pairs: DataFrame) -> DataFrame:
     """Mean, median and sample standard deviation of both runs and of their differences."""
-    long = pairs.select(F.explode(F.array(*[F.struct(F.lit(n).alias("series"), F.col(n).alias("v")) for n in ("base", "spec", "delta")])).alias("r")).select("r.*").filter("v IS NOT NULL")
-    stats = long.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stdev"))
-    return stats.join(exact_quantiles(long, ["series"], "v", {"median": 0.5}), "series")
+    long = pairs.select(F.explode(F.array(*[F.struct(F.lit(n).alias("series"), F.col(n).alias("v")) for n in ("base", "spec", "delta")])).alias("r")).select("r.*")
+    stats = {"n": F.count("v"), "mean": F.avg("v"), "stdev": F.coalesce(F.stddev_samp("v"), F.lit(0.0))}
+    return exact_quantiles(long, ["series"], "v", {"median": 0.5}, stats)
 
 
 def latest_call(generations: DataFrame, calls: DataFrame, keys: Sequence[str], order: str, stage: str) -> DataFrame:
@@ -115,9 +115,8 @@ def latest_call(generations: DataFrame, calls: DataFrame, keys: Sequence[str], o
 
 
 def latency_distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, median, p90 and p95 (interpolated) per metric."""
-    base = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"))
-    return base.join(exact_quantiles(df, keys, value, {"median": 0.5, "p90": 0.9, "p95": 0.95}), list(keys))
+    """Count, mean, median, p90 and p95 (interpolated) per metric; count 0 and nulls without values."""
+    return exact_quantiles(df, keys, value, {"median": 0.5, "p90": 0.9, "p95": 0.95}, stats={"count": F.count(value), "mean": F.avg(value)})
 
 
 def approximate_distribution(df: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10000) -> DataFrame:
@@ -272,20 +271,33 @@ def multiset_coverage(docs: DataFrame, doc: str, source: str, clean: str) -> Dat
     """Share of source text units found in the cleaned document.
 
     A unit counts fully when the clean side holds it as often; a unit found inside the clean text
-    counts once. Units of both sides are counted in one aggregation; only those that miss the
-    first test meet the clean text (the flag in the join key keeps the others spread).
+    counts once. Both sides are in one row, so nothing is shuffled. Without source units: 1.
     """
     def units(side: int, c: str) -> Column:
-        return F.transform(T.text_units(F.col(c)), lambda u: F.struct(F.lit(side).alias("side"), u.alias("unit")))
-
-    both = docs.select(doc, F.explode(F.concat(units(0, source), units(1, clean))).alias("u")).select(doc, "u.*")
-    counts = both.groupBy(doc, "unit").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m")).filter("n > 0")
-    counts = counts.withColumn("_miss", F.col("m") < F.col("n"))
-    blobs = docs.select(doc, F.lit(True).alias("_miss"), F.array_join(T.text_units(F.col(clean)), "\n").alias("blob"))
-    rescued = F.coalesce(F.col("blob").contains(F.col("unit")), F.lit(False)).cast("long")
-    hit = F.when(F.col("_miss"), rescued).otherwise(F.col("n"))
-    out = counts.join(blobs, [doc, "_miss"], "left").groupBy(doc).agg(F.sum("n").alias("total"), F.sum(hit).alias("matched"))
-    return out.withColumn("coverage", F.col("matched") / F.col("total"))
+        return F.transform(T.text_units(F.col(c)), lambda u: F.struct(u.alias("unit"), F.lit(side).alias("side")))
+
+    rows = docs.select(doc, F.array_sort(F.concat(units(0, source), units(1, clean))).alias("_units"), F.array_join(T.text_units(F.col(clean)), "\n").alias("_blob"))
+    # equal neighbours become runs; a unit's clean run stands right behind its source run
+    first = F.filter(F.sequence(F.lit(1), F.size("_units")), lambda i: (i == 1) | (F.get("_units", i - 1) != F.get("_units", i - 2)))
+    rows = rows.withColumn("_first", F.when(F.size("_units") > 0, first).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("_last", F.concat("_first", F.array(F.size("_units") + 1)))
+    rows = rows.withColumn("_runs", F.transform("_first", lambda i, k: F.struct(F.get("_units", i - 1).alias("item"), (F.get("_last", k + 1) - i).cast("long").alias("n"))))
+
+    def counted(r: Column, k: Column) -> Column:
+        after = F.get("_runs", k + 1)
+        m = F.when(after["item"]["unit"] == r["item"]["unit"], after["n"]).otherwise(F.lit(0))
+        return F.struct(r["item"]["unit"].alias("unit"), r["item"]["side"].alias("side"), r["n"].alias("n"), m.alias("m"))
+
+    state = F.struct(F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("total"))
+
+    def add(have: Column, unit: Column) -> Column:
+        n = unit["n"]
+        hit = F.when(unit["m"] >= n, n).otherwise(F.col("_blob").contains(unit["unit"]).cast("long"))
+        return F.struct((have["matched"] + hit).alias("matched"), (have["total"] + n).alias("total"))
+
+    rows = rows.withColumn("_counted", F.filter(F.transform("_runs", counted), lambda u: u["side"] == 0))
+    out = rows.select(doc, F.aggregate("_counted", state, add).alias("s")).select(doc, "s.total", "s.matched")
+    return out.withColumn("coverage", F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(1.0))
 
 
 def inverted_lists(df: DataFrame, value: str, holder: str) -> DataFrame:

@@ -1,61 +1,52 @@
 """Exact interpolating quantiles without holding a group's values in one task.
 
-``percentile`` keeps every distinct value of a group in one reducer. Here equal values are
-counted first, a mergeable sketch gives range edges per group, each range is its own window
-partition, and only the rows whose cumulative rank meets a requested rank survive.
+``percentile`` keeps every distinct value of a group in one reducer. Here one pass counts the values
+of each group and takes a mergeable sketch of edges; a second pass counts the values between
+edges. Only the ranges that hold a wanted rank are kept, and their values are counted and ranked, each
+range in a window of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+RANGES = 256
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """One row per group with a column per entry of ``qs`` (linear interpolation).
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], stats: dict[str, Column] | None = None) -> DataFrame:
+    """One row per group with a column per entry of ``qs`` (linear interpolation) and of ``stats``.
 
-    Nulls are ignored. ``keys`` are report dimensions: one sketch row per group is joined
-    back, by broadcast only if Spark's size estimate allows it.
+    Null values are ignored; a group without values has null quantiles. Null keys form groups.
+    ``stats`` are further aggregates of the group, from the same pass. Without ``keys``: one row.
     """
-    report, keys = list(keys), list(keys) or ["_all"]
-    if not report:
-        df = df.withColumn("_all", F.lit(0))
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    keys, stats = list(keys), stats or {}
+    # a struct is never null, so groups with null keys meet in plain joins
+    rows = df.withColumn("_k", F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_all")))
+    v = F.col(value)
     marks = [i / RANGES for i in range(1, RANGES)]
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", marks, 1000).alias("_edges"), F.sum("_n").alias("_total")
-    )
-    ranged = counts.join(edges, keys).withColumn(
-        "_r", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    ).drop("_edges")
-
-    per_range = ranged.groupBy(*keys, "_r").agg(F.sum("_n").alias("_rn"))
-    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(*keys, "_r", F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        ranged.withColumn("_cum", F.sum("_n").over(inside))
-        .join(offsets, [*keys, "_r"])
-        .withColumn("_hi", F.col("_cum") + F.col("_off") - 1)
-        .withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
-    )
-    aggs = []
-    for name, q in qs.items():
-        rank = F.lit(q) * (F.col("_total") - 1)
-        for tag, at in (("f", F.floor(rank)), ("c", F.ceil(rank))):
-            aggs.append(F.max(F.when((F.col("_lo") <= at) & (at <= F.col("_hi")), F.col("_v"))).alias(f"_{tag}_{name}"))
-    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs)
-    out = []
+    groups = rows.groupBy("_k").agg(F.percentile_approx(v, marks, 10 * RANGES).alias("_edges"), F.count(v).alias("_total"), *[c.alias(n) for n, c in stats.items()])
+    edges = groups.where("_total > 0").select("_k", F.array_distinct("_edges").alias("_edges"), "_total")
+    ranged = rows.where(v.isNotNull()).select("_k", v.alias("_v")).join(edges, "_k")
+    ranged = ranged.select("_k", "_v", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_r"))
+    sizes = ranged.groupBy("_k", "_r").agg(F.count(F.lit(1)).alias("_rn"))
+    before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.join(edges.select("_k", "_total"), "_k").withColumn("_off", F.coalesce(F.sum("_rn").over(before), F.lit(0)))
+    last = F.col("_off") + F.col("_rn") - 1
+    at = [f(F.lit(q) * (F.col("_total") - 1)) for q in qs.values() for f in (F.floor, F.ceil)]
+    wanted = offsets.where(F.exists(F.array(*at), lambda x: (x >= F.col("_off")) & (x <= last)))
+    counts = ranged.join(wanted.select("_k", "_r", "_off", "_total"), ["_k", "_r"]).groupBy("_k", "_r", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_off").alias("_off"), F.first("_total").alias("_total"))
+    inside = Window.partitionBy("_k", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_hi", F.sum("_n").over(inside) + F.col("_off") - 1).withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
+    aggs, out = [], []
     for name, q in qs.items():
         rank = F.lit(q) * (F.col("_total") - 1)
+        for tag, place in (("f", F.floor(rank)), ("c", F.ceil(rank))):
+            aggs.append(F.max(F.when((F.col("_lo") <= place) & (place <= F.col("_hi")), F.col("_v"))).alias(f"_{tag}_{name}"))
         lo, hi = F.col(f"_f_{name}"), F.col(f"_c_{name}")
         out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return picked.select(*report, *out)
+    picked = ranked.groupBy("_k").agg(*aggs)
+    names = [F.col(f"_k.{k}").alias(k) for k in keys]
+    return groups.drop("_edges").join(picked, "_k", "left").select(*names, *stats, *out)

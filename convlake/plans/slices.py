@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(key)`` puts a whole group into one task, which fail
 user or conversation holds a large share of the table. Here every group is cut into slices
 by a monotone function of its ordering (a day of events, a few thousand frames). Windows run
 inside a slice; what has to cross a slice border is aggregated to one row per slice, scanned
-over the slices of the group, and joined back. The large side is shuffled once, on
-(group, slice); the scan over a group sees one row per slice.
+over the slices of the group, and added to each slice as a row before its first or after its last.
+The large side is shuffled once, on (group, slice), and not joined; null keys form groups.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+EDGE = "_edge"
 ROWS_PER_SLICE = 4096
 # ten minutes: a key with 30 TB of events in a month still gives slices of a few GB, and a key
 # has at most 144 border rows per day however many events it has
@@ -104,75 +105,57 @@ def scan(
     keys, order = list(keys), list(order)
     if SLICE not in df.columns:
         df = df.withColumn(SLICE, slice_expr)
-    for i, s in enumerate(specs):
-        df = df.withColumn(f"_x{i}", s.expr)
+    named = [f"_x{i}" for i in range(len(specs))]
+    steps = [F.struct(s.expr.alias("v")) if isinstance(s, (Lag, Lead)) else s.expr for s in specs]
+    df = df.select("*", *[x.alias(n) for x, n in zip(steps, named)])
 
+    # one row per slice with what the slice hands on, then what each slice gets from the others
     position = F.struct(*order)
     aggs, carries = [], []
     over = Window.partitionBy(*keys).orderBy(SLICE)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     after = over.rowsBetween(1, Window.unboundedFollowing)
-    for i, s in enumerate(specs):
-        x, name = F.col(f"_x{i}"), f"_s{i}"
-        if isinstance(s, Lag):
-            aggs.append(F.max_by(F.struct(x.alias("v")), position).alias(name))
-            carries.append(F.last(name, ignorenulls=True).over(before).alias(f"_c{i}"))
-        elif isinstance(s, Lead):
-            aggs.append(F.min_by(F.struct(x.alias("v")), position).alias(name))
-            carries.append(F.first(name, ignorenulls=True).over(after).alias(f"_c{i}"))
-        elif isinstance(s, RunSum):
-            aggs.append(F.sum(x).alias(name))
-            carries.append(F.sum(name).over(before).alias(f"_c{i}"))
-        elif isinstance(s, RunMax):
-            aggs.append(F.max(x).alias(name))
-            carries.append(F.max(name).over(before).alias(f"_c{i}"))
-        elif isinstance(s, LastValid):
-            aggs.append(F.max_by(x, F.when(x.isNotNull(), position)).alias(name))
-            carries.append(F.last(name, ignorenulls=True).over(before).alias(f"_c{i}"))
+    for s, n in zip(specs, named):
+        x = F.col(n)
+        if isinstance(s, (RunSum, RunMax)):
+            f = F.sum if isinstance(s, RunSum) else F.max
+            aggs.append(f(x).alias(n))
+            carries.append(f(n).over(before).alias(n))
+        elif isinstance(s, (Lag, LastValid)):
+            aggs.append(F.max_by(x, F.when(x.isNotNull(), position)).alias(n))
+            carries.append(F.last(n, ignorenulls=True).over(before).alias(n))
         else:
-            aggs.append(F.min_by(x, F.when(x.isNotNull(), position)).alias(name))
-            carries.append(F.first(name, ignorenulls=True).over(after).alias(f"_c{i}"))
-
+            aggs.append(F.min_by(x, F.when(x.isNotNull(), position)).alias(n))
+            carries.append(F.first(n, ignorenulls=True).over(after).alias(n))
     borders = df.groupBy(*keys, SLICE).agg(*aggs).select(*keys, SLICE, *carries)
 
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    # a slice's windows see what it gets as a row before its first and one after its last
+    sums = {n: borders.schema[n].dataType for s, n in zip(specs, named) if isinstance(s, RunSum)}
+    df = df.withColumns({n: F.col(n).cast(kind) for n, kind in sums.items()}).withColumn(EDGE, F.lit(0))
+    ahead = [isinstance(s, (Lead, NextValid)) for s in specs]
+    for edge in {1 if a else -1 for a in ahead}:
+        kept = [n if a == (edge > 0) else F.lit(None).cast(borders.schema[n].dataType).alias(n) for n, a in zip(named, ahead)]
+        df = df.unionByName(borders.select(*keys, SLICE, *kept, F.lit(edge).alias(EDGE)), allowMissingColumns=True)
+
+    local = Window.partitionBy(*keys, SLICE).orderBy(EDGE, *order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     past = local.rowsBetween(Window.unboundedPreceding, -1)
     onward = local.rowsBetween(0, Window.unboundedFollowing)
     future = local.rowsBetween(1, Window.unboundedFollowing)
-    cols = []
-    for i, s in enumerate(specs):
-        x = F.col(f"_x{i}")
-        if isinstance(s, Lag):
-            cols.append(F.lag(F.struct(x.alias("v"))).over(local).alias(f"_l{i}"))
-        elif isinstance(s, Lead):
-            cols.append(F.lead(F.struct(x.alias("v"))).over(local).alias(f"_l{i}"))
-        elif isinstance(s, RunSum):
-            cols.append(F.sum(x).over(upto if s.inclusive else past).alias(f"_l{i}"))
-        elif isinstance(s, RunMax):
-            cols.append(F.max(x).over(upto if s.inclusive else past).alias(f"_l{i}"))
-        elif isinstance(s, LastValid):
-            cols.append(F.last(x, ignorenulls=True).over(upto if s.inclusive else past).alias(f"_l{i}"))
-        else:
-            cols.append(F.first(x, ignorenulls=True).over(onward if s.inclusive else future).alias(f"_l{i}"))
-
-    joined = df.select("*", *cols).join(borders, [*keys, SLICE], "left")
-    out = [F.col(c) for c in df.columns if c != SLICE and not c.startswith("_x")]
-    for i, s in enumerate(specs):
-        here, carry = F.col(f"_l{i}"), F.col(f"_c{i}")
+    out = []
+    for s, n in zip(specs, named):
+        x = F.col(n)
         if isinstance(s, (Lag, Lead)):
-            found = F.coalesce(here, carry)
-            value = found["v"]
-            if s.default is not None:
-                value = F.when(found.isNull(), s.default).otherwise(value)
-        elif isinstance(s, RunSum):
-            value = F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
-        elif isinstance(s, RunMax):
-            value = F.greatest(here, carry)
+            found = (F.lag if isinstance(s, Lag) else F.lead)(x).over(local)
+            value = found["v"] if s.default is None else F.when(found.isNull(), s.default).otherwise(found["v"])
+        elif isinstance(s, NextValid):
+            value = F.first(x, ignorenulls=True).over(onward if s.inclusive else future)
         else:
-            value = F.coalesce(here, carry)
+            frame = upto if s.inclusive else past
+            value = F.coalesce(F.sum(x).over(frame), F.lit(0)) if isinstance(s, RunSum) else F.max(x).over(frame) if isinstance(s, RunMax) else F.last(x, ignorenulls=True).over(frame)
         out.append(value.alias(s.out))
-    return joined.select(*out)
+    rest = [c for c in df.columns if c not in (SLICE, EDGE, *named)]
+    return df.select(*rest, EDGE, *out).where(F.col(EDGE) == 0).drop(EDGE)
 
 
 def neighbours(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,20 +55,43 @@ def split_by_pattern(df: DataFrame, path: str, patterns: dict[str, str], default
     return df.withColumn("split", out)
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Create missing nodes; overwrite the properties a new row carries, keep the others."""
-    props = [c for c in new.columns if c != key]
-    joined = old.alias("o").join(new.alias("n"), key, "full_outer")
-    return joined.select(key, *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in props])
+def _upsert(old: DataFrame, new: DataFrame, keys: list[str], null_overwrites: bool) -> DataFrame:
+    """Full join on keys (null-safe) with the columns of both tables, the old ones first."""
+    o = old.withColumn("_old", F.lit(True)).alias("o")
+    n = new.withColumn("_new", F.lit(True)).alias("n")
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    joined = o.join(n, functools.reduce(lambda a, b: a & b, same), "full_outer")
+    out = [F.when(F.col("o._old"), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in keys]
+    for c in [*old.columns, *(c for c in new.columns if c not in old.columns)]:
+        if c in keys:
+            continue
+        if c not in new.columns:
+            out.append(F.col(f"o.{c}"))
+        elif c not in old.columns:
+            out.append(F.col(f"n.{c}"))
+        elif null_overwrites:
+            out.append(F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
+        else:
+            out.append(F.coalesce(f"n.{c}", f"o.{c}").alias(c))
+    return joined.select(*out)
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame, key: str, null_overwrites: bool = False) -> DataFrame:
+    """Create missing nodes; overwrite the properties a new row carries, keep the others.
+
+    The result has the columns of both tables. A null in a new row keeps the old value unless
+    ``null_overwrites``.
+    """
+    return _upsert(old, new, [key], null_overwrites)
 
 
-def upsert_edges(old: DataFrame, new: DataFrame, keys: Sequence[str], src_nodes: DataFrame, dst_nodes: DataFrame) -> DataFrame:
+def upsert_edges(
+    old: DataFrame, new: DataFrame, keys: Sequence[str], src_nodes: DataFrame, dst_nodes: DataFrame, null_overwrites: bool = False
+) -> DataFrame:
     """As for nodes, for edges whose two end points exist (columns ``src`` and ``dst``)."""
     ok = new.join(src_nodes.select(F.col("id").alias("src")), "src", "left_semi")
     ok = ok.join(dst_nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    props = [c for c in new.columns if c not in keys]
-    joined = old.alias("o").join(ok.alias("n"), list(keys), "full_outer")
-    return joined.select(*keys, *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in props])
+    return _upsert(old, ok, list(keys), null_overwrites)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -56,6 +56,8 @@ class OrderedProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", "json string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None or key[0] != key[0]:  # the mark of the end of input, which only moves the watermark
+            return iter([])
         latest = None
         for pdf in rows:
             batch = list(pdf[self.row_schema.names].itertuples(index=False, name=None))

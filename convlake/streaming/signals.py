@@ -95,17 +95,19 @@ def anticipation_machine(threshold: float = ANTICIPATE_THRESHOLD, cooldown_us: i
 
 
 def speculation_machine(window_us: int = WINDOW_US, drain_us: int = 30_000_000) -> Machine:
-    """Life of speculative attempts; one output row per change of an attempt's status.
+    """Life of speculative attempts; one output row per change of an attempt's status or buffer.
 
     Rows: ts_us, id, kind. ``trigger`` starts an attempt and supersedes the active one, which is
     kept as the fallback; ``chunk`` buffers audio for the active attempt; the window expires on
     its own and keeps the buffer; ``pause`` commits the active attempt or the fallback, whichever
     has audio first, or discards; ``interrupt`` stops a committed attempt that still drains.
+    ``done`` completes the active attempt, which a pause can still commit; ``failed`` and
+    ``cancel`` end it.
     """
 
     def change(st: dict, a: dict, status: str, reason: str, ts: int) -> tuple:
         st["seq"] += 1
-        a["status"] = status
+        a["status"], a["reason"] = status, reason
         return (st["seq"], a["index"], status, reason, a["chunks"], ts)
 
     def tick(st: dict, now: int) -> list[tuple]:
@@ -128,6 +130,12 @@ def speculation_machine(window_us: int = WINDOW_US, drain_us: int = 30_000_000)
             out.append(change(st, st["active"], "started", "trigger", ts))
         elif kind == "chunk" and a is not None:
             a["chunks"] += 1
+            out.append(change(st, a, a["status"], a["reason"], ts))
+        elif kind == "done" and a is not None:
+            out.append(change(st, a, "completed", "finished_without_commit", ts))
+        elif kind in ("failed", "cancel") and a is not None:
+            out.append(change(st, a, *(("failed", "exception") if kind == "failed" else ("cancelled", "task_cancelled")), ts))
+            st["active"] = None
         elif kind == "pause":
             done = None
             if a is not None and a["chunks"] > 0:

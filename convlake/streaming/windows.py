@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +25,36 @@ def read_events(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return spark.read.schema(schema).format(fmt).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+END = "2200-01-01 00:00:00"  # within the range of pandas times
+
+
+def run_to_end(events: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, partitions: int | None = None) -> DataFrame:
+    """``run_to_table`` of ``operator(events)`` for input that ends: what is still open is closed too.
+
+    Events are joined by a second, empty source. After all input has been read, the stream starts again
+    from its checkpoint with one row there, null but for a late ``ts``; it moves the watermark
+    past every window and timer, and stays open itself.
+    """
+    spark = events.sparkSession
+    end = f"{shared_dir(spark)}/{name}-end-{uuid.uuid4().hex}"
+    mark = spark.range(1).select(*[(F.lit(END) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    mark.limit(0).write.parquet(end)
+    both = operator(events.union(spark.readStream.schema(mark.schema).parquet(end)))
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    run_to_table(both, name, partitions, base)
+    mark.write.mode("append").parquet(end)
+    return run_to_table(both, name, partitions, base)
+
+
+def run_to_table(stream: DataFrame, name: str, partitions: int | None = None, base: str | None = None) -> DataFrame:
     """Run a stream over all available input into a table of the shared folder, and read it.
 
     The number of state partitions is fixed for the life of a stream's checkpoint; unless given it
-    is the number of cores, not the shuffle setting of the session.
+    is the number of cores, not the shuffle setting of the session. ``base`` is the folder of a
+    stream to go on with.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.sparkContext.defaultParallelism))
     try:

@@ -320,9 +320,8 @@ def _(t):
 @query("h2_canonicalize_person", """
 SELECT c_custkey, lower(replace(c_name, '#', ' ')) AS person FROM customer""")
 def _(t):
-    full = F.concat(F.lit("Ing._"), "c_name", F.lit("_Ph,_doc. Ing."))
-    canon = T.canonicalize_person(full)
-    return t.customer.select("c_custkey", F.regexp_replace(canon, " ph$", "").alias("person"))
+    full = F.concat(F.lit("Ing._"), "c_name", F.when(F.col("c_custkey") % 2 == 0, F.lit(",_doc. Ing.")).otherwise(F.lit("\uff0c doktor")))
+    return t.customer.select("c_custkey", T.canonicalize_person(full).alias("person"))
 
 
 @query("h3_normalize_semester", """
@@ -406,9 +405,9 @@ def _(t):
     return t.documents.select("doc_id", F.md5(T.spoken_normal_form(F.col("text"))).alias("m"))
 
 
-@query("h36_key_slug", "SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+@query("h36_key_slug", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
 def _(t):
-    return t.documents.select("doc_id", T.key_slug(F.left("text", F.lit(60))).alias("slug"))
+    return t.documents.select("doc_id", T.key_slug(F.col("text")).alias("slug"))
 
 
 @query("h37_silence_marker_strip", "SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN '...' ELSE text END) AS m FROM conversations")

@@ -62,8 +62,8 @@ def _(t):
 SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, left(text, 220) AS preview FROM pool LEFT JOIN doc ON doc_id = vec_id WHERE rank <= 3""")
 def _(t):
     e = t.embeddings
-    hits = V.vector_topk(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 5, exclude_same=True).drop("rank")
-    texts = t.documents.select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(1200)).alias("text"))
+    hits = V.vector_topk(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 3, exclude_same=True).drop("rank")
+    texts = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
     top = V.topk_per_query(hits.join(texts, "vec_id", "left"), 3, "text", 220)
     return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "preview")
 
@@ -95,10 +95,10 @@ g AS (SELECT doc_id, ('0x' || h[1:7])::BIGINT % 64 AS idx,
         (CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) * (1 + ('0x' || h[11:12])::BIGINT / 255.0::DOUBLE) AS w FROM f),
 s AS (SELECT doc_id, idx, sum(w) AS w FROM g GROUP BY 1, 2),
 n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM s GROUP BY 1)
-SELECT doc_id, idx, round(w / greatest(norm, 1e-12), 6) AS value FROM s JOIN n USING (doc_id) WHERE abs(w) > 1e-6""")
+SELECT doc_id, idx, round(w / greatest(norm, 1e-12), 6) AS value FROM s JOIN n USING (doc_id) """)
 def _(t):
     v = V.hashed_features(t.documents, "doc_id", "text", 64)
-    return v.select("doc_id", "idx", F.round("value", 6).alias("value")).filter(F.abs("value") > 1e-9)
+    return v.select("doc_id", "idx", F.round("value", 6).alias("value"))
 
 
 @query("h16_hash_embedding_blake2b")
@@ -295,11 +295,11 @@ def _(t):
 
 
 @query("j11_benchmark_responses", f"""
-SELECT b.item_id, md5(regexp_replace(d.text, '^{SPACE}+|{SPACE}+$', '', 'g')) AS answer_md5, true AS answered FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7 AND d.lang = 'en'
-UNION ALL SELECT b.item_id, NULL, false FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.item_id * 7 AND d.lang = 'en')""")
+SELECT b.item_id, md5(regexp_replace(d.text, '^{SPACE}+|{SPACE}+$', '', 'g')) AS answer_md5, true AS answered FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7 AND b.item_id % 3 <> 1
+UNION ALL SELECT b.item_id, NULL, false FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.item_id * 7 AND b.item_id % 3 <> 1)""")
 def _(t):
     items = t.benchmark.withColumnRenamed("text", "question").withColumn("doc_id", F.col("item_id") * 7)
-    outputs = t.documents.filter("lang = 'en'").join(items.select("doc_id", "item_id"), "doc_id").select("item_id", F.col("text").alias("output_text"))
+    outputs = t.documents.join(items.filter("item_id % 3 <> 1").select("doc_id", "item_id"), "doc_id").select("item_id", F.col("text").alias("output_text"))
     done, missing = EV.benchmark_responses(items.drop("doc_id"), outputs)
     return done.select("item_id", F.md5("answers.top1_answer").alias("answer_md5"), F.lit(True).alias("answered")).unionByName(
         missing.select("item_id", F.lit(None).cast("string").alias("answer_md5"), F.lit(False).alias("answered"))

@@ -299,12 +299,12 @@ def coverage(t: Tables):
     return TC.multiset_coverage(src.withColumn("clean", changed), "doc_id", "source", "clean")
 
 
-@query("a25_multiset_coverage", f"WITH {COV} SELECT doc_id, CAST(total AS BIGINT) AS total, CAST(matched AS BIGINT) AS matched, round(matched / total::DOUBLE, 6) AS coverage FROM cv")
+@query("a25_multiset_coverage", f"WITH {COV} SELECT doc_id, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(matched, 0) AS BIGINT) AS matched, coalesce(round(matched / total::DOUBLE, 6), 1) AS coverage FROM c LEFT JOIN cv USING (doc_id)")
 def _(t):
     return coverage(t).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("k5_sort_then_limit", f"WITH {COV} SELECT doc_id, round(matched / total::DOUBLE, 6) AS coverage FROM cv ORDER BY 2, 1 LIMIT 20")
+@query("k5_sort_then_limit", f"WITH {COV} SELECT doc_id, coalesce(round(matched / total::DOUBLE, 6), 1) AS coverage FROM c LEFT JOIN cv USING (doc_id) ORDER BY 2, 1 LIMIT 20")
 def _(t):
     return coverage(t).select("doc_id", F.round("coverage", 6).alias("coverage")).orderBy("coverage", "doc_id").limit(20)
 

@@ -88,7 +88,7 @@ def _(t):
 
 
 MR = """
-k AS (SELECT * FROM conversations WHERE replace(text, '—', '') <> '' AND length(text) >= 80),
+k AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'user' ELSE role END AS role, text FROM conversations WHERE replace(text, '—', '') <> ''),
 f AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 g AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS m FROM f),
 merged AS (SELECT conv_id, CAST(m AS BIGINT) AS m, any_value(role) AS role, string_agg(text, ' ' ORDER BY turn) AS content FROM g GROUP BY 1, 2),
@@ -100,7 +100,7 @@ h AS (SELECT conv_id, max(CASE WHEN m = 0 THEN role END) AS r0, max(CASE WHEN m
 SELECT conv_id, m * 2 AS pos, role, md5(content) AS content_md5 FROM merged
 UNION ALL SELECT conv_id, 1, 'user', md5('Hello.') FROM h WHERE r0 = 'system' AND (r1 IS NULL OR r1 = 'assistant')""")
 def _(t):
-    turns = t.conversations.filter(F.length("text") >= 80)
+    turns = t.conversations.withColumn("role", F.when(F.col("turn") % 3 == 2, "user").otherwise(F.col("role")))
     return U.merge_same_role(turns).select("conv_id", "pos", "role", F.md5("content").alias("content_md5"))
 
 

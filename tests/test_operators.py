@@ -299,3 +299,9 @@ def test_benchmark_items_keep_last_file(spark):
     body = lambda q: json.dumps({"items": [{"id": "i1", "question": q, "expected_answer": "x"}]})
     df = spark.createDataFrame([("d/a.json", body("old")), ("d/b.json", body("new"))], "path string, body string")
     assert [(r.question, r.topic) for r in EV.explode_items(df, "struct<id:string,question:string,expected_answer:string,type:string>").collect()] == [("new", "b")]
+
+
+def test_coverage_of_empty_and_repeated_units(spark):
+    rows = [(1, "a|b|a", "a|b"), (2, "", "x"), (3, None, None), (4, "a|a|c", "a|a|d"), (5, "x y|z", "x y z")]
+    got = {r.doc: (r.total, r.matched, round(r.coverage, 6)) for r in TC.multiset_coverage(spark.createDataFrame(rows, "doc int, s string, c string"), "doc", "s", "c").collect()}
+    assert got == {1: (3, 2, 0.666667), 2: (0, 0, 1.0), 3: (0, 0, 1.0), 4: (3, 2, 0.666667), 5: (2, 2, 1.0)}

@@ -13,7 +13,7 @@ def rows(seed=1, n=400):
     rng = random.Random(seed)
     out, pos = [], {}
     for _ in range(n):
-        k = "hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}"
+        k = "hot" if rng.random() < 0.5 else rng.choice([None, "k0", "k1", "k2", "k3"])
         pos[k] = pos.get(k, 0) + rng.randrange(1, 4)
         out.append((k, pos[k], rng.choice([None, 1, 2, 3]), rng.randrange(-5, 6)))
     return out
@@ -64,3 +64,27 @@ def test_quantiles_equal_numpy(spark):
         for name, q in (("q50", 50), ("q90", 90), ("q95", 95)):
             assert abs(got[k][name] - np.percentile(v, q)) < 1e-9
     assert abs(exact_quantiles(df, [], "v", {"m": 0.5}).first().m - np.median(np.concatenate(list(data.values())))) < 1e-9
+
+
+def test_quantiles_of_null_keys_and_empty_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("a", None), ("b", 5.0)], "k string, v double")
+    got = {r.k: (r.m, r.n) for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}, {"n": F.count("v")}).collect()}
+    assert got == {None: (1.5, 2), "a": (None, 0), "b": (5.0, 1)}
+    assert exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_quantiles_of_many_distinct_and_of_one_heavy_value(spark):
+    df = spark.range(20000).select((F.col("id") * 7919 % 20011).cast("double").alias("v"), F.lit("x").alias("k"))
+    df = df.union(spark.range(15000).select(F.lit(123.0), F.lit("x")))
+    values = [r.v for r in df.collect()]
+    row = exact_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.999}).first()
+    assert np.allclose([row.a, row.b, row.c], np.percentile(values, [1, 50, 99.9]))
+
+
+def test_scan_shuffles_the_rows_once(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("p"), F.col("id").alias("v"))
+    out = S.scan(df, ["k"], ["p"], S.by_index("p", 64), [S.RunSum("s", F.col("v")), S.Lead("n", F.col("v"))])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "_slice" in line]
+    assert "Join" not in plan and 1 <= len(rows) <= 4  # the union of rows and borders, and the borders' sums
+    assert out.agg(F.sum("s")).first()[0] == sum(sum(range(k, i + 1, 3)) for k in range(3) for i in range(k, 1000, 3))

@@ -72,3 +72,8 @@ def test_upserts(spark):
     new = spark.createDataFrame([(2, None, "y"), (3, "c", None)], "id int, name string, p string")
     assert sorted(tuple(r) for r in R.upsert_nodes(old, new, "id").collect()) == [(1, "a", "x"), (2, "b", "y"), (3, "c", None)]
     assert R.duplicate_keys(old.union(old.filter(F.col("id") == 1)), ["id"]).first().copies == 2
+    wide = spark.createDataFrame([(1, "a", "m1"), (2, "b", "m2"), (None, "n", "m0")], "id int, name string, mail string")
+    new = spark.createDataFrame([(2, None, 5), (3, "c", 6), (None, "q", 7)], "id int, name string, age int")
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(map(tuple, R.upsert_nodes(wide, new, "id").collect()), key=key) == [(1, "a", "m1", None), (2, "b", "m2", 5), (3, "c", None, 6), (None, "q", "m0", 7)]
+    assert sorted(map(tuple, R.upsert_nodes(wide, new, "id", null_overwrites=True).collect()), key=key)[1] == (2, None, "m2", 5)
