@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from convlake.llm import entropy, factors, importance, langid, mixing, packing, secrets, simhash, sketches, voronoi
+from convlake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
+    return configure(spark).read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -70,11 +70,12 @@ def with_next(docs: DataFrame, scale: int = 8, words: int = 5, id_col: str = "do
         last = 0
     after = line.select(F.when(F.col("place") == 0, F.lit(last)).otherwise(F.col("place") - 1).alias("place"), F.col("k1").alias("n1"), F.col("k2").alias("n2"))
     asked = line.select("place", "k1", "k2", "n_chars", "copies").join(after, "place").drop("place")
-    # each distinct row once; both joins below use this exchange
-    once = keyed.withColumn("sketch", sketch(F.col("text"), words, scale)).groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("sketch").alias("sketch"))
-    head = F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")).alias("next_head")
-    sent = once.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "text", F.col("sketch").alias("next_sketch"), F.lit(1).alias("_")).join(asked, ["n1", "n2"]).select("k1", "k2", "n_chars", "copies", head, "next_sketch")
+    # each distinct row once, as a struct, so that both joins below read the same columns and share one exchange
+    once = keyed.withColumn("sketch", sketch(F.col("text"), words, scale)).groupBy("k1", "k2").agg(F.first(F.struct("id", "text", "sketch")).alias("row"))
+    head = F.substring(F.col("row.text"), F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")).alias("next_head")
+    sent = once.withColumnsRenamed({"k1": "n1", "k2": "n2"}).join(asked, ["n1", "n2"]).select("k1", "k2", "n_chars", "copies", head, F.col("row.sketch").alias("next_sketch"))
     met = once.join(sent, ["k1", "k2"])
-    own = F.struct(head, F.col("sketch").alias("next_sketch"))
+    own = F.struct(head, F.col("row.sketch").alias("next_sketch"))
     nexts = F.concat(F.array(F.struct("next_head", "next_sketch")), F.array_repeat(own, (F.col("copies") - 1).cast("int")))
-    return met.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_chars", "sketch", F.explode(nexts).alias("_")).select(id_col, text_col, "n_chars", "sketch", "_.next_head", "_.next_sketch")
+    out = met.select("row", "n_chars", F.explode(nexts).alias("next"))
+    return out.select(F.col("row.id").alias(id_col), F.col("row.text").alias(text_col), "n_chars", F.col("row.sketch").alias("sketch"), "next.next_head", "next.next_sketch")
