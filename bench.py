@@ -18,7 +18,7 @@ HEADLINE = [
     "w11_greedy_cooldown", "a14_forecast_metrics", "a15_endpoint_metrics", "j12_window_hits", "a9_latency_distribution",
     "a11_stage_latencies", "a30_phase_timestamps", "j7_nearest_in_time", "j8_asof_backward", "j9_fifo_match",
     "u7_build_edges", "j4_fuzzy_link", "j15_negative_sample", "k3_quota_sample", "s13_extract_links", "s14_extract_sections",
-    "t1_pause_ema_batch", "t3_speculation_batch", "t8_turn_sessions",
+    "t1_pause_ema_batch", "t3_speculation_batch", "t8_turn_sessions", "t1_pause_ema", "t3_speculation_lifecycle", "t5_rechunk_stream",
 ]
 
 

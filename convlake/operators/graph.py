@@ -231,9 +231,9 @@ def graph_paths(start: DataFrame, edges: DataFrame, hops: Sequence[tuple[str, bo
 def negative_sample(held: DataFrame, entity: str, value: str, seed: str) -> DataFrame:
     """One value per entity that it does not hold, picked by digest.
 
-    The universe of values is put in digest order and numbered. An entity with ``d`` values
-    starts at its own place and takes the first free one of the next ``d + 1``, so candidates are
-    never more than the held rows plus one per entity, and the pick is exact.
+    The universe of values is put in digest order and numbered. An entity starts at its own place
+    and takes the first free one from there, round the end. Its held places, counted from the start
+    and put in order, are 0, 1, 2, … up to the first free one, so an ordered scan finds it.
     """
     pairs = held.select(entity, value).distinct()
     universe = pairs.select(value).distinct().withColumn("_m", F.md5(F.concat_ws("|", F.lit(seed), value)))
@@ -244,8 +244,10 @@ def negative_sample(held: DataFrame, entity: str, value: str, seed: str) -> Data
     own = pairs.join(ranked, value).select(entity, "_i")
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), entity)), 1, 8), 16, 10).cast("long")
     counts = own.groupBy(entity).agg(F.count(F.lit(1)).alias("_d")).withColumn("_all", F.lit(0)).join(size, "_all").filter("_d < _n")
-    cand = counts.select(entity, "_n", (start % F.col("_n")).alias("_s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_d"))).alias("_k"))
-    cand = cand.select(entity, "_k", ((F.col("_s") + F.col("_k")) % F.col("_n")).alias("_i"))
-    free = cand.join(own, [entity, "_i"], "left_anti")
-    first = free.groupBy(entity).agg(F.min_by("_i", "_k").alias("_i"))
+    counts = counts.select(entity, "_n", (start % F.col("_n")).alias("_s"))
+    away = own.join(counts, entity).select(entity, "_n", "_s", F.pmod(F.col("_i") - F.col("_s"), F.col("_n")).alias("_k"))
+    placed = S.row_index(away, [entity], ["_k"], S.by_index("_k", 1 << 20), "_at")
+    # up to the first free place both agree, from there on the places run ahead
+    first = placed.groupBy(entity).agg(F.count_if(F.col("_k") == F.col("_at")).alias("_free"), F.first("_n").alias("_n"), F.first("_s").alias("_s"))
+    first = first.select(entity, ((F.col("_s") + F.col("_free")) % F.col("_n")).alias("_i"))
     return first.join(ranked, "_i").select(entity, value)

@@ -177,11 +177,15 @@ def attribute_rules(family: Sequence[tuple[str, str, str]], slot: str) -> list[I
 
 
 # fixed values: (type, record column, answer field) of the attribute questions
-PERSON_ATTRIBUTES = [("email", "email", "contact.details.e_mail"), ("phone", "phone", "contact.details.work_phone"), ("office_yes", "office_room", "contact.details.room"), ("consulting_hours", "consulting_hours", "teaching.consulting_hours")]
+PERSON_ATTRIBUTES = [("email", "email", "contact.details.e_mail"), ("phone", "phone", "contact.details.work_phone"), ("consulting_hours", "consulting_hours", "teaching.consulting_hours")]
 PUBLICATION_ATTRIBUTES = [("year", "year", "year"), ("authors", "authors", "sections.authors.text"), ("type", "type", "sections.type.text"), ("publisher", "publisher", "sections.publisher.text"), ("projects", "projects", "sections.projects.text"), ("research_groups", "research_groups", "sections.research_groups.text"), ("departments", "departments", "sections.departments.text")]
 GROUP_ATTRIBUTES = [("contact_person", "contact_person", "team.principal_researcher[].name")]
 
 
+# fixed values: (type, record column) of the yes/no questions on people
+PERSON_FACTS = [("office", "office_room")]
+
+
 def membership_items(held: DataFrame, entity: str, value: str, kind: str, templates: Sequence[str], seed: str) -> DataFrame:
     """Yes/no questions on a list attribute: one held value and one not held per entity.
 

@@ -18,9 +18,9 @@ from convlake.plans.quantiles import exact_quantiles
 
 def _time_line(a: DataFrame, b: DataFrame, keys: Sequence[str], ts: str, id: str) -> DataFrame:
     """Rows of both sides on one line; at equal times ``b`` comes first, and only its least id."""
-    left = a.select(*keys, ts, F.lit(1).alias("_side"), F.struct(*a.columns).alias("_a"), F.lit(None).cast("bigint").alias("_bid"), F.col(id).alias("_ord"))
+    left = a.select(*keys, ts, F.lit(1).alias("_side"), F.struct(*a.columns).alias("_a"), F.lit(None).cast(b.schema["id"].dataType).alias("_bid"), F.col(id).alias("_ord"))
     right = b.groupBy(*keys, ts).agg(F.min("id").alias("_bid"))
-    right = right.select(*keys, ts, F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_a"].dataType).alias("_a"), "_bid", F.lit(0).cast("bigint").alias("_ord"))
+    right = right.select(*keys, ts, F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_a"].dataType).alias("_a"), "_bid", F.lit(None).cast(a.schema[id].dataType).alias("_ord"))
     return left.unionByName(right)
 
 

@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from convlake.functions import text as T
 
-BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 2048
+TILE_BYTES = 64 << 20  # queries that meet a block of vectors in one task
+QUERY_ROWS = 2048  # of them scored at a time
 SALTS = 64
 
 
@@ -66,39 +67,39 @@ def hashed_features(df: DataFrame, id: str, text: str, dim: int) -> DataFrame:
     return sums.join(norms, id).select(id, "idx", (F.col("w") / F.greatest("norm", F.lit(1e-12))).alias("value"))
 
 
-def _pack(id: str):
-    """One row (ids, matrix bytes, rows) per Arrow batch of vectors."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                yield pd.DataFrame({"vids": [pdf[id].to_numpy().astype(np.int64).tobytes()], "vmat": [m.tobytes()], "vn": [len(pdf)]})
-
-    return pack
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (ids, matrix bytes) per Arrow batch of vectors; a row that is null or not finite is an error."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in batch.column(1).to_pylist()])
+        if not np.isfinite(m).all():
+            raise ValueError("a vector has null or non-finite components")
+        ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([m.tobytes()])], ["ids", "mat"])
 
 
 def _score(k: int, exclude_same: bool, cosine: bool):
     """Scores of every (query block, vector block) pair; the best ``k`` per query leave the task."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                v = np.frombuffer(row.vmat).reshape(row.vn, -1)
-                vids = np.frombuffer(row.vids, dtype=np.int64)
-                q = np.stack([np.asarray(x["embedding"], dtype=np.float64) for x in row.q])
-                qids = np.array([x["id"] for x in row.q], dtype=np.int64)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_mat, v_ids, v_mat in zip(*(batch.column(n) for n in ("q_ids", "q_mat", "v_ids", "v_mat"))):
+                q_ids, v_ids = q_ids.values, v_ids.values
+                q, v = (np.frombuffer(m.as_buffer()).reshape(len(ids), -1) for m, ids in ((q_mat, q_ids), (v_mat, v_ids)))
                 if cosine:
-                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                s = q @ v.T
-                if exclude_same:
-                    s[qids[:, None] == vids[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                # ties at the cut must not depend on the partition: keep all rows at the k-th score
-                kth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                qi, vi = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-                yield pd.DataFrame({"query_id": qids[qi], "vec_id": vids[vi], "score": s[qi, vi]})
+                    q, v = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (q, v))
+                both = pa.chunked_array([q_ids, v_ids.cast(q_ids.type)]).combine_chunks().dictionary_encode().indices.to_numpy()
+                q_code, v_code = both[: len(q)], both[len(q) :]
+                for at in range(0, len(q), QUERY_ROWS):
+                    s = q[at : at + QUERY_ROWS] @ v.T
+                    own = q_code[at : at + QUERY_ROWS, None] == v_code[None, :] if exclude_same else np.zeros(s.shape, bool)
+                    s[own] = -np.inf
+                    n = min(k, s.shape[1])
+                    # ties at the cut must not depend on the partition: keep all rows at the k-th score
+                    kth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                    qi, vi = np.nonzero((s >= kth[:, None]) & ~own)
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(qi + at)), v_ids.take(pa.array(vi)), pa.array(s[qi, vi])], ["query_id", "vec_id", "score"])
 
     return score
 
@@ -108,25 +109,26 @@ def vector_topk(
 ) -> DataFrame:
     """Exact search: (query_id, rank, vec_id, score), ties by the smaller id.
 
-    ``queries``: (query_id bigint, embedding); ``vectors``: (vec_id bigint, embedding). The
-    vectors are never shuffled: each Arrow batch becomes one block and meets every query block.
-    Query blocks are broadcast when their measured size allows it; otherwise they are joined on
-    (block, salt), so that no task holds one block's whole share. Only the best ``k`` per query
-    and vector block leave a task, and Spark's window group limit cuts them again per task.
+    ``queries``: (query_id, embedding); ``vectors``: (vec_id, embedding); ids of any one type. Each
+    Arrow batch of vectors becomes a block. Queries are cut into tiles of TILE_BYTES. One tile is
+    broadcast, and the vectors stay where they are. With several, the blocks are copied once per
+    tile, and a tile once per salt, so the pairs spread over tiles times salts tasks. Only the best
+    ``k`` per query and vector block leave a task, and Spark's window group limit cuts them again.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    blocks = max(1, -(-size["n"] // QUERY_BLOCK))
-    qb = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    grouped = queries.groupBy(qb.alias("qb")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "embedding")).alias("q"))
-    packed = vectors.select("vec_id", "embedding").mapInPandas(_pack("vec_id"), "vids binary, vmat binary, vn int")
-    packed = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if size["n"] * (size["d"] or 0) * 8 <= BROADCAST_BYTES:
-        pairs = packed.join(F.broadcast(grouped), "qb")
+    tiles = max(1, -(-size["n"] * (size["d"] or 0) * 8 // TILE_BYTES))
+    q_type, v_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id")))
+    packed = vectors.select("vec_id", "embedding").mapInArrow(_pack, f"ids array<{v_type}>, mat binary").toDF("v_ids", "v_mat")
+    asked = queries.select("query_id", "embedding")
+    asked = asked.repartition(tiles, "query_id") if tiles > 1 else asked
+    asked = asked.mapInArrow(_pack, f"ids array<{q_type}>, mat binary").toDF("q_ids", "q_mat").withColumn("tile", F.spark_partition_id() % tiles if tiles > 1 else F.lit(0))
+    if tiles == 1:
+        pairs = packed.withColumn("tile", F.lit(0)).join(F.broadcast(asked), "tile")
     else:
-        packed = packed.withColumn("salt", F.pmod(F.xxhash64("vids"), F.lit(SALTS)).cast("int"))
-        pairs = packed.join(grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["qb", "salt"])
-    best = pairs.select("vids", "vmat", "vn", "q").mapInPandas(
-        _score(k, exclude_same, cosine), "query_id bigint, vec_id bigint, score double"
+        packed = packed.select("*", F.pmod(F.xxhash64("v_mat"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+        pairs = packed.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["tile", "salt"])
+    best = pairs.select("q_ids", "q_mat", "v_ids", "v_mat").mapInArrow(
+        _score(k, exclude_same, cosine), f"query_id {q_type}, vec_id {v_type}, score double"
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

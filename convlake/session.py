@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,23 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that its functions import there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_convlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(os.path.join(root, "convlake")):  # not where it runs from an archive itself
+        folder = tempfile.mkdtemp(prefix="convlake-")  # the driver serves the file while the application runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "convlake"), "zip", root, "convlake"))
+    sc._convlake_shipped = True
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "convlake") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     spark = (

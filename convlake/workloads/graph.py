@@ -251,7 +251,12 @@ def _(t):
 @query("h40_person_items")
 def _(t):
     p = Q.person_records(entity_files(t).filter("path LIKE 'personnel_profiles/%'"))
-    return Q.candidate_items(p, "name", Q.attribute_rules(Q.PERSON_ATTRIBUTES, "name"), "1337")
+    out = Q.candidate_items(p, "name", Q.attribute_rules(Q.PERSON_ATTRIBUTES, "name"), "1337").select("type", "question", F.col("expected_answer").cast("string").alias("expected_answer"))
+    for kind, col in Q.PERSON_FACTS:
+        held = p.select("name", col).where(F.col(col).isNotNull())
+        asked = Q.membership_items(held, "name", col, kind, [f"Is {{value}} the {kind} of {{entity}}?"], "1337")
+        out = out.unionByName(asked.select("type", "question", "expected_answer"))
+    return out
 
 
 @query("h39_render_template", """

@@ -22,7 +22,8 @@ EV = "ev AS (SELECT *, epoch_us(ts) AS ts_us FROM events)"
 
 # --- orders as dialogue items, their lines as generations, attempts and words -----------------------------
 
-POS = "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey"
+POS = "{'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}"
+LINE_ID = "concat_ws('-', l_linenumber, l_partkey, l_suppkey)"
 GEN = f"""
 gen AS (SELECT l_orderkey AS item, {POS} AS pos, CASE l_linestatus WHEN 'F' THEN 'completed' ELSE 'started' END AS status,
   l_quantity / 10 AS vad, CASE WHEN l_tax > 0.02 THEN l_quantity / 10 + l_discount END AS llm, l_quantity / 10 + l_discount + l_tax AS tok FROM lineitem),
@@ -32,7 +33,7 @@ items AS (SELECT o_orderkey AS item, (o_orderkey % 40) / 10.0::DOUBLE AS input_e
 
 def line(t: Tables):
     return t.lineitem.select(
-        F.col("l_orderkey").alias("item"), F.expr(POS).alias("pos"), F.col("l_linenumber").alias("ln"), "l_returnflag", "l_linestatus",
+        F.col("l_orderkey").alias("item"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.expr(LINE_ID).alias("line_id"), F.col("l_linenumber").alias("ln"), "l_returnflag", "l_linestatus",
         "l_quantity", "l_discount", "l_tax", (F.col("l_quantity") / 10).alias("q"),
     )
 
@@ -56,7 +57,7 @@ def trace_files(t: Tables):
         for i in (0, 1)])
     att = F.array(F.struct(F.col("ln").alias("attempt_index"), F.col("l_quantity").alias("trigger_time_sec"), F.col("l_returnflag").alias("status")))
     body = F.to_json(F.struct(gens.alias("generations"), att.alias("speculation_attempts"), F.array(F.col("l_quantity"), F.col("l_quantity") + 2).alias("vad_pause_detection_times_sec")))
-    return v.select(F.concat_ws("-", F.col("item").cast("string"), F.col("pos").cast("string")).alias("item"), body.alias("body"))
+    return v.select(F.concat_ws("-", F.col("item").cast("string"), "line_id").alias("item"), body.alias("body"))
 
 
 @query("s6_explode_traces", """
@@ -134,15 +135,15 @@ def _(t):
     return TC.attempt_breakdown(attempts(t))
 
 
-@query("j8_commit_details", f"""WITH a AS (SELECT l_orderkey AS item, {POS} AS id, l_quantity / 10 + 0.4::DOUBLE AS ts, CASE WHEN l_tax > 0.04 THEN l_quantity / 10 + 0.1::DOUBLE END AS own, l_quantity / 10 + 0.4::DOUBLE + l_discount AS fin FROM lineitem WHERE l_returnflag = 'A'),
+@query("j8_commit_details", f"""WITH a AS (SELECT l_orderkey AS item, {LINE_ID} AS id, l_quantity / 10 + 0.4::DOUBLE AS ts, CASE WHEN l_tax > 0.04 THEN l_quantity / 10 + 0.1::DOUBLE END AS own, l_quantity / 10 + 0.4::DOUBLE + l_discount AS fin FROM lineitem WHERE l_returnflag = 'A'),
 p AS (SELECT l_orderkey AS item, l_quantity / 10 AS ts FROM lineitem WHERE l_returnflag <> 'A'),
 j AS (SELECT a.item, a.id, a.ts, own, fin, max(p.ts) AS near FROM a LEFT JOIN p ON p.item = a.item AND p.ts <= a.ts AND a.ts - p.ts < 2.5 GROUP BY ALL)
 SELECT item, id, round(coalesce(own, near), 6) AS pause, round(ts - coalesce(own, near), 6) AS drain_after_pause, round(fin - ts, 6) AS drain_duration FROM j""")
 def _(t):
     v = line(t)
     drain = F.col("q") + 0.4
-    a = v.select("item", F.col("pos").alias("id"), drain.alias("ts"), F.when(F.col("l_returnflag") == "A", "committed").otherwise("cancelled").alias("status"), F.when(F.col("l_tax") > 0.04, F.col("q") + 0.1).alias("own_pause"), (drain + F.col("l_discount")).alias("drain_end"))
-    p = v.filter("l_returnflag <> 'A'").select("item", F.col("q").alias("ts"), F.col("pos").alias("id"))
+    a = v.select("item", F.col("line_id").alias("id"), drain.alias("ts"), F.when(F.col("l_returnflag") == "A", "committed").otherwise("cancelled").alias("status"), F.when(F.col("l_tax") > 0.04, F.col("q") + 0.1).alias("own_pause"), (drain + F.col("l_discount")).alias("drain_end"))
+    p = v.filter("l_returnflag <> 'A'").select("item", F.col("q").alias("ts"), F.col("line_id").alias("id"))
     d = TC.commit_details(a, p, ["item"], F.floor(F.col("ts") / 60).cast("long"))
     return d.select("item", "id", *[F.round(c, 6).alias(c) for c in ("pause", "drain_after_pause", "drain_duration")])
 

@@ -107,9 +107,9 @@ def test_hash_embedding_bits(spark):
 def test_topk_equals_brute_force(spark, monkeypatch, broadcast):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(300, 8)).round(1)  # ties happen
-    monkeypatch.setattr(V, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(V, "QUERY_ROWS", 16)
     if not broadcast:
-        monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(V, "TILE_BYTES", 4096)
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
     v32 = v.astype(np.float32).astype(float)
     got = {}
@@ -119,6 +119,11 @@ def test_topk_equals_brute_force(spark, monkeypatch, broadcast):
     for q in range(300):
         order = sorted((j for j in range(300) if j != q), key=lambda j: (-scores[q, j], j))[:4]
         assert [round(scores[q, got[q][i + 1]], 9) for i in range(4)] == [round(scores[q, j], 9) for j in order]
+    named = df.select(F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 4, "0")).alias("vec_id"), "embedding")
+    rows = V.vector_topk(named.withColumnRenamed("vec_id", "query_id"), named, 4, exclude_same=True).collect()
+    assert {(int(r.query_id[4:]), r["rank"], int(r.vec_id[4:])) for r in rows} == {(q, n, j) for q, found in got.items() for n, j in found.items()}
+    with pytest.raises(Exception, match="not finite|non-finite"):
+        V.vector_topk(df.withColumnRenamed("vec_id", "query_id"), df.withColumn("embedding", F.array(F.lit(float("nan")).cast("float"))), 1).collect()
 
 
 # --- turns -------------------------------------------------------------------------------------------
