@@ -67,6 +67,13 @@ def hashed_features(df: DataFrame, id: str, text: str, dim: int) -> DataFrame:
     return sums.join(norms, id).select(id, "idx", (F.col("w") / F.greatest("norm", F.lit(1e-12))).alias("value"))
 
 
+def dense(features: DataFrame, id: str, dim: int) -> DataFrame:
+    """Sparse rows (id, idx, value) as (id, embedding) with ``dim`` components."""
+    held = features.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_m"))
+    at = F.sequence(F.lit(0), F.lit(dim - 1))
+    return held.select(id, F.transform(at, lambda i: F.coalesce(F.element_at("_m", i.cast("bigint")), F.lit(0.0))).alias("embedding"))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row (ids, matrix bytes) per Arrow batch of vectors; a row that is null or not finite is an error."""
     for batch in batches:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
+from convlake.operators import chunks as C
 from convlake.operators import evaluation as EV
 from convlake.operators import vectors as V
-from convlake.workloads.chunks import SPACE, TOKS
+from convlake.workloads.chunks import DOC_TOKENS, SPACE, TOKS, doc_chunks
 from convlake.workloads.registry import Tables, query
 
 # Every vector is a query; its label picks what is asked for and where chunks come from.
@@ -58,6 +59,39 @@ def _(t):
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
+FEATS = """SELECT id, idx, round(w / greatest(sqrt(sum(w * w) OVER (PARTITION BY id)), 1e-12) * 1024) AS v FROM (
+  SELECT id, ('0x' || h[1:7])::BIGINT % 64 AS idx, sum((CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) * (1 + ('0x' || h[11:12])::BIGINT / 255.0::DOUBLE)) AS w
+  FROM (SELECT id, md5(unnest({toks})) AS h FROM {of}) GROUP BY 1, 2)"""
+
+
+@query("j6_chunk_search", f"""WITH {DOC_TOKENS},
+cf AS ({FEATS.format(toks=TOKS, of="(SELECT chunk_id AS id, chunk_text AS text FROM chunks)")}),
+qf AS ({FEATS.format(toks=TOKS, of="(SELECT 'q' || item_id AS id, text FROM benchmark)")}),
+sc AS (SELECT qf.id AS item_id, cf.id AS chunk_id, sum(qf.v * cf.v) AS score FROM qf JOIN cf USING (idx) GROUP BY 1, 2),
+tp AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10)
+SELECT tp.item_id, rank, tp.chunk_id, score / 1048576.0::DOUBLE AS score, entity_id, token_count, contains(chunk_text, array_to_string({TOKS.replace("text", "b.text")}[1:8], ' ')) AS answer_hit
+FROM tp JOIN chunks USING (chunk_id) JOIN benchmark b ON 'q' || b.item_id = tp.item_id""")
+def _(t):
+    """Documents to chunks, vectors, search over their text ids, chunks attached, and whether they hold the asked passage.
+
+    Vectors are whole numbers, so equal chunks have equal scores in any order of adding.
+    """
+    chunks = doc_chunks(t)
+    asked = t.benchmark.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "text")
+
+    def vectors(df, id):
+        return V.dense(V.hashed_features(df.select(id, "text"), id, "text", 64), id, 64).select(id, F.transform("embedding", lambda x: F.round(x * 1024)).alias("embedding"))
+
+    hits = V.vector_topk(vectors(asked, "query_id"), vectors(chunks.select("chunk_id", F.col("chunk_text").alias("text")), "chunk_id").withColumnRenamed("chunk_id", "vec_id"), 10)
+    hits = C.attach_chunks(hits.withColumnRenamed("vec_id", "chunk_id"), chunks.select("chunk_id", "source_path", "entity_id", F.col("token_count").cast("long").alias("token_count"), "chunk_text"), "source_path")
+    start = F.array_join(F.slice(T.tokens(F.col("text")), 1, 8), " ")
+    out = hits.join(asked.withColumn("start", start), "query_id")
+    return out.select(
+        F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), "chunk_id", (F.col("score") / 1048576.0).alias("score"),
+        "entity_id", "token_count", F.contains("chunk_text", "start").alias("answer_hit"),
+    )
+
+
 @query("k1_topk_per_query", f"""WITH {POOL}, doc AS (SELECT doc_id, text FROM documents)
 SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, left(text, 220) AS preview FROM pool LEFT JOIN doc ON doc_id = vec_id WHERE rank <= 3""")
 def _(t):
