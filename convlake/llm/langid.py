@@ -105,8 +105,8 @@ def sample(docs: DataFrame, where: Column, label: str, id_col: str, text_col: st
     return picked.toPandas().sort_values(["lang", "snippet"], ignore_index=True)
 
 
-def train(snippets: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, batch: int = 32, seed: int = 7) -> Model | None:
-    """Fits the model; None without any snippet that has letters."""
+def train(snippets: list[str], langs: list[str], steps: int = 800, rate: float = 0.5, batch: int = 32, seed: int = 7) -> Model | None:
+    """Fits the model in ``steps`` steps of ``batch`` snippets; None without any snippet that has letters."""
     names = sorted(set(langs))
     known = {name: k for k, name in enumerate(names)}
     data = [(features(p), known[lang]) for p, lang in ((letter_runs(s), lang) for s, lang in zip(snippets, langs)) if len(p)]
@@ -118,11 +118,11 @@ def train(snippets: list[str], langs: list[str], epochs: int = 4, rate: float =
     fit = data[len(kept_out) :]
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     layer = np.zeros((len(names), DIM), np.float32)
-    steps = epochs * -(-len(fit) // batch)
+    epoch = -(-len(fit) // batch)
     for step in range(steps):
-        if step % (steps // epochs) == 0:
+        if step % epoch == 0:
             order = rng.permutation(len(fit))
-        at = step % (steps // epochs) * batch
+        at = step % epoch * batch
         chosen = [fit[i] for i in order[at : at + batch]]
         sizes = np.array([len(f) for f, _ in chosen])
         rows = np.concatenate([f for f, _ in chosen])
