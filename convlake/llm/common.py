@@ -82,7 +82,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        # stored, so that the join deals both sides anew and a hub's rows can be split
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")
         # every larger neighbour of a node points to the node's least neighbour
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # every smaller neighbour of a node, and the node, point to the least of them

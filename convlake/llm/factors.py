@@ -170,7 +170,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     found = keyed.select("k1", "k2", "text").mapInPandas(anchor_rows, "h long, k1 long, k2 long, at int, first int, last int")
     seen = found.groupBy("h").agg(F.min(F.struct("k1", "k2", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
-    seen = seen.select("h", F.col("ref.k1").alias("r1"), F.col("ref.k2").alias("r2"), F.col("ref.at").alias("rat"))
+    # stored, as below: so the join deals both sides anew, and the rows of a frequent anchor can be split
+    seen = staged(seen.select("h", F.col("ref.k1").alias("r1"), F.col("ref.k2").alias("r2"), F.col("ref.at").alias("rat")), "seen")
 
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,6 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     checked = keyed.join(ranges(0), ["k1", "k2"]).mapInPandas(check_rows, "h1 long, h2 long, k1 long, k2 long, start long")
     checked = staged(checked, "checked")
     twice = checked.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    twice = staged(twice, "twice")
     hits = checked.join(twice, ["h1", "h2"]).select("k1", "k2", "start", (F.col("start") + 1).alias("end"))
     repeated = told.where("kind = 1").select("k1", "k2", "start", "end").union(hits)
     repeated = repeated.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))

@@ -61,7 +61,7 @@ def test_language(steps, spark):
 
 def test_near_copies(steps):
     rows = rows_of(steps[1])
-    first = plain_components([(r[0], plain_print(r[1])) for r in rows])
+    first = plain_components([(r[0], plain_print(r[1])) for r in rows], radius=8)
     want = sorted({r for r, c in zip(rows, first) if r[0] == c}, key=str)
     assert rows_of(steps[2]) == want
 

@@ -89,7 +89,7 @@ def test_split_buckets_give_the_same(spark):
     prints = common.staged(spark.createDataFrame(rows, "id long, code long"))
     want = plain_components(rows)
     for size in (3, 50, 8192):
-        got = {r.id: r.first for r in simhash.with_components(prints, "code", prints["id"], 4, size).select("id", "first").collect()}
+        got = {r.id: r.first for r in simhash.with_components(prints, "code", prints["id"], 4, size, 2 * size).select("id", "first").collect()}
         assert [got[i] for i, _ in rows] == want
 
 
