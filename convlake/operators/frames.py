@@ -15,6 +15,7 @@ from convlake.plans import slices as S
 
 SYSTEM_END_ID, USER_END_ID, SYSTEM_ID, USER_ID = 0, 1, 2, 3
 PIECE = 4096
+FOLD, LEVELS = 512, 2  # pieces composed at a time, and how often
 
 
 def threshold_grid(lo: float = 0.05, hi: float = 0.7, n: int = 40) -> list[float]:
@@ -125,37 +126,51 @@ def greedy_cooldown(triggers: DataFrame, keys: Sequence[str], n: int, piece: int
 
     The walk is sequential, but a piece of the stream meets the walk only through the number of
     frames still blocked at its start, less than ``n`` cases. Each piece computes its exit for
-    every entry, a short walk over the pieces picks the real entries, and the pieces then fold
-    independently. One task never holds more than a piece.
+    every entry. Such tables compose, so FOLD pieces make one of a larger piece, and so on for LEVELS;
+    the real entries then come down the tree, and the pieces fold independently. One row holds a
+    piece, or FOLD tables of ``n`` numbers.
     """
     if piece < n:
         raise ValueError("a piece must cover the cooldown")
     keys = list(keys)
-    cut = triggers.select(*keys, F.col("idx").cast("long").alias("idx"), S.by_index("idx", piece).alias("_p"))
-    cut = cut.groupBy(*keys, "_p").agg(F.sort_array(F.collect_list("idx")).alias("_ix"))
+    # a struct is never null, so streams with null keys meet in plain joins
+    cut = triggers.select(F.struct(*keys).alias("_k"), F.col("idx").cast("long").alias("idx"), S.by_index("idx", piece).alias("_p"))
+    cut = cut.groupBy("_k", "_p").agg(F.sort_array(F.collect_list("idx")).alias("_ix"))
     begin = F.col("_p") * piece
     exits = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda e: F.greatest(_cooldown_fold(F.col("_ix"), begin + e, n)["nxt"] - (begin + piece), F.lit(0)),
     )
-    table = cut.select(*keys, "_p", exits.alias("_x"))
-    steps = F.sort_array(F.collect_list(F.struct("_p", "_x")))
-    init = F.struct(
-        F.lit(None).cast("long").alias("p"), F.lit(0).cast("long").alias("blocked"),
-        F.array().cast("array<struct<_p:bigint,_e:bigint>>").alias("entries"),
-    )
+    entries = _entries(cut.select("_k", "_p", exits.alias("_x")), n, LEVELS)
+    kept = cut.join(entries, ["_k", "_p"])
+    return kept.select("_k.*", F.explode(_cooldown_fold(F.col("_ix"), begin + F.col("_e"), n)["kept"]).alias("idx"))
 
-    def step(a: Column, s: Column) -> Column:
-        entry = F.when(s["_p"] == a["p"] + 1, a["blocked"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(
-            s["_p"].alias("p"), F.get(s["_x"], entry.cast("int")).alias("blocked"),
-            F.concat(a["entries"], F.array(F.struct(s["_p"].alias("_p"), entry.alias("_e")))).alias("entries"),
-        )
 
-    entries = table.groupBy(*keys).agg(F.aggregate(steps, init, step)["entries"].alias("_en"))
-    entries = entries.select(*keys, F.explode("_en").alias("_r")).select(*keys, "_r.*")
-    kept = cut.join(entries, [*keys, "_p"])
-    return kept.select(*keys, F.explode(_cooldown_fold(F.col("_ix"), begin + F.col("_e"), n)["kept"]).alias("idx"))
+def _entries(table: DataFrame, n: int, levels: int) -> DataFrame:
+    """(_k, _p, _e): the real entry of each piece, from the pieces' exits ``_x`` for all ``n`` entries.
+
+    A piece that is missing lets nothing through.
+    """
+    fold = FOLD if levels else 1 << 62  # the last level has few pieces and takes them as one
+    groups = table.groupBy("_k", F.floor(F.col("_p") / fold).cast("long").alias("_q")).agg(F.sort_array(F.collect_list(F.struct("_p", "_x"))).alias("_steps"))
+    first = F.col("_q") * fold
+
+    def walk(entry: Column) -> Column:
+        init = F.struct((first - 1).alias("p"), entry.cast("long").alias("blocked"), F.array().cast("array<struct<_p:bigint,_e:bigint>>").alias("entries"))
+
+        def step(a: Column, s: Column) -> Column:
+            now = F.when(s["_p"] == a["p"] + 1, a["blocked"]).otherwise(F.lit(0).cast("long"))
+            return F.struct(s["_p"].alias("p"), F.get(s["_x"], now.cast("int")).alias("blocked"), F.concat(a["entries"], F.array(F.struct(s["_p"].alias("_p"), now.alias("_e")))).alias("entries"))
+
+        return F.aggregate("_steps", init, step)
+
+    if levels:
+        through = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda e: F.when(walk(e)["p"] == first + fold - 1, walk(e)["blocked"]).otherwise(F.lit(0).cast("long")))
+        above = _entries(groups.select("_k", F.col("_q").alias("_p"), through.alias("_x")), n, levels - 1)
+        groups = groups.join(above.withColumnsRenamed({"_p": "_q", "_e": "_in"}), ["_k", "_q"])
+    else:
+        groups = groups.withColumn("_in", F.lit(0).cast("long"))
+    return groups.select("_k", F.explode(walk(F.col("_in"))["entries"]).alias("_r")).select("_k", "_r.*")
 
 
 def turn_scores(scores: DataFrame, frames: DataFrame, keys: Sequence[str], freq: float, min_turn_s: float, turn_label: int = USER_ID) -> DataFrame:

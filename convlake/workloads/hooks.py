@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convlake.functions import hooks as H
 from convlake.operators import chunks as C
 from convlake.operators import questions as Q
+from convlake.plans import slices as S
 from convlake.sources import entities as E
 from convlake.streaming.ordered import fold_sorted
 from convlake.streaming.signals import cooldown_machine
@@ -69,9 +70,12 @@ def _(t):
 k AS (SELECT user_id, min(idx) AS idx FROM tr GROUP BY 1 UNION ALL SELECT k.user_id, min(tr.idx) FROM k JOIN tr ON tr.user_id = k.user_id AND tr.idx >= k.idx + 8 GROUP BY k.user_id)
 SELECT user_id, idx FROM k""")
 def _(t):
-    """The cooldown as a user-defined ordered fold."""
+    """The cooldown as a user-defined ordered fold, cut where a gap restarts it."""
     f = VW.frames(t).filter("prob > 0.3").select("user_id", F.col("idx").alias("ts_us"), F.col("idx").alias("id"))
-    return fold_sorted(f, cooldown_machine(8), ["user_id"]).withColumnRenamed("id", "idx")
+    f = S.scan(f, ["user_id"], ["ts_us"], S.by_index("ts_us"), [S.Lag("_prev", F.col("ts_us"))])
+    f = f.withColumn("_new", F.coalesce(F.col("ts_us") - F.col("_prev") >= 8, F.lit(True)).cast("long"))
+    f = S.scan(f, ["user_id"], ["ts_us"], S.by_index("ts_us"), [S.RunSum("burst", F.col("_new"))])
+    return fold_sorted(f, cooldown_machine(8), ["user_id", "burst"]).select("user_id", F.col("id").alias("idx"))
 
 
 @query("h40_membership_items", """

@@ -190,9 +190,11 @@ def test_rechunk_words_prefix(spark):
 # --- frames -------------------------------------------------------------------------------------------
 
 
-def test_cooldown_equals_model(spark):
+@pytest.mark.parametrize("fold", [2, 512])
+def test_cooldown_equals_model(spark, monkeypatch, fold):
+    monkeypatch.setattr(FR, "FOLD", fold)
     rng = random.Random(2)
-    data = {k: sorted(rng.sample(range(400), m)) for k, m in (("dense", 380), ("mid", 60), ("one", 1))}
+    data = {k: sorted(rng.sample(range(400), m)) for k, m in (("dense", 380), ("mid", 60), (None, 250), ("one", 1))}
     df = spark.createDataFrame([(k, i) for k, v in data.items() for i in v], "k string, idx long")
     got = {}
     for r in FR.greedy_cooldown(df, ["k"], 7, piece=16).collect():
