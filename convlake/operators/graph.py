@@ -36,8 +36,13 @@ def source_priority(c: Column) -> Column:
 
 
 def names_in_text(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """Probable person names (two to four capitalised words): (doc, pos, mention)."""
+    """Probable person names (two to four capitalised words): (doc, pos, mention).
+
+    At least two of the words are no titles; a repeated name counts at its first place.
+    """
     found = F.regexp_extract_all(text, F.lit(NAME_IN_TEXT), F.lit(1))
+    bare = lambda m: F.filter(F.split(F.lower(m), r"\s+"), lambda w: ~w.isin(T.PERSON_TITLES))
+    found = F.array_distinct(F.filter(found, lambda m: F.size(bare(m)) >= 2))
     return df.select(doc, F.posexplode(found).alias("pos", "mention"))
 
 

@@ -132,10 +132,13 @@ def _(t):
     return r.select("o_orderkey", "id", "source", F.col("pos").cast("long").alias("pos"))
 
 
-@query("h28_names_in_text", """WITH m AS (SELECT c_custkey, unnest(regexp_extract_all('by Anna Maria Novak and Petr Svoboda in ' || CASE WHEN c_custkey % 2 = 0 THEN 'Old Town, ' ELSE 'BRNO ' END || 'Karel', '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,3})\\b', 1)) AS mention FROM customer)
+@query("h28_names_in_text", """WITH m AS (SELECT c_custkey, unnest(regexp_extract_all('by Anna Maria Novak and Petr Svoboda in ' || CASE WHEN c_custkey % 2 = 0 THEN 'Old Town, ' ELSE 'TOWN ' END || 'Karel', '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,3})\\b', 1)) AS mention FROM customer)
 SELECT mention, count(*) AS n FROM m GROUP BY 1""")
 def _(t):
-    text = F.concat(F.lit("by Anna Maria Novak and Petr Svoboda in "), F.when(F.col("c_custkey") % 2 == 0, "Old Town, ").otherwise("BRNO "), F.lit("Karel"))
+    text = F.concat(
+        F.lit("by Anna Maria Novak and Petr Svoboda in "), F.when(F.col("c_custkey") % 2 == 0, "Old Town, ").otherwise("TOWN "),
+        F.lit("Karel and Ing Novak, Petr Svoboda"),
+    )
     return G.names_in_text(t.customer.withColumn("t", text), "c_custkey", "t").groupBy("mention").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -196,7 +199,7 @@ UNION ALL SELECT 'Course', coalesce({CODE}, CAST(p_partkey AS VARCHAR)), CASE WH
 UNION ALL SELECT 'Group', s_name, 'Head of ' || s_name, 'principal_researcher' FROM supplier""")
 def _(t):
     files = entity_files(t)
-    p = Q.person_records(files.filter("path LIKE 'personnel_profiles/%'")).select(F.lit("Person").alias("kind"), F.regexp_replace("profile_id", " $", "").alias("id"), F.col("email").alias("a"), F.col("office_room").alias("b"))
+    p = Q.person_records(files.filter("path LIKE 'personnel_profiles/%'")).select(F.lit("Person").alias("kind"), F.col("profile_id").alias("id"), F.col("email").alias("a"), F.col("office_room").alias("b"))
     c = Q.course_records(files.filter("path LIKE 'courses/%'")).select(F.lit("Course").alias("kind"), F.col("code").alias("id"), F.col("semester").alias("a"), F.col("department").alias("b"))
     g = Q.group_records(files.filter("path LIKE 'groups/%'")).select(F.lit("Group").alias("kind"), F.col("group").alias("id"), F.col("contact_person").alias("a"), F.get("members", F.lit(0))["role"].alias("b"))
     return p.unionByName(c).unionByName(g)

@@ -46,7 +46,7 @@ def test_hints_split_before_parentheses(spark):
 
 
 def test_grades(spark):
-    rows = [("abc", " "), ("It is Brno.", "brno"), ("nothing here", "alpha beta gamma"), ("alpha x", "alpha beta gamma delta epsi")]
+    rows = [("abc", " "), ("It is Oslo.", "oslo"), ("nothing here", "alpha beta gamma"), ("alpha x", "alpha beta gamma delta epsi")]
     df = spark.createDataFrame(rows, "a string, r string")
     assert [r[0] for r in df.select(T.lexical_grade(F.col("a"), F.col("r"))).collect()] == [3.0, 5.0, 1.0, 2.0]
     assert one(spark, "Well [Result] 0 done", T.parse_score) == 1
