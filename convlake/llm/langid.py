@@ -24,6 +24,7 @@ BITS = 17  # embedding rows: 2^BITS
 DIM = 16
 SNIPPETS, SNIPPET = 4, 240  # training snippets of a document and their characters
 MARK = 0x20
+CLEAR = 0.3
 BLOCK = 1 << 20  # characters hashed at a time
 
 
@@ -118,6 +119,7 @@ def train(snippets: list[str], langs: list[str], steps: int = 800, rate: float =
     fit = data[len(kept_out) :]
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     layer = np.zeros((len(names), DIM), np.float32)
+    learned = np.zeros(len(table), bool)
     epoch = -(-len(fit) // batch)
     for step in range(steps):
         if step % epoch == 0:
@@ -136,13 +138,18 @@ def train(snippets: list[str], langs: list[str], steps: int = 800, rate: float =
         texts = np.repeat(np.arange(len(chosen)), sizes)
         distinct, where = np.unique(rows, return_inverse=True)
         change = np.stack([np.bincount(where, back[texts, d], len(distinct)) for d in range(DIM)], axis=1)
+        learned[distinct] = True
         table[distinct] -= pace * np.float32(len(names)) * change.astype(np.float32)
+    table[~learned] = 0  # n-grams never met speak for no language
     model = Model(names, (table @ layer.T).astype(np.float32), 1.0, 0.0)
     return calibrate(model, kept_out or fit)
 
 
 def calibrate(model: Model, kept_out: list[tuple[np.ndarray, int]], lost: float = 0.002) -> Model:
-    """Temperature of least log loss, and the score that all but ``lost`` of the right answers reach."""
+    """Temperature of least log loss, and the score that all but ``lost`` of the right answers reach.
+
+    That score is at most CLEAR above chance: a small or easy held-out part must not reject plain texts.
+    """
     logits = np.array([model.rows[f].mean(axis=0) for f, _ in kept_out], np.float64)
     truth = np.array([y for _, y in kept_out])
     grid = np.geomspace(0.05, 8, 40)
@@ -151,7 +158,7 @@ def calibrate(model: Model, kept_out: list[tuple[np.ndarray, int]], lost: float
     scores = softmax(logits / model.temperature)
     right = scores.argmax(axis=1) == truth
     if right.any():
-        model.least_score = float(np.quantile(scores.max(axis=1)[right], lost))
+        model.least_score = min(float(np.quantile(scores.max(axis=1)[right], lost)), 1 / len(model.langs) + CLEAR)
     return model
 
 
