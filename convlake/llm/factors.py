@@ -69,7 +69,7 @@ def _ranges_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-MESSAGE = "k1 long, k2 long, kind int, start long, end long"
+MESSAGE = "k1 long, k2 int, kind int, start long, end long"
 
 
 def parse(rows: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -147,9 +147,9 @@ def _whole_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
-    """Two hashes of id and text: documents are told apart by 128 bits; rows equal in both share them."""
+    """Two hashes of id and text: documents are told apart by 96 bits; rows equal in both share them."""
     of, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
-    return [F.xxhash64(F.lit(1), of, text).alias("k1"), F.xxhash64(F.lit(2), text, of).alias("k2")]
+    return [F.xxhash64(F.lit(1), of, text).alias("k1"), F.hash(F.lit(2), text, of).alias("k2")]
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 row, h, at, first, last = anchors(texts, window)
                 yield pd.DataFrame({"h": h.view(np.int64), "k1": k1[row], "k2": k2[row], "at": at.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
-    found = keyed.select("k1", "k2", "text").mapInPandas(anchor_rows, "h long, k1 long, k2 long, at int, first int, last int")
+    found = keyed.select("k1", "k2", "text").mapInPandas(anchor_rows, "h long, k1 long, k2 int, at int, first int, last int")
     seen = found.groupBy("h").agg(F.min(F.struct("k1", "k2", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
     # stored, as below: so the join deals both sides anew, and the rows of a frequent anchor can be split
     seen = staged(seen.select("h", F.col("ref.k1").alias("r1"), F.col("ref.k2").alias("r2"), F.col("ref.at").alias("rat")), "seen")
@@ -198,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 yield pd.DataFrame({"h1": a.view(np.int64), "h2": b.view(np.int64), "k1": k1[row], "k2": k2[row], "start": pick - texts.cuts[of]})
 
     # both joins below deal the texts by the same keys, so one exchange serves them
-    checked = keyed.join(ranges(0), ["k1", "k2"]).mapInPandas(check_rows, "h1 long, h2 long, k1 long, k2 long, start long")
+    checked = keyed.join(ranges(0), ["k1", "k2"]).mapInPandas(check_rows, "h1 long, h2 long, k1 long, k2 int, start long")
     checked = staged(checked, "checked")
     twice = checked.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     twice = staged(twice, "twice")
