@@ -197,7 +197,9 @@ def scored(docs: DataFrame, targets: DataFrame, weight: float = 4.0, sent_grams:
     """
     chosen = targets.select(F.col(id_col).alias("_target")).distinct().withColumn("_is", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = staged(counted(rows.join(chosen, F.col("id") == F.col("_target"), "left"), "text", "_is"), "grams")
+    # by sorting at every size: the targets grow with the documents, so they are never sent to all tasks
+    marked = rows.join(chosen.hint("merge"), F.col("id") == F.col("_target"), "left")
+    counts = staged(counted(marked, "text", "_is"), "grams")
     table = staged(losses(counts, weight), "losses")
     small = table.count() <= sent_grams
     out = _by_sent_table(rows, table, "text") if small else _by_join(rows, table, "id", "text")
