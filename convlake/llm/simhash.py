@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlake.llm import words as words_of
 from convlake.llm.common import components, staged
 
 FAN = 16  # children of a tree node, codes of a leaf
@@ -190,18 +191,158 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
     return out.select(F.col("id").alias(id_col), hex16(F.col("code")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, words: int = 4, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingles(text: bytes | None, size: int) -> np.ndarray:
+    """Distinct hashes of a UTF-8 text's runs of ``size`` words (a-z for A-Z), ascending; a shorter text is one run."""
+    data = (text or b"").lower()
+    starts, ends = words_of.places(data)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    h = words_of.hashes(data, starts, ends)
+    return np.unique(words_of.runs(h, min(size, len(h))))
+
+
+def independent_fingerprints(h: np.ndarray, count: int) -> list[int]:
+    """``count`` SimHashes of a set of hashes, each over another scramble of them; zeros for none."""
+    out = []
+    for k in range(count if len(h) else 0):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), SHINGLES):
+            bits = np.unpackbits(words_of.mix(h[at : at + SHINGLES], k + 1).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+            ones += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            ones += bits[whole:].sum(axis=0, dtype=np.uint8)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+    return out or [0] * count
+
+
+def near_pairs(codes: np.ndarray, others: np.ndarray | None, label: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of near pairs among codes, or between codes and others, whose labels differ.
+
+    label: of the codes, then of the others. All such pairs, or (not every) so many that they join what all
+    of them join. Unlike the edges of ``forest`` each is near itself.
+    """
+    index = GrayIndex(codes)
+    if others is None:
+        found = ((index.order[q], index.order[at]) for q, at in index.search(index.codes, radius, later=True))
+    else:
+        found = ((q + len(codes), index.order[at]) for q, at in index.search(others, radius))
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    root = first[of]
+    out = [(np.zeros(0, np.int64),) * 2]
+    for a, b in found:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        if every:
+            out.append((a, b))
+            continue
+        while len(a):
+            ra, rb = root[a], root[b]
+            high, at = np.unique(np.maximum(ra, rb), return_index=True)
+            root[high] = np.minimum(ra, rb)[at]
+            out.append((a[at], b[at]))
+            while not np.array_equal(up := root[root], root):
+                root = up
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def candidates(nodes: DataFrame, prints: int, radius: int, every: bool, bucket_rows: int = 2048, chunk_rows: int = 32768) -> DataFrame:
+    """Pairs (a < b) of nodes (node, codes, label) with unlike labels that are near in any of their fingerprints.
+
+    All pairs, or (not every) so many that all nodes which pairs join are joined. Dealt as in ``links``.
+    """
+    n = nodes.count()
+    bands = radius + 1
+    wide = 64 // bands
+    bits = min(wide, max(0, math.ceil(math.log2(max(n, 1) / bucket_rows))))
+    shifts = [64 - wide * k - bits for k in range(bands)] if bits else [0]
+    keys = []
+    for which in range(prints):
+        code = F.col("codes")[which]
+        keys += [F.struct(F.lit(which * bands + k).alias("band"), code.alias("code"), (F.shiftrightunsigned(code, s) if bits else F.lit(0)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("key")) for k, s in enumerate(shifts)]
+    dealt = nodes.select("node", "label", F.explode(F.array(*keys)).alias("_")).select("node", "label", "_.*")
+    # at most prints * (radius + 1) * 2^(64 / (radius + 1)) buckets
+    counts = dealt.groupBy("band", "key").agg(F.ceil(F.count("*") / float(chunk_rows)).cast("int").alias("chunks"))
+    cut = dealt.join(counts, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("lo"), F.greatest(c, "chunk").alias("hi"))))
+    tiles = cut.withColumn("_", pair).select("node", "label", "code", "band", "key", "chunk", "_.lo", "_.hi")
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key[2], key[3]
+        # in one order whatever the order of arrival, and those of the first chunk before the others
+        rows = rows.sort_values("node") if lo == hi else rows.assign(late=rows["chunk"] != lo).sort_values(["late", "node"])
+        codes = rows["code"].to_numpy().astype(np.int64).view(np.uint64)
+        ahead = len(rows) if lo == hi else int((~rows["late"]).sum())
+        a, b = near_pairs(codes[:ahead], None if lo == hi else codes[ahead:], rows["label"].to_numpy(), radius, every)
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    return tiles.groupBy("band", "key", "lo", "hi").applyInPandas(solve, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have a Jaccard similarity of their shingles of ``similarity`` or more."""
+
+    @F.pandas_udf("boolean")
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right):
+                x, y = shingles(x, words), shingles(y, words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= similarity * (len(x) + len(y) - both))
+            yield pd.Series(out, dtype=bool)
+
+    ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
+    return pairs.join(ends[1], "b").join(ends[0], "a").where(alike("text_a", "text_b")).select("a", "b")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies: of each component the row with the least id stays.
 
-    Eight bits stand for a similarity of 0.8 and more: of the pairs of test documents that share so
-    much of their five-word shingles, 92 % differ in eight bits or fewer of a four-word fingerprint.
+    Two texts link if the Jaccard similarity of their sets of word shingles, which is computed from the
+    texts, is ``similarity`` or more. Candidates are the pairs of texts within ``radius`` bits in one
+    of ``prints`` independent fingerprints. First as many pairs are compared as join all candidates;
+    where that leaves texts apart, all the pairs between what is apart are compared. So a group
+    of near copies costs a comparison per text, and no candidate link is lost.
 
     Rows are told apart by id and text (two 64-bit hashes); of rows equal in both, one stays. A null
     id comes after all others. All columns are kept as they are.
     """
     text, of = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("string")
     keys = [F.xxhash64(F.lit(1), of, text), F.xxhash64(F.lit(2), text, of)]
-    prints = staged(docs.select(F.col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2"), fingerprint(F.col(text_col), words).alias("code")), "prints")
-    member = F.struct(F.col("id").isNull(), "id", "k1", "k2")
-    kept = with_components(prints, "code", member, radius).select("first.k1", "first.k2").distinct()
+
+    @F.pandas_udf("array<long>")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([independent_fingerprints(shingles(x, words), prints) for x in batch], dtype=object)
+
+    rows = docs.select(F.col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2"), F.xxhash64(F.lit(3), text).alias("t1"), F.xxhash64(text, F.lit(4)).alias("t2"), codes(text.cast("binary")).alias("codes"))
+    rows = staged(rows, "prints")
+    # a node for each distinct text, with one of its rows
+    nodes = rows.groupBy("t1", "t2").agg(F.first("codes").alias("codes"), F.min(F.struct("k1", "k2")).alias("row"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "t1", "t2", "codes", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "nodes")
+    keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), text.cast("binary").alias("text"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        chosen = staged(nodes.join(ends, "node").select("node", "k1", "k2"), "ends")
+        texts = staged(keyed.join(chosen, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+        return staged(similar(pairs, texts, words, similarity), "similar")
+
+    tried = staged(candidates(nodes.select("node", "codes", F.col("node").alias("label")), prints, radius, every=False), "tried")
+    linked = compared(tried)
+    reach = components(tried).withColumnRenamed("root", "reach")
+    label = F.coalesce("root", "node")
+    parts = staged(reach.join(components(linked), "node", "left").select("node", "reach", label.alias("label")), "parts")
+    torn = staged(parts.groupBy("reach").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("reach"), "torn")
+    apart = staged(parts.join(torn, "reach").join(nodes.select("node", "codes"), "node").select("node", "codes", "label"), "apart")
+    more = candidates(apart, prints, radius, every=True).join(tried, ["a", "b"], "left_anti")
+    linked = linked.union(compared(staged(more, "tried")))
+
+    rooted = nodes.join(components(linked), "node", "left").select("t1", "t2", label.alias("root"))
+    rooted = staged(rooted, "rooted")
+    member = F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("first")
+    kept = staged(rows.drop("codes").join(rooted, ["t1", "t2"]).groupBy("root").agg(member).select("first.k1", "first.k2"), "kept")
     return docs.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(kept, (F.col("_k1") == kept["k1"]) & (F.col("_k2") == kept["k2"]), "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")

@@ -97,3 +97,56 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (2000, 1999)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(1000, 1300)} == {1000} and got[2000] == 1999
+
+
+def similar_pairs(texts, size=5, least=0.8):
+    """Pairs of places whose sets of word runs have that Jaccard similarity, by comparing all."""
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    return [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for at in rng.choice(len(w), edits, replace=False):
+        w[at] = f"edit{rng.integers(1 << 30)}"
+    return " ".join(w)
+
+
+def test_near_copies_beyond_one_fingerprint(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 150)) for _ in range(60)]
+    texts += [edited(rng, t, 2 + k % 2) for k, t in enumerate(texts)]
+    pairs = similar_pairs(texts)
+    far = [p for p in pairs if (plain_print(texts[p[0]]) ^ plain_print(texts[p[1]])).bit_count() > 8]
+    assert pairs and far  # one fingerprint of four-word shingles loses some
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(range(len(texts))) - {j for _, j in pairs}
+
+
+def test_near_fingerprints_of_unlike_texts_stay(spark):
+    rows = [(0, "alpha beta gamma delta epsilon zeta eta"), (1, "alpha beta gamma delta epsilon zeta theta")]  # two of four shingles
+    base = " ".join(f"v{i}" for i in range(200))
+    rng = np.random.default_rng(6)
+    rows += [(10 + k, edited(rng, base, 6)) for k in range(60)]  # near in bits, some similar and some not
+    texts = [t for _, t in rows]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if (plain_print(texts[i]) ^ plain_print(texts[j])).bit_count() <= 8]
+    assert set(near) - set(similar_pairs(texts))  # eight bits alone would remove some
+    first = list(range(len(texts)))
+    for _ in texts:
+        for i, j in similar_pairs(texts):
+            first[i] = first[j] = min(first[i], first[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {rows[i][0] for i in first}
+
+
+def test_forest_of_near_pairs():
+    rng = np.random.default_rng(7)
+    codes = (rng.integers(0, 1 << 62, 5)[rng.integers(0, 5, 300)].astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    a, b = simhash.near_pairs(codes, None, np.arange(300), 2, True)
+    apart = np.bitwise_count(codes[:, None] ^ codes[None]) <= 2
+    assert len(a) == (apart.sum() - 300) // 2 and apart[a, b].all()
+    a, b = simhash.near_pairs(codes[:100], codes[100:], np.arange(300), 2, False)
+    assert apart[a, b].all() and len(a) < 300
