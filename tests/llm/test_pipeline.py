@@ -9,7 +9,7 @@ from convlake.llm import common, langid, secrets
 from test_mixing import plain as plain_mix
 from test_packing import check as check_pieces
 from test_secrets import plain as plain_spans
-from test_simhash import plain_components, plain_print
+from test_simhash import plain_components, plain_print, similar_pairs
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,6 +66,19 @@ def test_near_copies(steps):
     assert rows_of(steps[2]) == want
 
 
+def test_near_copies_by_similarity(steps):
+    rows = sorted(rows_of(steps[1]), key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+    rows = [r for k, r in enumerate(rows) if r not in rows[:k]]
+    first = list(range(len(rows)))
+    pairs = similar_pairs([r[1] for r in rows])
+    before = None
+    while before != first:
+        before = first[:]
+        for i, j in pairs:
+            first[i] = first[j] = min(first[i], first[j])
+    assert rows_of(steps[2]) == sorted((r for k, r in enumerate(rows) if first[k] == k), key=str)
+
+
 def test_secrets(steps):
     assert rows_of(steps[3]) == sorted(((r[0], plain_masked(r[1]), *r[2:]) for r in rows_of(steps[2])), key=str)
     assert not any(plain_spans(r[1]) for r in rows_of(steps[3]))
