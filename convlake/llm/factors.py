@@ -87,15 +87,17 @@ def parse(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     head = np.flatnonzero(new)
     parts = []
 
-    # rows equal in id and text share their keys, so each place occurs twice: all of them is repeated
+    # rows equal in id and text share their keys, so each place occurs twice: all of them is repeated.
+    # They are parsed once, for what they share with others
+    once = np.concatenate([[True], ~same | (at[1:] != at[:-1])])
     copied = np.zeros(len(head), bool)
-    copied[doc[1:][same & (at[1:] == at[:-1])]] = True
+    copied[doc[~once]] = True
     if copied.any():
         ends = np.maximum.reduceat(last, head) + 1
         parts.append((k1[head][copied], k2[head][copied], 1, np.minimum.reduceat(first, head)[copied], ends[copied]))
 
     shift = ref_at - at
-    other = ~copied[doc] & ((r1 != k1) | (r2 != k2) | (shift != 0))
+    other = once & ((r1 != k1) | (r2 != k2) | (shift != 0))
     k1, k2, r1, r2, at, first, last, shift, doc = (x[other] for x in (k1, k2, r1, r2, at, first, last, shift, doc))
     if len(at):
         # factors: anchors that touch, with one reference and one distance

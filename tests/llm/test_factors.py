@@ -60,6 +60,20 @@ def test_odd_rows(spark):
     assert factors.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_shared_with_doubled_rows_only(spark):
+    rows = []
+    for k in range(40):
+        w = [f"p{k}_{i}" for i in range(7)]
+        doubled = (1000 + 7 * k, f"c{k} d{k} " + " ".join(w) + f" e{k}")
+        rows += [doubled, doubled, (2000 + 3 * k, " ".join(w) + f" f{k} g{k}")]
+        # a window in one row and a doubled one, its runs of three words apart in a third row
+        w = [f"q{k}_{i}" for i in range(5)]
+        doubled = (3000 + 7 * k, f"c{k} " + " ".join(w) + f" h{k}")
+        rows += [doubled, doubled, (4000 + 3 * k, f"i{k} " + " ".join(w)), (5000 + 5 * k, " ".join(f"{' '.join(w[i : i + 3])} j{k}_{i}" for i in range(3)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, 5) == plain(rows, 5)
+
+
 def test_word_hashes_follow_the_words():
     text = ("a bb  ccc\ta bb\x0bé é " + "x" * (words.BLOCK + 5) + " a bb ccc").encode()
     starts, ends = words.places(text)
