@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
+import re
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -37,9 +39,21 @@ END_OF_TEXT = ("<|endoftext|>", 50256)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+SPACE = re.compile(r"\s+")
+LONG_SPACE = 100_000  # characters of white space in a row that are not given to tiktoken
+
+
+def _long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in SPACE.finditer(text))
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text -> ids (uint32) for a vocabulary file: .json for tokenizers, .tiktoken (ranks) for tiktoken."""
+    """Text -> ids (uint32) for a vocabulary file: .json for tokenizers, .tiktoken (ranks) for tiktoken.
+
+    tiktoken's pattern runs out of stack on very long white space; such texts, and any that it raises on,
+    are encoded by the tokenizers file of the same name beside the ranks.
+    """
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
@@ -50,7 +64,18 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict([END_OF_TEXT]))
-    return lambda text: ranked.encode_to_numpy(text, allowed_special="all")
+    beside = os.path.splitext(path)[0] + ".json"
+
+    def encode(text: str) -> np.ndarray:
+        if not _long_space(text):
+            try:
+                return ranked.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                if not os.path.exists(beside):
+                    raise
+        return encoder(beside)(text)
+
+    return encode
 
 
 class Windows:

@@ -75,3 +75,9 @@ def test_windows_fill_and_close():
 
 def test_digest(spark):
     assert spark.range(1).select(F.crc32(F.lit(bytearray(np.array([1, 2], "<u4").tobytes())))).first()[0] == __import__("zlib").crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def test_long_white_space(spark):
+    rows = [(1, "a" + " " * 1_200_000 + "b"), (2, "c d"), (3, "e \t" * 70_000), (4, "f" + " " * 99_999 + "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert check(rows, packing.pack(docs, RANKS).collect())[0] == 0
