@@ -12,6 +12,10 @@ sides. A window with a repeated anchor that no factor holds lies at a factor's b
 checked by its 128-bit hash together with the reference's window at the same place and all other
 such windows. A repeated window is thus either inside a factor or equal to a checked one.
 
+The parse is not greedy: a match is not extended against the reference's text, and a factor ends where the
+first occurrence of the anchors changes document. What factors miss is left to the window hashes, so
+the removed windows are the same, while only hashes and places are shuffled for the anchors.
+
 Counts are pre-aggregated, and rows meet by joins on hashes, so a passage that a third of all
 documents share is split over tasks.
 """
