@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from convlake.llm import entropy, factors, importance, langid, mixing, packing, secrets, simhash, sketches, voronoi
+from convlake.llm import bpe, entropy, factors, importance, langid, mixing, packing, secrets, simhash, sketches, voronoi
 from convlake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,17 @@ def op6_cross_entropy_difference(spark: SparkSession, path: str) -> DataFrame:
 def op8_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
     """Draws and selection of every document; as large a share is selected as is labelled good."""
     return importance.resampled(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query
+def op11_byte_pair_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of every text by the ranks of the multilingual vocabulary, and the bytes they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = table(spark, path, "documents").select("doc_id", bpe.ids_of(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
+    rows = rows.withColumn("decoded", bpe.bytes_of(F.col("ids"), ranks))
+    return rows.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
