@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from convlake.llm import bpe, entropy, factors, importance, langid, mixing, packing, secrets, simhash, sketches, voronoi
+from convlake.llm import bpe, entropy, factors, importance, langid, mixing, negatives, packing, secrets, simhash, sketches, voronoi
 from convlake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,24 @@ def op11_byte_pair_encoding(spark: SparkSession, path: str) -> DataFrame:
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS a, d.vec_id AS d, q.label = d.label AS same, list_dot_product(q.v, d.v)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+p AS (SELECT a, d AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, d) <= 5),
+n AS (SELECT p.a, positive_id, positive_score, s.d, s.score, row_number() OVER (PARTITION BY p.a, positive_id ORDER BY s.score DESC, s.d) AS r
+  FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT a AS anchor_id, positive_id, r::INTEGER AS rank, d AS negative_id, positive_score, score AS negative_score FROM n WHERE r <= 3
+"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh carries the next label."""
+    rows = table(spark, path, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
