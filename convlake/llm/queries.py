@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from convlake.llm import bpe, entropy, factors, importance, langid, mixing, negatives, packing, secrets, simhash, sketches, voronoi
+from convlake.llm import bpe, entropy, factors, importance, langid, mixing, negatives, packing, repair, secrets, simhash, sketches, voronoi
+from convlake.llm.common import staged
 from convlake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +188,27 @@ def op12_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
     rows = table(spark, path, "embeddings")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with five of twenty kinds of rows damaged; a row's kind is a digest of its id and turn. Nulls are one space."""
+    gap = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", gap("conv_id"), gap("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(gap("text"), ".!?", "")).otherwise(gap("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(gap("role"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1))
+    rows = rows.withColumn("kind", kind).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies))
+    return rows.drop("col")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, path: str) -> DataFrame:
+    """Faults of the damaged conversations, their cheapest repair and the digest of what it gives."""
+    rows = table(spark, path, "conversations")
+    found = damaged(rows)
+    audits = staged(repair.audited(found), "audits")
+    every = rows.select(F.col("conv_id").alias("c")).distinct()
+    for part in (audits, repair.digests(found, audits)):
+        every = every.join(part, F.col("c").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    zeros = [F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(F.col("c").alias("conv_id"), *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
