@@ -16,21 +16,24 @@ from __future__ import annotations
 
 import base64
 import functools
-from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 from operator import itemgetter
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 22  # characters of text whose words are encoded together
-KNOWN = 1 << 26  # bytes of encoded words that a task keeps
+KNOWN = 1 << 22  # bytes of encoded words that a task keeps
 SHIFT = 32  # of the left token in a pair's key
+NONE = 1 << 40  # no token; above every rank
+GONE = -2  # a place that has been merged into its left neighbour
 
 
 class Vocabulary(NamedTuple):
@@ -57,65 +60,71 @@ def vocabulary(path: str) -> Vocabulary:
 
 def replay(words: list[bytes], known: Vocabulary) -> list[list[int]]:
     """The ids of each word (none empty); a word that is a token itself has that id."""
-    out = [[known.ranks[w]] if w in known.ranks else [] for w in words]
-    todo = [k for k, ids in enumerate(out) if not ids]
-    pairs, of_byte = known.pairs, [known.ranks[bytes([b])] for b in range(256)]
-    token = [of_byte[b] for k in todo for b in words[k]]
-    end = len(token)
-    token.append(-1)  # the end of every word; no pair has it
-    word = [k for k in todo for _ in words[k]]
-    after, before = list(range(1, end + 2)), list(range(-1, end))
-    firsts, at = [], 0
-    for k in todo:
-        firsts.append(at)
-        before[at] = end
-        at += len(words[k])
-        after[at - 1] = end
-    index: dict[int, list[int]] = {}
-    gives: list[int | None] = [None] * (end + 1)  # the token that a place and its right neighbour merge to
-    for place in range(end):
-        rank = gives[place] = pairs.get(token[place] << SHIFT | token[after[place]])
-        if rank is not None:
-            index.setdefault(rank, []).append(place)
-    waiting = list(index)
-    heapify(waiting)
-
-    def put(rank: int, place: int) -> None:
-        if rank in index:
-            index[rank].append(place)
-        else:
-            index[rank] = [place]
-            heappush(waiting, rank)
-
+    return [np.frombuffer(ids, "<u4").tolist() for ids in spelled(words, known)]
+
+
+def spelled(words: list[bytes], known: Vocabulary) -> list[bytes]:
+    """The same as little-endian 32-bit ids, end to end."""
+    ranks = known.ranks
+    todo = [w for w in words if w not in ranks]
+    made = iter(_merged(todo, known) if todo else ())
+    return [ranks[w].to_bytes(4, "little") if w in ranks else next(made) for w in words]
+
+
+def _merged(words: list[bytes], known: Vocabulary) -> list[bytes]:
+    # bytes of all words, each word followed by an end that merges with nothing
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    chars = np.full(ends[-1] + 1, -1, np.int64)
+    inside = np.ones(len(chars), bool)
+    inside[ends] = False
+    chars[inside] = np.frombuffer(b"".join(words), np.uint8)
+    of_byte = np.array([known.ranks[bytes([c])] for c in range(256)] + [-1], np.int64)
+    byte_pairs = np.array([[known.pairs.get(int(a) << SHIFT | int(b), NONE) for b in of_byte] for a in of_byte], np.int64)
+    first = np.append(byte_pairs[chars[:-1], chars[1:]], NONE)
+
+    # the inverted index: the token that neighbours merge to -> places of the left one
+    found = np.flatnonzero(first != NONE)
+    found = found[np.argsort(first[found], kind="stable")]
+    waiting, cuts = np.unique(first[found], return_index=True)
+    index = dict(zip(waiting.tolist(), [at.tolist() for at in np.split(found, cuts[1:])]))
+    waiting = waiting.tolist()  # ascending, so a heap
+    gives, token = first.tolist(), of_byte[chars].tolist()
+    after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+    of_pair, ends = known.pairs.get, ends.tolist()
     while waiting:
         rank = heappop(waiting)
-        held = None  # the word in which a lower rank has to be replayed first
+        until = -1  # the end of a word in which a lower rank has to be replayed first
         for place in sorted(index.pop(rank)):
             if gives[place] != rank:
                 continue
-            if word[place] == held:
-                put(rank, place)
+            if place < until:
+                if rank in index:
+                    index[rank].append(place)
+                else:
+                    index[rank] = [place]
+                    heappush(waiting, rank)
                 continue
-            right = after[place]
-            left, beyond = before[place], after[right]
-            token[place], gives[right] = rank, None
-            after[place] = beyond
-            before[beyond] = place
-            new = gives[place] = pairs.get(rank << SHIFT | token[beyond])
-            old = gives[left] = pairs.get(token[left] << SHIFT | rank) if left != end else None
-            if new is not None:
-                put(new, place)
-                if new < rank:
-                    held = word[place]
-            if old is not None:
-                put(old, left)
-                if old < rank:
-                    held = word[place]
-    for k, place in zip(todo, firsts):
-        while place != end:
-            out[k].append(token[place])
-            place = after[place]
-    return out
+            right, left = after[place], before[place]
+            beyond = after[right]
+            token[place], token[right], gives[right] = rank, GONE, NONE
+            after[place], before[beyond] = beyond, place
+            # only the pairs with the two neighbours change
+            for at, new in ((place, of_pair(rank << SHIFT | token[beyond], NONE)), (left, of_pair(token[left] << SHIFT | rank, NONE))):
+                gives[at] = new
+                if new != NONE:
+                    if new in index:
+                        index[new].append(at)
+                    else:
+                        index[new] = [at]
+                        heappush(waiting, new)
+                    if new < rank:
+                        until = ends[bisect_right(ends, place)]
+    left_over = np.array(token, np.int64)
+    stays = left_over >= 0
+    data = left_over[stays].astype("<u4").tobytes()
+    to = 4 * np.cumsum(stays)[ends]
+    return [data[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist())]
 
 
 class Encoder:
@@ -137,10 +146,9 @@ class Encoder:
         if self.held > KNOWN:
             self.known, self.held = {}, 0
         new = list(dict.fromkeys(w for w in chain.from_iterable(cut) if w not in self.known))
-        spelled = [w.encode() for w in new]
-        for name, ids in zip(new, replay(spelled, self.vocabulary)):
-            self.known[name] = _little(ids)
-        self.held += sum(map(len, spelled))
+        bare = [w.encode() for w in new]
+        self.known.update(zip(new, spelled(bare, self.vocabulary)))
+        self.held += sum(map(len, bare))
         for words in cut:
             yield b"".join(map(self.known.__getitem__, words))
 
@@ -155,15 +163,8 @@ class Encoder:
         yield from self.block(held)
 
 
-def _little(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
-
-
 def _decoded(ids: bytes, tokens: list[bytes]) -> bytes:
-    numbers = array("I", ids) if array("I").itemsize == 4 else array("L", ids)
-    if _little([1]) != array(numbers.typecode, [1]).tobytes():
-        numbers.byteswap()
-    return b"".join(map(tokens.__getitem__, numbers))
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def ids_of(text: Column, path: str, pattern: str) -> Column:
