@@ -2,9 +2,9 @@
 
 The logic of a stream operator is a pure pair of functions on a small state: ``step`` for a row
 and ``tick`` for the passing of time. ``OrderedProcessor`` runs it in a stream: rows wait in
-keyed list state until the watermark passes them, then run in time order, so neither the order
-of micro-batches nor the order inside one matters. ``fold_sorted`` runs the same functions on a
-table, one pass over sorted partitions; give it keys that restart the state (a message, a
+keyed state, in buckets of time, until the watermark passes them; then they run in time order, so
+neither the order of micro-batches nor the order inside one matters. ``fold_sorted`` runs the same
+functions on a table, one pass over sorted partitions; give it keys that restart the state (a message, a
 response) where there are such, so a hot stream spreads.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 State = dict[str, Any]
 Rows = list[tuple]
@@ -45,48 +45,72 @@ class Machine:
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Runs a machine per key on rows in event-time order."""
+    """Runs a machine per key on rows in event-time order.
 
-    def __init__(self, machine: Machine, key: str, row_schema: StructType, out_columns: list[str]):
-        self.machine, self.key, self.row_schema, self.out_columns = machine, key, row_schema, out_columns
+    Rows wait in map state under their bucket (``bucket_ms`` of event time). A timer at the latest row
+    of a bucket reads that bucket alone and removes it, or what of it the watermark has passed; a
+    deadline of the machine has a timer of its own. Timers of a key fire in the order of their times.
+    """
+
+    def __init__(self, machine: Machine, key: str, row_schema: StructType, out_columns: list[str], bucket_ms: int):
+        self.machine, self.key, self.row_schema, self.out_columns, self.bucket_ms = machine, key, row_schema, out_columns, bucket_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
-        self.state = handle.getValueState("state", "json string")
+        rows = StructType([StructField("rows", ArrayType(self.row_schema))])
+        self.waiting = handle.getMapState("waiting", StructType([StructField("bucket", LongType())]), rows)
+        self.state = handle.getValueState("state", "done long, json string")  # all rows up to ``done`` (ms) have run
+
+    def _held(self, bucket: int) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.getValue((bucket,))[0]] if self.waiting.containsKey((bucket,)) else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is None or key[0] != key[0]:  # the mark of the end of input, which only moves the watermark
             return iter([])
-        latest = None
+        arrived: dict[int, list[tuple]] = {}
         for pdf in rows:
-            batch = list(pdf[self.row_schema.names].itertuples(index=False, name=None))
-            if batch:
-                self.waiting.appendList(batch)
-                latest = max([r[0] for r in batch] + ([latest] if latest is not None else []))
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000)
+            for row in pdf[self.row_schema.names].itertuples(index=False, name=None):
+                arrived.setdefault(row[0] // 1000 // self.bucket_ms, []).append(row)
+        for bucket, more in arrived.items():
+            self.waiting.updateValue((bucket,), (self._held(bucket) + more,))
+            self.handle.registerTimer(max(row[0] for row in more) // 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # everything up to the watermark has arrived, so one firing catches up with all of it
-        now_ms = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        rows = list(self.waiting.get())
-        due = sorted(r for r in rows if r[0] // 1000 <= now_ms)
-        later = [r for r in rows if r[0] // 1000 > now_ms]
-        state = json.loads(self.state.get()[0]) if self.state.exists() else dict(self.machine.initial)
-        out: Rows = []
-        for r in due:
-            out += self.machine.run(state, r)
-        out += self.machine.tick(state, now_ms * 1000)
+        now, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        watermark = max(now, watermark)
+        bucket = now // self.bucket_ms
+        done, state = None, dict(self.machine.initial)
+        if self.state.exists():
+            done, held = self.state.get()
+            state = json.loads(held)
+        rows, out = self._held(bucket), []
+        # everything up to the watermark has arrived, so one firing takes all of the bucket that it has passed
+        now = max(now, min((bucket + 1) * self.bucket_ms - 1, watermark))
+        due = sorted(row for row in rows if row[0] // 1000 <= now)
         if due:
-            self.waiting.clear()
-            if later:
-                self.waiting.put(later)
-        self.state.update((json.dumps(state),))
-        wake = self.machine.deadline(state)
-        if wake is not None and wake > now_ms * 1000:
-            self.handle.registerTimer(-(-wake // 1000))
+            if done is not None and due[0][0] // 1000 <= done:
+                raise RuntimeError(f"rows of key {key[0]} at {due[0][0]} are due after {done}")
+            for row in due:
+                out += self.machine.run(state, row)
+            if len(due) < len(rows):
+                self.waiting.updateValue((bucket,), ([row for row in rows if row[0] // 1000 > now],))
+            else:
+                self.waiting.removeKey((bucket,))
+        done = now if done is None else max(done, now)
+        out += self.machine.tick(state, done * 1000)
+        while (wake := self.machine.deadline(state)) is not None:
+            at = -(-wake // 1000)
+            if at > watermark:
+                self.handle.registerTimer(at)
+                break
+            # met at once, unless rows wait before it, whose own timers come first
+            buckets = range(done // self.bucket_ms, at // self.bucket_ms + 1)
+            if any(row[0] // 1000 <= at for b in buckets for row in self._held(b)):
+                break
+            done = max(done, at)
+            out += self.machine.tick(state, at * 1000)
+        self.state.update((done, json.dumps(state)))
         if out:
             pdf = pd.DataFrame(out, columns=self.out_columns)
             pdf.insert(0, self.key, key[0])
@@ -96,15 +120,19 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
-def run_stream(events: DataFrame, machine: Machine, key: str, watermark: str = "0 seconds", ts: str = "ts") -> DataFrame:
-    """Apply a machine to a stream with a timestamp column ``ts``."""
+def run_stream(events: DataFrame, machine: Machine, key: str, watermark: str = "0 seconds", ts: str = "ts", bucket_ms: int = 1000) -> DataFrame:
+    """Apply a machine to a stream with a timestamp column ``ts``.
+
+    Rows of a key wait in state and are read ``bucket_ms`` of event time at a time; those of a bucket
+    should be few, and a bucket should not be much shorter than the time between rows.
+    """
     rows = events.select(key, ts, *machine.columns).withWatermark(ts, watermark)
     schema = StructType([f for f in rows.schema if f.name in machine.columns])
     schema = StructType([schema[c] for c in machine.columns])
     kind = dict(rows.dtypes)[key]
     names = [c.split()[0] for c in machine.output.split(", ")]
     return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=OrderedProcessor(machine, key, schema, names),
+        statefulProcessor=OrderedProcessor(machine, key, schema, names, bucket_ms),
         outputStructType=f"{key} {kind}, {machine.output}", outputMode="Append", timeMode="EventTime",
     )
 

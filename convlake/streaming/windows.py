@@ -12,11 +12,18 @@ from pyspark.sql.types import StructType
 from convlake.session import shared_dir
 
 
-def stream_events(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
-    """Event files as a stream; ``ts`` (NTZ or text) becomes a timestamp for watermarks."""
+def stream_events(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", glob: str = "*", files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
+    """Event files as a stream; ``ts`` (NTZ or text) becomes a timestamp for watermarks.
+
+    A micro-batch takes at most so many files, or files of so many bytes (one file at least).
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_batch and bytes_per_batch:
+        raise ValueError("a batch is limited by files or by bytes")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.format(fmt).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -12,6 +12,7 @@ from convlake.workloads.chunks import SPACE
 from convlake.workloads.registry import Tables, query
 
 HOUR = 3_600_000_000
+DAY_MS = 86_400_000  # a user has a few events a day
 KINDS = {
     "pause": {"view": "step", "error": "step", "signup": "step", "click": "word", "purchase": "bot"},
     "anticipation": {"view": "prob", "error": "prob", "signup": "prob", "click": "word", "purchase": "bot"},
@@ -25,6 +26,10 @@ def stream(t: Tables):
     return e.withColumn("ts_us", F.unix_micros("ts"))
 
 
+def turns(t: Tables):
+    return t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.path)
+
+
 def signals(df, role: str):
     """Event types as the signals of a machine (the value on a 0 to 1 scale)."""
     kind = F.lit(None).cast("string")
@@ -63,7 +68,7 @@ def pause_rows(df):
 
 @query("t1_pause_ema", f"{EMA} SELECT * FROM res")
 def _(t):
-    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id")
+    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id", bucket_ms=DAY_MS)
     return pause_rows(SW.run_to_table(out, "t1"))
 
 
@@ -76,7 +81,7 @@ def _(t):
 
 @query("t10_interrupt_on_speech", f"{EMA} SELECT user_id, id, kind FROM res WHERE kind <> 'step'")
 def _(t):
-    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id")
+    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id", bucket_ms=DAY_MS)
     return SW.run_to_table(out.filter("kind <> 'step'"), "t10").select("user_id", "id", "kind")
 
 
@@ -92,7 +97,7 @@ SELECT user_id, id, fired AS triggered, reasons FROM st WHERE kind = 'prob'"""
 
 @query("t2_anticipation_trigger", ANT)
 def _(t):
-    return SW.run_to_table(run_stream(signals(stream(t), "anticipation"), SG.anticipation_machine(0.2, 12 * HOUR), "user_id"), "t2")
+    return SW.run_to_table(run_stream(signals(stream(t), "anticipation"), SG.anticipation_machine(0.2, 12 * HOUR), "user_id", bucket_ms=DAY_MS), "t2")
 
 
 @query("t2_anticipation_batch", ANT)
@@ -118,7 +123,7 @@ SELECT user_id, CAST(attempt AS BIGINT) AS attempt, chunks,
 @query("t3_speculation_lifecycle", SPEC)
 def _(t):
     """The last status and buffer each attempt reaches in the stream."""
-    out = run_stream(signals(stream(t), "speculation"), SG.speculation_machine(WINDOW, DRAIN), "user_id")
+    out = run_stream(signals(stream(t), "speculation"), SG.speculation_machine(WINDOW, DRAIN), "user_id", bucket_ms=DAY_MS)
     rows = SW.run_to_table(out, "t3")
     final = rows.groupBy("user_id", "attempt").agg(F.max_by(F.struct("status", "status_reason", "chunks"), "seq").alias("s"))
     return final.select("user_id", "attempt", "s.*")
@@ -137,7 +142,7 @@ UNTIL = "(SELECT max(epoch_us(ts)) FROM events WHERE event_type IN ('purchase',
 
 @query("t4_long_silence", SIL.format(until=UNTIL))
 def _(t):
-    return SW.run_to_table(run_stream(signals(stream(t), "silence"), SG.silence_machine(24 * HOUR), "user_id"), "t4")
+    return SW.run_to_table(run_stream(signals(stream(t), "silence"), SG.silence_machine(24 * HOUR), "user_id", bucket_ms=DAY_MS), "t4")
 
 
 @query("t4_long_silence_batch", SIL.format(until=UNTIL))
@@ -152,8 +157,7 @@ WITH w AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '{S
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS word_idx, CASE WHEN i > 1 OR sp THEN ' ' || w ELSE w END AS word FROM w""")
 def _(t):
     """Deltas of seven characters, turns 100 s apart; silence, or the end of input, flushes the last word of a turn."""
-    src = t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.path)
-    d = src.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).alias("i", "text"))
+    d = turns(t).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).alias("i", "text"))
     d = d.select("conv_id", "text", F.col("i").cast("long").alias("id"), ((F.col("turn") + 1) * 100_000_000 + F.col("i") * 10).alias("ts_us"))
     d = d.withColumn("ts", F.timestamp_micros("ts_us"))
     return SW.run_to_end(d, lambda rows: run_stream(rows, SG.words_machine(), "conv_id"), "t5")

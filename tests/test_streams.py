@@ -1,13 +1,17 @@
 """Streams replayed in several micro-batches give the rows of their batch twins."""
 
+import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from convlake import workloads
 from convlake.streaming import signals as SG
 from convlake.streaming import windows as SW
-from convlake.streaming.ordered import fold_sorted, run_stream
+from convlake.streaming.ordered import OrderedProcessor, fold_sorted, run_stream
 
 SCHEMA = "k string, ts_us long, id long, kind string, value double"
 
@@ -80,3 +84,142 @@ def test_word_stream(spark, tmp_path):
     src = spark.readStream.schema("k string, ts_us long, id long, text string").parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
     got = SW.run_to_table(run_stream(src, SG.words_machine(), "k"), "words").filter("k = 'a'").orderBy("word_idx").collect()
     assert [r.word for r in got] == ["foo", " bar", " baz"]
+
+
+class Map(dict):
+    """Map state that notes which buckets are read."""
+
+    reads: list[int]
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        self.reads.append(key[0])
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Value:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class Handle:
+    def __init__(self):
+        self.map, self.value, self.timers = Map(), Value(), set()
+        self.map.reads = []
+
+    def getMapState(self, *_):
+        return self.map
+
+    def getValueState(self, *_):
+        return self.value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, now, watermark):
+        self.now, self.watermark = now, watermark
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+@pytest.mark.parametrize("bucket_ms", [50, 1000, 60_000])
+@pytest.mark.parametrize("name", CASES)
+def test_timers_read_due_buckets_only(name, bucket_ms):
+    """Fifty batches of one key: each row is read from state by the firings of its bucket, never with the others."""
+    kinds, make = CASES[name]
+    rng, machine = random.Random(name), make()
+    rows, at = [], 10**9
+    for i in range(2000):
+        at += rng.randrange(1_000, 400_000)
+        rows.append((at, i, rng.choice(kinds), rng.random())[: len(machine.columns)])
+    schema = StructType([StructField(c, LongType()) for c in machine.columns])
+    names = [c.split()[0] for c in machine.output.split(", ")]
+    processor, handle, got = OrderedProcessor(machine, "k", schema, names, bucket_ms), Handle(), []
+    processor.init(handle)
+    watermark, most = 0, 0
+    for k in range(0, 2000, 40):
+        batch = rows[k : k + 40]
+        rng.shuffle(batch)
+        list(processor.handleInputRows(("a",), iter([pd.DataFrame(batch, columns=machine.columns)]), None))
+        watermark = max(r[0] for r in batch) // 1000 - 500 if k < 1960 else 10**12
+        while handle.timers and min(handle.timers) <= watermark:
+            now = min(handle.timers)
+            handle.timers.remove(now)
+            handle.map.reads.clear()
+            for pdf in processor.handleExpiredTimer(("a",), At(now, watermark), At(now, watermark)):
+                got += pdf.itertuples(index=False, name=None)
+            most = max(most, len(set(handle.map.reads)))
+        # what still waits has a timer of its bucket ahead
+        assert all(any(t // bucket_ms == b[0] and t >= r[0] // 1000 for t in handle.timers) for b, v in handle.map.items() for r in v[0])
+    state, want = dict(machine.initial), []
+    for row in rows:
+        want += machine.run(state, row)
+    want += machine.tick(state, 10**15)
+    assert [tuple(None if x != x else x for x in r[1:]) for r in got] == want and want
+    # a firing reads its bucket, and for a deadline the buckets up to it
+    assert most <= 2 + 5_000_000 // 1000 // bucket_ms and not handle.map
+
+
+TWINS = {"t1_pause_ema": "t1_pause_ema_batch", "t2_anticipation_trigger": "t2_anticipation_batch", "t3_speculation_lifecycle": "t3_speculation_batch"}
+
+
+@pytest.mark.parametrize("name", TWINS)
+def test_twelve_batches_equal_the_twin(spark, tmp_path, monkeypatch, name):
+    """The registered streams, fed by twelve files one at a time, give the rows of their batch twins."""
+    base = "/root/testdata/sf0.001"
+    whole = spark.read.parquet(f"{base}/events.parquet")
+    in_files(whole, "ts", tmp_path / "in")
+
+    def source(t):
+        return SW.stream_events(t.spark, str(tmp_path / "in"), whole.schema, files_per_batch=1).withColumn("ts_us", F.unix_micros("ts"))
+
+    monkeypatch.setattr(workloads.streams, "stream", source)
+    rounded = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.select(*sorted(df.columns)).collect())
+    got = rounded(workloads.QUERIES[name](spark, base))
+    assert got == rounded(workloads.QUERIES[TWINS[name]](spark, base)) and got
+
+
+def in_files(df, order, path, n=12):
+    """``df`` in ``n`` files by ranges of ``order``, written one after the other."""
+    df.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(str(path))
+    parts = sorted(path.glob("*.parquet"))
+    assert len(parts) >= 10
+    for k, part in enumerate(parts):  # a source reads files in the order of their times
+        os.utime(part, (1_000_000 + k, 1_000_000 + k))
+
+
+def test_words_in_twelve_batches(spark, tmp_path):
+    rng = random.Random(4)
+    rows, at = [], 10**9
+    for i in range(600):
+        at += rng.choice([1000, 30_000, 2_500_000])
+        rows.append((rng.choice("abc"), at, i, "".join(rng.choices("xyz \n", k=rng.randrange(1, 8)))))
+    schema = "k string, ts_us long, id long, text string"
+    table = spark.createDataFrame(rows, schema)
+    in_files(table, "ts_us", tmp_path / "in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
+    got = SW.run_to_end(src, lambda r: run_stream(r, SG.words_machine(), "k"), "words").collect()
+    want = fold_sorted(table, SG.words_machine(), ["k"], until=10**15).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
