@@ -189,7 +189,9 @@ def turn_metrics(scored: DataFrame, keys: Sequence[str], grid: Sequence[float],
     ``lead``: frames from the first trigger inside the last ``horizon`` frames to the turn end, 0
     if there is none. ``early``: triggers before that window, each followed by ``horizon`` frames
     of cooldown; ``early_share``: their share of the possible number. The grid is evaluated on
-    arrays of one turn piece, so frames are never multiplied by thresholds in a shuffle.
+    arrays of one turn piece, so frames are never multiplied by thresholds in a shuffle. A piece
+    becomes a table over the frames still blocked at its start; FOLD such tables are composed to one,
+    so a row holds FOLD of them, or at the end one for each ``piece * FOLD`` frames of a turn.
     """
     keys = list(keys)
     h = F.col("horizon").cast("long")
@@ -216,28 +218,49 @@ def turn_metrics(scored: DataFrame, keys: Sequence[str], grid: Sequence[float],
 
     folds = F.transform(thresholds, lambda t: F.transform(entries, lambda e: walk(t, e)))
     df = df.withColumn("_folds", folds)
-    pieces = F.sort_array(F.collect_list(F.struct("_p", "_leads", "_folds")))
-    df = df.groupBy(*turn).agg(pieces.alias("_pieces"))
-
-    def early(i: Column) -> Column:
-        init = F.struct(F.lit(0).cast("long").alias("out"), F.lit(0).cast("long").alias("n"))
-
-        def add(a: Column, s: Column) -> Column:
-            r = F.get(F.get(s["_folds"], i), a["out"].cast("int"))
-            return F.struct(r["out"].alias("out"), (a["n"] + r["n"]).alias("n"))
-
-        return F.aggregate(F.col("_pieces"), init, add)["n"]
-
-    df = df.select(*turn, "_pieces", F.posexplode(thresholds).alias("th_idx", "threshold"))
+    df = _composed(df, turn, h, len(grid), piece, FOLD)
+    df = _composed(df, turn, h, len(grid), piece * FOLD, None)
+    df = df.select(*turn, "_leads", "_folds", F.posexplode(thresholds).alias("th_idx", "threshold"))
     i = F.col("th_idx")
     length = F.col("run_end") - F.col("run_start") + 1
     possible = F.ceil(F.greatest(length - F.col("horizon"), F.lit(0)) / F.col("horizon"))
-    lead_i = F.array_max(F.transform("_pieces", lambda s: F.get(s["_leads"], i)))
-    df = df.select(*turn, "th_idx", "threshold", F.coalesce(lead_i, F.lit(0)).alias("lead"), early(i).alias("early"), possible.alias("possible"))
+    early = F.get(F.get("_folds", i), F.lit(0))["n"]
+    df = df.select(*turn, "th_idx", "threshold", F.coalesce(F.get("_leads", i), F.lit(0)).alias("lead"), early.alias("early"), possible.alias("possible"))
     share = F.when(F.col("possible") > 0, F.col("early") / F.col("possible")).otherwise(0.0)
     return df.withColumn("early_share", share).drop("possible")
 
 
+def _composed(df: DataFrame, turn: Sequence[str], h: Column, thresholds: int, width: int, fold: int | None) -> DataFrame:
+    """Makes one piece of each ``fold`` pieces of ``width`` frames (of all that a turn has left if None).
+
+    A piece holds, for each threshold, its largest lead (``_leads``) and a table (``_folds``) that
+    gives for each number of frames still blocked at its start how many are at its end, and
+    how many triggers it has. Such tables compose; a piece without rows lets time pass only.
+    """
+    q = F.floor(F.col("_p") / fold).cast("long") if fold else F.lit(0).cast("long")
+    df = df.groupBy(*turn, q.alias("_q")).agg(F.sort_array(F.collect_list(F.struct("_p", "_leads", "_folds"))).alias("_steps"))
+    first = F.col("_q") * (fold or 1)
+    passed = lambda blocked, pieces: F.greatest(blocked - pieces * width, F.lit(0).cast("long"))
+
+    def walk(i: Column, entry: Column) -> Column:
+        init = F.struct((first - 1).alias("p"), entry.cast("long").alias("out"), F.lit(0).cast("long").alias("n"))
+
+        def add(a: Column, s: Column) -> Column:
+            r = F.get(F.get(s["_folds"], i), passed(a["out"], s["_p"] - a["p"] - 1).cast("int"))
+            return F.struct(s["_p"].alias("p"), r["out"].alias("out"), (a["n"] + r["n"]).alias("n"))
+
+        end = lambda a: F.struct((passed(a["out"], first + (fold - 1) - a["p"]) if fold else a["out"]).alias("out"), a["n"].alias("n"))
+        return F.aggregate("_steps", init, add, end)
+
+    each = F.sequence(F.lit(0), F.lit(thresholds - 1))
+    entries = F.when(F.col("_q") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), h - 1))
+    leads = F.transform(each, lambda i: F.array_max(F.transform("_steps", lambda s: F.get(s["_leads"], i))))
+    folds = F.transform(each, lambda i: F.transform(entries, lambda e: walk(i, e)))
+    alone = F.col("run_end") - F.col("run_start") < width  # most turns are one piece
+    leads, folds = (F.when(alone, F.get("_steps", F.lit(0))[name]).otherwise(made) for name, made in (("_leads", leads), ("_folds", folds)))
+    return df.select(*turn, F.col("_q").alias("_p"), leads.alias("_leads"), folds.alias("_folds"))
+
+
 def forecast_metrics(per_turn: DataFrame, freq: float, collar: int = 1) -> DataFrame:
     """Report row per (threshold, horizon)."""
     # leads are whole frames up to the horizon and early counts small integers, so the exact

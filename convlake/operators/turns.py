@@ -78,17 +78,42 @@ def resolve_segments(rows: list[tuple], keep_current: bool = True) -> list[tuple
 
 
 def resolve_overlaps(turns: DataFrame, keys: Sequence[str], keep_current: bool = True) -> DataFrame:
-    """Make the timeline free of overlaps.
+    """Make the timeline free of overlaps (see ``resolve_segments``).
 
-    The fold needs the already adjusted previous row, but a turn that starts after every earlier
-    end starts afresh: such islands fold independently, and an island of one turn needs no fold.
+    What a turn becomes has a closed form where a user turn is always kept. The end reached before it is
+    the largest since the last turn that does not wait (a user's): so far a system turn is moved. From then
+    on only later user turns touch it: one that starts at or before it removes it, and the earliest
+    start of the others is where it ends. Both are ordered scans, so a timeline of any length
+    or with any overlap spreads over tasks. A turn of another tag is kept as it is, and cut like the others.
+
+    Without ``keep_current`` a user turn may take two turns out, itself and the last one, and what is
+    then reached depends on all turns that are left: those timelines are folded, an island
+    of turns that overlap at a time.
     """
     keys = list(keys)
     df = turns.select(*keys, "seg", "turn", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"), "text")
     fixed = F.when(F.col("end_s") <= F.col("start_s"), F.col("start_s") + MIN_LENGTH_S).otherwise(F.col("end_s"))
-    df = S.scan(df, keys, ["seg"], S.by_index("seg"), [S.RunMax("_max", fixed, inclusive=False), S.Lead("_next", F.col("start_s"))])
-    df = df.withColumn("_new", F.col("_max").isNull() | (F.col("start_s") >= F.col("_max")))
-    alone = F.col("_new") & (F.col("_next").isNull() | (F.col("_next") >= F.greatest(fixed, F.coalesce("_max", fixed))))
+    if not keep_current:
+        return _folded_islands(df, keys, fixed)
+    at, system = S.by_index("seg"), F.col("turn") == SYSTEM
+    df = df.withColumn("end_s", fixed)
+    # the least start of later user turns
+    later = S.AheadMax("_later", F.when(F.col("turn") == USER, -F.col("start_s")), inclusive=False)
+    df = S.scan(df, keys, ["seg"], at, [S.RunSum("_kept", F.coalesce(~system, F.lit(True)).cast("long")), later])
+    df = S.scan(df, keys, ["seg"], at, [S.RunMax("_reached", F.struct("_kept", "end_s"), inclusive=False)])
+    start = F.when(system, F.greatest("start_s", "_reached.end_s")).otherwise(F.col("start_s"))
+    df = df.withColumn("start_s", start).withColumn("_later", -F.col("_later"))
+    df = df.filter((F.col("start_s") < F.col("end_s")) & (F.col("_later").isNull() | (F.col("_later") > F.col("start_s"))))
+    return df.select(*keys, "seg", "turn", "start_s", F.least("end_s", "_later").alias("end_s"), "text")
+
+
+def _folded_islands(df: DataFrame, keys: list[str], fixed: Column) -> DataFrame:
+    """``resolve_segments`` without ``keep_current`` on each island: where this and all later turns start after every earlier end, a new one begins."""
+    at = S.by_index("seg")
+    df = S.scan(df, keys, ["seg"], at, [S.RunMax("_max", fixed, inclusive=False), S.AheadMax("_least", -F.col("start_s"))])
+    df = df.withColumn("_new", F.col("_max").isNull() | (-F.col("_least") >= F.col("_max"))).drop("_max", "_least")
+    df = S.scan(df, keys, ["seg"], at, [S.Lead("_next", F.col("_new"), F.lit(True))])
+    alone = F.col("_new") & F.col("_next")
     df = df.withColumn("_alone", alone)
     cols = [*keys, "seg", "turn", "start_s", "end_s", "text"]
     single = df.filter("_alone").withColumn("end_s", fixed).select(*cols)
@@ -101,14 +126,15 @@ def resolve_overlaps(turns: DataFrame, keys: Sequence[str], keep_current: bool =
         for pdf in batches:
             out = []
             for rec in pdf.itertuples(index=False, name=None):
-                if rec[: n + 1] != island:
+                at = tuple(None if k != k else k for k in rec[: n + 1])  # pandas makes nulls NaN, which differ
+                if at != island:
                     if rows:
-                        out += [island[:n] + r for r in resolve_segments(rows, keep_current)]
-                    island, rows = rec[: n + 1], []
+                        out += [island[:n] + r for r in resolve_segments(rows, False)]
+                    island, rows = at, []
                 rows.append(rec[n + 1 :])
             yield pd.DataFrame(out, columns=cols)
         if rows:
-            yield pd.DataFrame([island[:n] + r for r in resolve_segments(rows, keep_current)], columns=cols)
+            yield pd.DataFrame([island[:n] + r for r in resolve_segments(rows, False)], columns=cols)
 
     many = S.scan(df.filter(~F.col("_alone")), keys, ["seg"], S.by_index("seg"), [S.RunSum("_island", F.col("_new").cast("long"))])
     many = many.select(*keys, "_island", "seg", "turn", "start_s", "end_s", "text")

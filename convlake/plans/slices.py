@@ -78,7 +78,16 @@ class NextValid:
     inclusive: bool = True
 
 
-Spec = Lag | Lead | RunSum | RunMax | LastValid | NextValid
+@dataclass(frozen=True)
+class AheadMax:
+    """Largest ``expr`` over the rows from the current one on (or from the next one on)."""
+
+    out: str
+    expr: Column
+    inclusive: bool = True
+
+
+Spec = Lag | Lead | RunSum | RunMax | LastValid | NextValid | AheadMax
 
 
 def by_index(col: str, rows: int = ROWS_PER_SLICE) -> Column:
@@ -121,6 +130,9 @@ def scan(
             f = F.sum if isinstance(s, RunSum) else F.max
             aggs.append(f(x).alias(n))
             carries.append(f(n).over(before).alias(n))
+        elif isinstance(s, AheadMax):
+            aggs.append(F.max(x).alias(n))
+            carries.append(F.max(n).over(after).alias(n))
         elif isinstance(s, (Lag, LastValid)):
             aggs.append(F.max_by(x, F.when(x.isNotNull(), position)).alias(n))
             carries.append(F.last(n, ignorenulls=True).over(before).alias(n))
@@ -132,7 +144,7 @@ def scan(
     # a slice's windows see what it gets as a row before its first and one after its last
     sums = {n: borders.schema[n].dataType for s, n in zip(specs, named) if isinstance(s, RunSum)}
     df = df.withColumns({n: F.col(n).cast(kind) for n, kind in sums.items()}).withColumn(EDGE, F.lit(0))
-    ahead = [isinstance(s, (Lead, NextValid)) for s in specs]
+    ahead = [isinstance(s, (Lead, NextValid, AheadMax)) for s in specs]
     for edge in {1 if a else -1 for a in ahead}:
         kept = [n if a == (edge > 0) else F.lit(None).cast(borders.schema[n].dataType).alias(n) for n, a in zip(named, ahead)]
         df = df.unionByName(borders.select(*keys, SLICE, *kept, F.lit(edge).alias(EDGE)), allowMissingColumns=True)
@@ -148,8 +160,9 @@ def scan(
         if isinstance(s, (Lag, Lead)):
             found = (F.lag if isinstance(s, Lag) else F.lead)(x).over(local)
             value = found["v"] if s.default is None else F.when(found.isNull(), s.default).otherwise(found["v"])
-        elif isinstance(s, NextValid):
-            value = F.first(x, ignorenulls=True).over(onward if s.inclusive else future)
+        elif isinstance(s, (NextValid, AheadMax)):
+            frame = onward if s.inclusive else future
+            value = F.max(x).over(frame) if isinstance(s, AheadMax) else F.first(x, ignorenulls=True).over(frame)
         else:
             frame = upto if s.inclusive else past
             value = F.coalesce(F.sum(x).over(frame), F.lit(0)) if isinstance(s, RunSum) else F.max(x).over(frame) if isinstance(s, RunMax) else F.last(x, ignorenulls=True).over(frame)

@@ -12,7 +12,7 @@ from convlake.workloads.chunks import SPACE
 from convlake.workloads.registry import Tables, query
 
 HOUR = 3_600_000_000
-DAY_MS = 86_400_000  # a user has a few events a day
+BUCKET_MS = 30 * 86_400_000  # a user has some seventy events in thirty days
 KINDS = {
     "pause": {"view": "step", "error": "step", "signup": "step", "click": "word", "purchase": "bot"},
     "anticipation": {"view": "prob", "error": "prob", "signup": "prob", "click": "word", "purchase": "bot"},
@@ -68,7 +68,7 @@ def pause_rows(df):
 
 @query("t1_pause_ema", f"{EMA} SELECT * FROM res")
 def _(t):
-    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id", bucket_ms=DAY_MS)
+    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id", bucket_ms=BUCKET_MS)
     return pause_rows(SW.run_to_table(out, "t1"))
 
 
@@ -81,7 +81,7 @@ def _(t):
 
 @query("t10_interrupt_on_speech", f"{EMA} SELECT user_id, id, kind FROM res WHERE kind <> 'step'")
 def _(t):
-    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id", bucket_ms=DAY_MS)
+    out = run_stream(signals(stream(t), "pause"), SG.pause_machine(ATTACK, RELEASE), "user_id", bucket_ms=BUCKET_MS)
     return SW.run_to_table(out.filter("kind <> 'step'"), "t10").select("user_id", "id", "kind")
 
 
@@ -97,7 +97,7 @@ SELECT user_id, id, fired AS triggered, reasons FROM st WHERE kind = 'prob'"""
 
 @query("t2_anticipation_trigger", ANT)
 def _(t):
-    return SW.run_to_table(run_stream(signals(stream(t), "anticipation"), SG.anticipation_machine(0.2, 12 * HOUR), "user_id", bucket_ms=DAY_MS), "t2")
+    return SW.run_to_table(run_stream(signals(stream(t), "anticipation"), SG.anticipation_machine(0.2, 12 * HOUR), "user_id", bucket_ms=BUCKET_MS), "t2")
 
 
 @query("t2_anticipation_batch", ANT)
@@ -123,7 +123,7 @@ SELECT user_id, CAST(attempt AS BIGINT) AS attempt, chunks,
 @query("t3_speculation_lifecycle", SPEC)
 def _(t):
     """The last status and buffer each attempt reaches in the stream."""
-    out = run_stream(signals(stream(t), "speculation"), SG.speculation_machine(WINDOW, DRAIN), "user_id", bucket_ms=DAY_MS)
+    out = run_stream(signals(stream(t), "speculation"), SG.speculation_machine(WINDOW, DRAIN), "user_id", bucket_ms=BUCKET_MS)
     rows = SW.run_to_table(out, "t3")
     final = rows.groupBy("user_id", "attempt").agg(F.max_by(F.struct("status", "status_reason", "chunks"), "seq").alias("s"))
     return final.select("user_id", "attempt", "s.*")
@@ -142,7 +142,7 @@ UNTIL = "(SELECT max(epoch_us(ts)) FROM events WHERE event_type IN ('purchase',
 
 @query("t4_long_silence", SIL.format(until=UNTIL))
 def _(t):
-    return SW.run_to_table(run_stream(signals(stream(t), "silence"), SG.silence_machine(24 * HOUR), "user_id", bucket_ms=DAY_MS), "t4")
+    return SW.run_to_table(run_stream(signals(stream(t), "silence"), SG.silence_machine(24 * HOUR), "user_id", bucket_ms=BUCKET_MS), "t4")
 
 
 @query("t4_long_silence_batch", SIL.format(until=UNTIL))

@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +313,52 @@ def test_coverage_of_empty_and_repeated_units(spark):
     rows = [(1, "a|b|a", "a|b"), (2, "", "x"), (3, None, None), (4, "a|a|c", "a|a|d"), (5, "x y|z", "x y z")]
     got = {r.doc: (r.total, r.matched, round(r.coverage, 6)) for r in TC.multiset_coverage(spark.createDataFrame(rows, "doc int, s string, c string"), "doc", "s", "c").collect()}
     assert got == {1: (3, 2, 0.666667), 2: (0, 0, 1.0), 3: (0, 0, 1.0), 4: (3, 2, 0.666667), 5: (2, 2, 1.0)}
+
+
+@pytest.mark.parametrize("keep_current", [True, False])
+def test_overlaps_of_any_kind(spark, keep_current):
+    """Nested, equal and backward overlaps, starts out of order, turns without length; slices of a few turns."""
+    rng = random.Random(11)
+    rows = []
+    for c in [None, *range(60)]:
+        for i in range(rng.choice([1, 2, 5, 30]) if c else 9000 if c == 0 else 12):
+            start = rng.randrange(12) / 2 if c else i / 4 + rng.randrange(40)
+            rows.append((c, i, rng.choice([U.USER, U.SYSTEM, U.SYSTEM]), start, start + rng.randrange(-1, 9) / 2, str(i)))
+    df = spark.createDataFrame(rows, "conv int, seg long, turn string, start_s double, end_s double, text string")
+    got = sorted(((r.conv, r.seg, r.turn, round(r.start_s, 6), round(r.end_s, 6), r.text) for r in U.resolve_overlaps(df, ["conv"], keep_current).collect()), key=str)
+    want = []
+    for c in [None, *range(60)]:
+        want += [(c, *r) for r in U.resolve_segments([r[1:] for r in rows if r[0] == c], keep_current)]
+    assert got == sorted(((c, s, t, round(a, 6), round(b, 6), x) for c, s, t, a, b, x in want), key=str)
+
+
+def plain_turn(probs, a, b, h, t):
+    """Lead and early triggers of the turn from frame a to b; ``probs`` maps the scored frames."""
+    lead = max((b - i + 1 for i in range(max(a, b - h + 1), b + 1) if probs.get(i, -1) > t), default=0)
+    early, nxt = 0, a
+    for i in range(a, b - h + 1):
+        if i >= nxt and probs.get(i, -1) > t:
+            early, nxt = early + 1, i + h
+    return lead, early
+
+
+def check_turns(spark, probs, turns, horizons, grid, piece):
+    rows = [("s", a, b, h, i, p) for a, b in turns for i, p in probs.items() if a <= i <= b for h in horizons]
+    scored = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "run_start", "run_end", "horizon", "idx", "prob"]))
+    got = {(r.run_start, r.horizon, r.th_idx): (r.lead, r.early) for r in FR.turn_metrics(scored, ["k"], grid, piece).collect()}
+    assert got == {(a, h, k): plain_turn(probs, a, b, h, t) for a, b in turns for h in horizons for k, t in enumerate(grid)}
+
+
+@pytest.mark.parametrize("fold", [2, 3])
+def test_turn_pieces_compose(spark, monkeypatch, fold):
+    """Several levels of pieces, some of them without scores; a horizon longer than a piece."""
+    monkeypatch.setattr(FR, "FOLD", fold)
+    rng = random.Random(fold)
+    probs = {i: rng.random() for i in range(700) if i // 9 % 4}
+    check_turns(spark, probs, [(0, 99), (100, 611), (620, 625), (630, 699)], (3, 7, 13), [0.3, 0.6, 0.95], 8)
+
+
+def test_turn_of_a_million_frames(spark):
+    rng = np.random.default_rng(1)
+    probs = dict(enumerate(rng.random(1_000_000).tolist()))
+    check_turns(spark, probs, [(0, 999_999)], (6,), [0.5, 0.9], FR.PIECE)
