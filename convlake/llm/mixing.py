@@ -125,13 +125,26 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3
     """The mix itself: ``docs`` with a row for each pass that takes a document.
 
     A document whose last pass ends inside it has there its first words only, joined by one space.
-    Rows without words are in no block and so not in the mix. Columns are those of ``docs``.
+    Rows without words are in no block and so not in the mix. Columns are those of ``docs``, whatever
+    their names; rows equal in all columns are taken like others.
+
+    Rows are placed by two hashes of all their columns. Texts meet what is taken of them in one join, a text
+    of each set of equal rows with the counts of what is taken of these.
     """
-    sources = source_table(docs, weights, most, block, source_col, text_col)
-    rows = placed(docs, sources, id_col=id_col, source_col=source_col, text_col=text_col)
+    flat = [F.to_json(c) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    marked = [x for c in flat for x in (c.isNull(), c)]  # a hash skips nulls
+    keys = [F.xxhash64(F.lit(salt), *marked).alias(f"k{salt}") for salt in (1, 2)]
+    lean = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *keys)
+    sources = source_table(lean, weights, most, block)
+    rows = placed(lean, sources, id_col="id").where("_size > 0").select("k1", "k2", "_no", "_at", "_size")
+    rows = staged(rows, "placed")
     taken = taken_pieces(rows, sources, block).groupBy("_no", "_at", F.col("pass").alias("_pass")).agg(F.sum("length").alias("_taken"))
-    out = rows.where("_size > 0").join(taken, ["_no", "_at"])
-    return out.withColumn(text_col, F.when(F.col("_taken") == F.col("_size"), F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("_taken")))).select(*docs.columns)
+    counts = rows.join(taken, ["_no", "_at"]).groupBy("k1", "k2", F.nullif("_taken", "_size").alias("part")).agg(F.count("*").cast("int").alias("copies"))
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys).dropDuplicates(["k1", "k2"])
+    out = texts.join(staged(counts, "counts"), ["k1", "k2"]).select("row", "part", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    text = F.col("row")[text_col]
+    cut = F.when(F.col("part").isNull(), text).otherwise(_first_words(text, F.col("part"))).alias(text_col)
+    return out.select(*[cut if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _first_words(text: Column, n: Column) -> Column:

@@ -95,3 +95,25 @@ def test_no_rows(spark):
     assert mixing.mixed_sizes(docs).count() == 0 == mixing.mixed(docs).count()
     docs = spark.createDataFrame([(1, "a", None)], "doc_id long, source string, text string")
     assert [tuple(r) for r in mixing.mixed_sizes(docs).collect()] == [(1, 0, 0, 0.0, 0)] and mixing.mixed(docs).count() == 0
+
+
+def test_mix_of_rows_with_private_names(spark):
+    """Columns named like the operator's own, maps, nulls, and rows equal in all columns or in all but one."""
+    names = ["_no", "_at", "_size", "_target", "_source", "_taken", "_pass", "k1", "k2", "row", "part", "copies", "id"]
+    rows = []
+    for k in range(60):
+        text = " ".join(f"w{k}x{j}" for j in range(k % 17 * 10))
+        rows += [(k % 50 if k % 9 else None, text if k % 11 else None, ["a", "b", None][k % 3], {"m": k}, *[f"{k}{n}" for n in names])] * (1 + k % 3)
+    rows.append((*rows[-1][:4], *["other"] * len(names)))
+    schema = "doc_id long, text string, source string, extra map<string,int>, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mixed(docs, block=64)
+    assert got.columns == docs.columns
+    words = lambda t: len((t or "").split())
+    want, seen = Counter(), Counter()
+    for k, _, _, _, taken in plain([(r[0], r[2], r[1]) for r in rows]):
+        want[k] += taken
+    for r in got.collect():
+        assert any(tuple(r)[:1] + tuple(r)[2:] == x[:1] + x[2:] and (x[1] or "").startswith(r.text) for x in rows)
+        seen[str(r.doc_id)] += words(r.text)
+    assert +want == seen

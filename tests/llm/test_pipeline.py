@@ -9,7 +9,7 @@ from convlake.llm import common, langid, secrets
 from test_mixing import plain as plain_mix
 from test_packing import check as check_pieces
 from test_secrets import plain as plain_spans
-from test_simhash import plain_components, plain_print, similar_pairs
+from test_simhash import similar_pairs
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,13 +59,6 @@ def test_language(steps, spark):
     assert len([r for r in want if r[0] is not None and r[0] < 9000]) >= 195
 
 
-def test_near_copies(steps):
-    rows = rows_of(steps[1])
-    first = plain_components([(r[0], plain_print(r[1])) for r in rows], radius=8)
-    want = sorted({r for r, c in zip(rows, first) if r[0] == c}, key=str)
-    assert rows_of(steps[2]) == want
-
-
 def test_near_copies_by_similarity(steps):
     rows = sorted(rows_of(steps[1]), key=lambda r: (r[0] is None, r[0] or 0, str(r)))
     rows = [r for k, r in enumerate(rows) if r not in rows[:k]]
