@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
 from convlake.plans import slices as S
+from convlake.session import staged
 
 # fixed values: how far an edge source is trusted, and which wins at equal trust
 SOURCE_CONFIDENCE = {"free_text_fallback": 0.75, "known_personnel_filename": 0.90, "anchored_identity": 0.97}
@@ -17,7 +19,7 @@ DEFAULT_CONFIDENCE, DEFAULT_PRIORITY = 0.5, 0
 NAME_IN_TEXT = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b"
 DEPARTMENT_TAG = r"^\([A-Z0-9\-/]+\)$"
 
-GRAM = 8
+SHARD_CHARS = 2_000_000  # characters of the needles of one automaton (some 100 MB)
 
 
 def _lookup(c: Column, table: dict, default) -> Column:
@@ -84,41 +86,66 @@ def resolve_entities(mentions: DataFrame, aliases: DataFrame, known: DataFrame,
 # --- containment ------------------------------------------------------------------------------------
 
 
-def _grams(c: Column) -> Column:
-    """Distinct substrings of ``GRAM`` characters; of a shorter text the text itself."""
-    n = F.length(c)
-    all_ = F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(GRAM)))
-    return F.array_distinct(all_)
+def _scanner(needles: Sequence[str]):
+    """Texts -> (text, needle) for each needle in a text, once, by one Aho-Corasick automaton over all needles."""
+    import ahocorasick
 
+    automaton = ahocorasick.Automaton()
+    for n in needles:
+        automaton.add_word(n, n)
+    automaton.make_automaton()
 
-def _contained(hay: DataFrame, needle: DataFrame) -> DataFrame:
-    """Pairs (h, n) of distinct texts where ``h`` contains ``n``, without comparing all pairs.
+    def scan(texts: Iterable[str]) -> pd.DataFrame:
+        return pd.DataFrame([(h, n) for h in texts for n in {n for _, n in automaton.iter(h)}], columns=["h", "n"])
+
+    return scan
 
-    Every substring of a contained text occurs in the text around it, so a needle is looked up by
-    one of its grams only: the one that the fewest needles share. Texts shorter than a gram are
-    looked up whole, over the lengths that occur.
-    """
-    n = needle.select(F.explode(_grams(F.col("n"))).alias("g"), "n")
-    rare = n.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    key = n.join(rare, "g").groupBy("n").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
-    short = needle.agg(F.collect_set(F.when(F.length("n") < GRAM, F.length("n"))).alias("_k")).withColumn("_one", F.lit(1))
-    text = F.col("h")
 
-    def of(k: Column) -> Column:
-        starts = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substr(text, i, k))
+def _contained(hay: DataFrame, needle: DataFrame, longest: int, hay_chars: int, chars: int) -> DataFrame:
+    """Pairs (h, n) of the texts in stored tables of distinct ones, where ``h`` contains ``n``.
 
-    h = hay.select("h", F.lit(1).alias("_one")).join(short, "_one")
-    h = h.select("h", F.explode(F.array_union(_grams(text), F.flatten(F.transform("_k", of)))).alias("g"))
-    return h.join(key, "g").filter(F.col("h").contains(F.col("n"))).select("h", "n").distinct()
+    ``longest``: characters of the longest text, ``hay_chars`` and ``chars``: of all texts and needles.
+
+    Each text is read once, by an automaton over needles that are together SHARD_CHARS characters at most.
+    If all needles are no more than that, they go to every task; else shards of needles meet chunks of
+    texts in a grid. Needles longer than every text are left out.
+    """
+    spark = hay.sparkSession
+    needle = needle.where(F.length("n") <= longest)
+    if chars > SHARD_CHARS:
+        chars = needle.agg(F.coalesce(F.sum(F.length("n")), F.lit(0))).first()[0]
+    schema = "h string, n string"
+    if not chars:
+        return spark.createDataFrame([], schema)
+    if chars <= SHARD_CHARS:
+        needles = spark.sparkContext.broadcast([r.n for r in needle.collect()])
+
+        def scan_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scan = _scanner(needles.value)
+            for pdf in batches:
+                yield scan(pdf["h"])
+
+        return hay.mapInPandas(scan_all, schema)
+    shards, chunks = -(-chars // SHARD_CHARS), -(-hay_chars // SHARD_CHARS)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hay = hay.select("h", part("h", chunks).alias("chunk"), every(shards).alias("shard"))
+    needle = needle.select("n", part("n", shards).alias("shard"), every(chunks).alias("chunk"))
+
+    def scan_cell(texts: pd.DataFrame, needles: pd.DataFrame) -> pd.DataFrame:
+        return _scanner(needles["n"])(texts["h"]) if len(needles) and len(texts) else pd.DataFrame(columns=["h", "n"], dtype=object)
+
+    return hay.groupBy("shard", "chunk").cogroup(needle.groupBy("shard", "chunk")).applyInPandas(scan_cell, schema)
 
 
 def containment_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (l, r) of the text columns ``l`` and ``r`` where one contains the other."""
-    ls, rs = left.select("l").filter("l <> ''").distinct(), right.select("r").filter("r <> ''").distinct()
-    a = _contained(ls.withColumnRenamed("l", "h"), rs.withColumnRenamed("r", "n")).select(F.col("h").alias("l"), F.col("n").alias("r"))
-    b = _contained(rs.withColumnRenamed("r", "h"), ls.withColumnRenamed("l", "n")).select(F.col("n").alias("l"), F.col("h").alias("r"))
-    return a.union(b).distinct()
+    ls, rs = (staged(df.select(c).filter(F.col(c) != "").distinct()) for df, c in ((left, "l"), (right, "r")))
+    sizes = ls.select(F.length("l").alias("l"), F.lit(0).alias("r")).union(rs.select(F.lit(0), F.length("r")))
+    l_most, l_chars, r_most, r_chars = sizes.agg(*[F.coalesce(f(c), F.lit(0)) for c in "lr" for f in (F.max, F.sum)]).first()
+    a = _contained(ls.withColumnRenamed("l", "h"), rs.withColumnRenamed("r", "n"), l_most, l_chars, r_chars).select(F.col("h").alias("l"), F.col("n").alias("r"))
+    b = _contained(rs.withColumnRenamed("r", "h"), ls.withColumnRenamed("l", "n"), r_most, r_chars, l_chars).select(F.col("n").alias("l"), F.col("h").alias("r"))
+    return a.union(b.filter("l <> r"))  # equal texts are among the first
 
 
 def fuzzy_link(texts: DataFrame, entities: DataFrame, key: str, value: str, cut_comma: bool = False, equality_first: bool = True) -> DataFrame:

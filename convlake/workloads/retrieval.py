@@ -329,11 +329,11 @@ def _(t):
 
 
 @query("j11_benchmark_responses", f"""
-SELECT b.item_id, md5(regexp_replace(d.text, '^{SPACE}+|{SPACE}+$', '', 'g')) AS answer_md5, true AS answered FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7 AND b.item_id % 3 <> 1
-UNION ALL SELECT b.item_id, NULL, false FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.item_id * 7 AND b.item_id % 3 <> 1)""")
+SELECT b.item_id, md5(regexp_replace(d.text, '^{SPACE}+|{SPACE}+$', '', 'g')) AS answer_md5, true AS answered FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7
+UNION ALL SELECT b.item_id, NULL, false FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.item_id * 7)""")
 def _(t):
     items = t.benchmark.withColumnRenamed("text", "question").withColumn("doc_id", F.col("item_id") * 7)
-    outputs = t.documents.join(items.filter("item_id % 3 <> 1").select("doc_id", "item_id"), "doc_id").select("item_id", F.col("text").alias("output_text"))
+    outputs = t.documents.join(items.select("doc_id", "item_id"), "doc_id").select("item_id", F.col("text").alias("output_text"))
     done, missing = EV.benchmark_responses(items.drop("doc_id"), outputs)
     return done.select("item_id", F.md5("answers.top1_answer").alias("answer_md5"), F.lit(True).alias("answered")).unionByName(
         missing.select("item_id", F.lit(None).cast("string").alias("answer_md5"), F.lit(False).alias("answered"))

@@ -362,3 +362,26 @@ def test_turn_of_a_million_frames(spark):
     rng = np.random.default_rng(1)
     probs = dict(enumerate(rng.random(1_000_000).tolist()))
     check_turns(spark, probs, [(0, 999_999)], (6,), [0.5, 0.9], FR.PIECE)
+
+
+@pytest.mark.parametrize("shard", [2_000_000, 12])
+def test_containment_by_automata(spark, monkeypatch, shard):
+    """Both directions, nested and overlapping needles, non-ASCII and repeated texts; one automaton or a grid of them."""
+    monkeypatch.setattr(G, "SHARD_CHARS", shard)
+    rng = random.Random(shard)
+    make = lambda n: "".join(rng.choices("abéß😀 ", k=n))
+    ls = [make(rng.randrange(1, 9)) for _ in range(60)] + ["abab" * 20, "ab", "ab", "", None]
+    rs = [make(rng.randrange(1, 6)) for _ in range(50)] + ["bab", "ab", "x" * 90, "abab" * 20, ""]
+    got = G.containment_pairs(spark.createDataFrame([(x, "h") for x in ls], "l string, n string"), spark.createDataFrame([(x,) for x in rs], "r string")).collect()
+    want = {(a, b) for a in ls for b in rs if a and b and (a in b or b in a)}
+    assert sorted(map(tuple, got)) == sorted(want)
+    none = spark.createDataFrame([], "r string")
+    assert G.containment_pairs(spark.createDataFrame([("a",)], "l string"), none).count() == 0
+
+
+def test_items_without_an_answer(spark):
+    items = spark.createDataFrame([("a", "Q1"), ("b", "Q2"), ("c", "Q3")], "item_id string, question string")
+    outputs = spark.createDataFrame([("a", " yes \n"), ("c", None), ("z", "no item")], "item_id string, output_text string")
+    done, missing = EV.benchmark_responses(items, outputs)
+    assert sorted((r.item_id, r.answers.top1_answer, r.answers.top5_answer) for r in done.collect()) == [("a", "yes", "yes"), ("c", None, None)]
+    assert [tuple(r) for r in missing.collect()] == [("b", "Q2")]
