@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from convlake.plans import slices as S
@@ -88,3 +89,19 @@ def test_scan_shuffles_the_rows_once(spark):
     rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "_slice" in line]
     assert "Join" not in plan and 1 <= len(rows) <= 4  # the union of rows and borders, and the borders' sums
     assert out.agg(F.sum("s")).first()[0] == sum(sum(range(k, i + 1, 3)) for k in range(3) for i in range(k, 1000, 3))
+
+
+@pytest.mark.parametrize("most", [3, 50])
+def test_quantile_ranges_are_cut_again(spark, monkeypatch, most):
+    """Ranges above the bound get sketches of their own; a value that fills a range ends it."""
+    from convlake.plans import quantiles
+
+    monkeypatch.setattr(quantiles, "WINDOW_ROWS", most)
+    monkeypatch.setattr(quantiles, "RANGES", 4)
+    rng = np.random.default_rng(most)
+    data = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0, 5.0], [400, 300, 1]), None: np.arange(700.0), "d": np.array([7.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, vs in data.items() for x in vs], "k string, v double").repartition(7)
+    qs = {"lo": 0.001, "m": 0.5, "hi": 0.97, "top": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", qs, {"n": F.count("v")}).collect()}
+    for k, vs in data.items():
+        assert got[k].n == len(vs) and np.allclose([got[k][n] for n in qs], [np.quantile(vs, q) for q in qs.values()])
