@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 22  # characters of text whose words are encoded together
+BLOCK = 1 << 20  # characters of text whose words are encoded together
 KNOWN = 1 << 22  # bytes of encoded words that a task keeps
 SHIFT = 32  # of the left token in a pair's key
 NONE = 1 << 40  # no token; above every rank
@@ -43,14 +43,20 @@ class Vocabulary(NamedTuple):
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """A rank file: lines of a token in base64 and its rank, which is its id."""
+def tokens_of(path: str) -> list[bytes]:
+    """The tokens of a rank file by id: lines of a token in base64 and its rank, which is its id."""
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        found = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+    return [found.get(rank, b"") for rank in range(max(found, default=-1) + 1)]
+
+
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """The tokens of a rank file, and which pairs merge."""
+    tokens = tokens_of(path)
+    ranks = {token: rank for rank, token in enumerate(tokens) if token}
     pairs = {}
     for token, rank in ranks.items():
-        tokens[rank] = token
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
@@ -79,8 +85,13 @@ def _merged(words: list[bytes], known: Vocabulary) -> list[bytes]:
     inside = np.ones(len(chars), bool)
     inside[ends] = False
     chars[inside] = np.frombuffer(b"".join(words), np.uint8)
-    of_byte = np.array([known.ranks[bytes([c])] for c in range(256)] + [-1], np.int64)
-    byte_pairs = np.array([[known.pairs.get(int(a) << SHIFT | int(b), NONE) for b in of_byte] for a in of_byte], np.int64)
+    of_byte = [known.ranks[bytes([c])] for c in range(256)] + [-1]
+    # of the bytes that occur, -1 (the last) being an end
+    seen = np.unique(chars).tolist()
+    byte_pairs = np.full((257, 257), NONE, np.int64)
+    for a in seen[1:]:
+        byte_pairs[a, seen[1:]] = [known.pairs.get(of_byte[a] << SHIFT | of_byte[b], NONE) for b in seen[1:]]
+    of_byte = np.array(of_byte, np.int64)
     first = np.append(byte_pairs[chars[:-1], chars[1:]], NONE)
 
     # the inverted index: the token that neighbours merge to -> places of the left one
@@ -128,7 +139,7 @@ def _merged(words: list[bytes], known: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts to little-endian 32-bit ids, and keeps the words it knows."""
+    """Encodes texts to little-endian 32-bit ids, and keeps the words it knows, also for the next task of its process."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.pattern = vocabulary(path), regex.compile(pattern)
@@ -163,6 +174,9 @@ class Encoder:
         yield from self.block(held)
 
 
+encoder_of = functools.lru_cache(maxsize=1)(Encoder)
+
+
 def _decoded(ids: bytes, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -175,7 +189,7 @@ def ids_of(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for batch in batches:
             yield pd.Series(list(encoder.texts(batch)), dtype=object)
 
@@ -187,7 +201,7 @@ def bytes_of(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = vocabulary(path).tokens
+        tokens = tokens_of(path)
         for batch in batches:
             yield pd.Series([None if one is None else _decoded(one, tokens) for one in batch], dtype=object)
 
