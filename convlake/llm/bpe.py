@@ -174,7 +174,9 @@ class Encoder:
         yield from self.block(held)
 
 
-encoder_of = functools.lru_cache(maxsize=1)(Encoder)
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def _decoded(ids: bytes, tokens: list[bytes]) -> bytes:
