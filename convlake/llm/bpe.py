@@ -8,8 +8,8 @@ neighbours. A merge that makes a pair of lower rank sends the later places of it
 index until that rank has been replayed, so each word gets the merges that an encoder of single words
 (least rank first, leftmost among equals) would make.
 
-Blocks are bounded by characters, known words by their bytes; nothing is shuffled. Both functions are
-columns, so they go beside any other columns of a row.
+Blocks are bounded by characters, known words by their bytes; nothing is shuffled. ``ids_of`` and
+``bytes_of`` are columns, so they go beside any other columns of a row; ``encoded`` does both in one pass.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20  # characters of text whose words are encoded together
@@ -208,3 +209,29 @@ def bytes_of(ids: Column, path: str) -> Column:
             yield pd.Series([None if one is None else _decoded(one, tokens) for one in batch], dtype=object)
 
     return decoded(ids)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each text: its id, ids (as ``ids_of``) and decoded, the bytes that these ids stand for.
+
+    One pass of one process a core, a block of texts at a time. Null texts are empty; null and repeated ids are
+    rows like others. Other columns are not read.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = encoder_of(path, pattern), tokens_of(path)
+        for batch in batches:
+            first, texts, size = 0, [], 0
+            for k, text in enumerate(batch.column(1), 1):
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size >= BLOCK or k == batch.num_rows:
+                    ids = list(encoder.block(texts))
+                    back = [_decoded(one, tokens) for one in ids]
+                    columns = [batch.column(0).slice(first, k - first), pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"])
+                    first, texts, size = k, [], 0
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)

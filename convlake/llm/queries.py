@@ -159,8 +159,7 @@ def op8_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
 def op11_byte_pair_encoding(spark: SparkSession, path: str) -> DataFrame:
     """Ids of every text by the ranks of the multilingual vocabulary, and the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = table(spark, path, "documents").select("doc_id", bpe.ids_of(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
-    rows = rows.withColumn("decoded", bpe.bytes_of(F.col("ids"), ranks))
+    rows = bpe.encoded(table(spark, path, "documents"), ranks, public_tokenizers.PATTERN)
     return rows.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

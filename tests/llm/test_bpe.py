@@ -95,6 +95,9 @@ def test_odd_rows(spark, library):
         if not r.text or len(r.text) < 1_000_000:
             assert ids(r._ids) == library.encode_ordinary(r.text or "")
     assert df.limit(0).withColumn("_ids", one).count() == 0
+    both = bpe.encoded(df, PATH, public_tokenizers.PATTERN)
+    assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in both.collect()) == sorted((str(r.doc_id), bytes(r._ids), bytes(r._back)) for r in got)
+    assert bpe.encoded(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     nothing = spark.createDataFrame([(None,), (bytearray(),)], "x binary").select(bpe.bytes_of(F.col("x"), PATH).alias("x")).collect()
     assert sorted((r.x is None, bytes(r.x or b"")) for r in nothing) == [(False, b""), (True, b"")]
 
