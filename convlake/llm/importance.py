@@ -72,8 +72,9 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, ta
         share = labels.agg(F.avg((label == 1).cast("double"))).first()[0]
         share = 1.0 if share is None else share
     target = labels.where(label == 1).select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit("target"), "_id"), "_id").limit(target_rows)
-    flagged = docs.join(F.broadcast(target), F.col(id_col) == F.col("_id"), "left")  # at most target_rows ids
-    counts = bucket_counts(flagged.select(F.col(text_col).cast("binary").alias("text"), F.col("_id").isNotNull().alias("target")), buckets)
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    flagged = read.join(F.broadcast(target), F.col("id") == F.col("_id"), "left")  # at most target_rows ids
+    counts = bucket_counts(flagged.select(F.col("text").cast("binary").alias("text"), F.col("_id").isNotNull().alias("target")), buckets)
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(counts, buckets))
 
     @F.pandas_udf("n_words long, log_ratio double")

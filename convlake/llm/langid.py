@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlake.llm.common import unused
+
 ORDERS = (1, 2, 3, 4)
 BITS = 17  # embedding rows: 2^BITS
 DIM = 16
@@ -168,8 +170,8 @@ def fit(docs: DataFrame, where: Column, label: str = "lang", id_col: str = "doc_
     return train(found["snippet"].tolist(), found["lang"].tolist())
 
 
-def _labelled(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """``docs`` with _label: lang_pred, score and rejected."""
+def _labelled(docs: DataFrame, model: Model | None, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the struct ``name``: lang_pred, score and rejected."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -187,7 +189,7 @@ def _labelled(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS rows, one column per language
-    return docs.withColumn("_label", label(F.col(text_col)))
+    return docs.withColumn(name, label(F.col(text_col)))
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -197,13 +199,15 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     are rejected. Other texts get a learned language; they are rejected if its score is below the
     calibrated one. The three columns replace any of the same names. Repeated rows are predicted alike.
     """
-    got = _labelled(docs, model, text_col)
-    return got.withColumns({k: F.col(f"_label.{k}") for k in ("lang_pred", "score", "rejected")}).drop("_label")
+    name = unused(docs, "_label")
+    got = _labelled(docs, model, text_col, name)
+    return got.withColumns({k: F.col(f"{name}.{k}") for k in ("lang_pred", "score", "rejected")}).drop(name)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``predict`` does not reject, with their columns as they are."""
-    return _labelled(docs, model, text_col).where(~F.col("_label.rejected")).drop("_label")
+    name = unused(docs, "_label")
+    return _labelled(docs, model, text_col, name).where(~F.col(f"{name}.rejected")).drop(name)
 
 
 def remainder(id_col: str = "doc_id") -> Column:

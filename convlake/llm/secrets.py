@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.llm.common import staged
+from convlake.llm.common import staged, unused
 
 _parser = re._parser
 
@@ -170,25 +170,26 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 NO_SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with _spans: structs (start, order, end, kind) by start, then by the order of the rules.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "_spans") -> DataFrame:
+    """``docs`` with ``out`` (replaced if there is one): structs (start, order, end, kind) by start, then by the order of the rules.
 
     Offsets are code points, the end exclusive. Null and empty texts have no spans. Rows are kept as
-    they are, repeated ones and null ids included; other columns pass through.
+    they are, repeated ones and null ids included; other columns pass through, whatever their names.
     """
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     indexed = {kind: query for kind, query in queries.items() if query is not None}
     trigrams = sorted({t for query in indexed.values() for terms in query for t in terms})
-    rows = docs.withColumn("_key", _key(id_col))
+    key, at, kinds = (unused(docs, name) for name in ("_key", "_at", "_kinds"))
+    rows = docs.withColumn(key, _key(id_col))
     if indexed:
         found = staged(candidates(build_index(docs, trigrams, id_col, text_col), indexed), "candidates")
-        rows = rows.join(found.withColumnsRenamed({"key": "_at", "kinds": "_kinds"}), F.col("_key") == F.col("_at"), "left")
+        rows = rows.join(found.withColumnsRenamed({"key": at, "kinds": kinds}), F.col(key) == F.col(at), "left")
     text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(NO_SPANS)
     every = []
     for order, rule in enumerate(rules):
-        may = F.array_contains("_kinds", rule.kind) if rule.kind in indexed else F.lit(True)
+        may = F.array_contains(kinds, rule.kind) if rule.kind in indexed else F.lit(True)
         every.append(F.when(may & F.rlike(text, F.lit(rule.pattern)), spans(text, rule, order)).otherwise(none))
-    return rows.withColumn("_spans", F.array_sort(F.concat(*every))).drop("_key", "_at", "_kinds")
+    return rows.withColumn(out, F.array_sort(F.concat(*every))).drop(key, at, kinds)
 
 
 def listed(found: Column) -> Column:
@@ -199,7 +200,7 @@ def listed(found: Column) -> Column:
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by <kind> in the text; overlapping spans as one, by the first.
 
-    A text without spans, null included, stays as it is.
+    A text without spans, null included, stays as it is, and so do all other columns.
     """
     text = F.col(text_col)
     state = "struct<end:int,cuts:array<struct<start:int,end:int,kind:string>>>"
@@ -211,9 +212,10 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
             F.concat(F.slice(have["cuts"], F.lit(1), F.size(have["cuts"]) - 1), F.array(F.struct(F.element_at(have["cuts"], -1)["start"].alias("start"), F.greatest(have["end"], s["end"]).alias("end"), F.element_at(have["cuts"], -1)["kind"].alias("kind")))).alias("cuts"),
         )
     )
-    merged = F.aggregate("_spans", F.from_json(F.lit('{"end":0,"cuts":[]}'), state), lambda have, s: join(have, s).cast(state))["cuts"]
-    rows = scan(docs, rules, id_col, text_col).withColumn("_cuts", F.when(F.size("_spans") > 0, merged))
-    ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end"]))
-    parts = F.zip_with("_cuts", F.slice(ends, F.lit(1), F.size("_cuts")), lambda c, at: F.concat(F.substring(text, at + 1, c["start"] - at), F.lit("<"), c["kind"], F.lit(">")))
+    found, cuts = unused(docs, "_spans"), unused(docs, "_cuts")
+    merged = F.aggregate(found, F.from_json(F.lit('{"end":0,"cuts":[]}'), state), lambda have, s: join(have, s).cast(state))["cuts"]
+    rows = scan(docs, rules, id_col, text_col, found).withColumn(cuts, F.when(F.size(found) > 0, merged))
+    ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["end"]))
+    parts = F.zip_with(cuts, F.slice(ends, F.lit(1), F.size(cuts)), lambda c, at: F.concat(F.substring(text, at + 1, c["start"] - at), F.lit("<"), c["kind"], F.lit(">")))
     whole = F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
-    return rows.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(whole)).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.col(cuts).isNull(), text).otherwise(whole)).select(*docs.columns)

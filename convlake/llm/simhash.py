@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm import words as words_of
-from convlake.llm.common import components, staged
+from convlake.llm.common import components, staged, unused
 
 FAN = 16  # children of a tree node, codes of a leaf
 QUERIES = 128  # codes searched at a time, which bounds the memory of a search
@@ -345,4 +345,5 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints:
     rooted = staged(rooted, "rooted")
     member = F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("first")
     kept = staged(rows.drop("codes").join(rooted, ["t1", "t2"]).groupBy("root").agg(member).select("first.k1", "first.k2"), "kept")
-    return docs.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(kept, (F.col("_k1") == kept["k1"]) & (F.col("_k2") == kept["k2"]), "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    k1, k2 = unused(docs, "_k1"), unused(docs, "_k2")
+    return docs.withColumns({k1: keys[0], k2: keys[1]}).join(kept, (F.col(k1) == kept["k1"]) & (F.col(k2) == kept["k2"]), "left_semi").dropDuplicates([k1, k2]).drop(k1, k2)
