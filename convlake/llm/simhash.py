@@ -28,6 +28,7 @@ from convlake.llm.common import components, staged, unused
 FAN = 16  # children of a tree node, codes of a leaf
 QUERIES = 128  # codes searched at a time, which bounds the memory of a search
 SHINGLES = 1 << 16  # shingles of a text whose bits are counted at a time
+NODE_BYTES = 1024  # counted for a text besides its bytes, which bounds the texts of a chunk
 
 
 def text_fingerprint(text: bytes | None, words: int) -> int:
@@ -215,43 +216,22 @@ def independent_fingerprints(h: np.ndarray, count: int) -> list[int]:
     return out or [0] * count
 
 
-def near_pairs(codes: np.ndarray, others: np.ndarray | None, label: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of near pairs among codes, or between codes and others, whose labels differ.
-
-    label: of the codes, then of the others. All such pairs, or (not every) so many that they join what all
-    of them join. Unlike the edges of ``forest`` each is near itself.
-    """
+def near_pairs(codes: np.ndarray, others: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of near pairs among codes, or between codes and others: so many that they join what all of them join."""
     index = GrayIndex(codes)
     if others is None:
         found = ((index.order[q], index.order[at]) for q, at in index.search(index.codes, radius, later=True))
     else:
         found = ((q + len(codes), index.order[at]) for q, at in index.search(others, radius))
-    _, first, of = np.unique(label, return_index=True, return_inverse=True)
-    root = first[of]
-    out = [(np.zeros(0, np.int64),) * 2]
+    root = np.arange(len(codes) + (0 if others is None else len(others)))
     for a, b in found:
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-        if every:
-            out.append((a, b))
-            continue
-        while len(a):
-            ra, rb = root[a], root[b]
-            high, at = np.unique(np.maximum(ra, rb), return_index=True)
-            root[high] = np.minimum(ra, rb)[at]
-            out.append((a[at], b[at]))
-            while not np.array_equal(up := root[root], root):
-                root = up
-            apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-
+        root = _unite(root, a, b)
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return moved, root[moved]
 
-def candidates(nodes: DataFrame, prints: int, radius: int, every: bool, bucket_rows: int = 2048, chunk_rows: int = 32768) -> DataFrame:
-    """Pairs (a < b) of nodes (node, codes, label) with unlike labels that are near in any of their fingerprints.
 
-    All pairs, or (not every) so many that all nodes which pairs join are joined. Dealt as in ``links``.
-    """
+def candidates(nodes: DataFrame, prints: int, radius: int, bucket_rows: int = 2048, chunk_rows: int = 32768) -> DataFrame:
+    """Pairs (a < b) of nodes (node, codes) that join all nodes which are near in any of their fingerprints. Dealt as in ``links``."""
     n = nodes.count()
     bands = radius + 1
     wide = 64 // bands
@@ -261,12 +241,12 @@ def candidates(nodes: DataFrame, prints: int, radius: int, every: bool, bucket_r
     for which in range(prints):
         code = F.col("codes")[which]
         keys += [F.struct(F.lit(which * bands + k).alias("band"), code.alias("code"), (F.shiftrightunsigned(code, s) if bits else F.lit(0)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("key")) for k, s in enumerate(shifts)]
-    dealt = nodes.select("node", "label", F.explode(F.array(*keys)).alias("_")).select("node", "label", "_.*")
+    dealt = nodes.select("node", F.explode(F.array(*keys)).alias("_")).select("node", "_.*")
     # at most prints * (radius + 1) * 2^(64 / (radius + 1)) buckets
     counts = dealt.groupBy("band", "key").agg(F.ceil(F.count("*") / float(chunk_rows)).cast("int").alias("chunks"))
     cut = dealt.join(counts, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("lo"), F.greatest(c, "chunk").alias("hi"))))
-    tiles = cut.withColumn("_", pair).select("node", "label", "code", "band", "key", "chunk", "_.lo", "_.hi")
+    tiles = cut.withColumn("_", pair).select("node", "code", "band", "key", "chunk", "_.lo", "_.hi")
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lo, hi = key[2], key[3]
@@ -274,38 +254,77 @@ def candidates(nodes: DataFrame, prints: int, radius: int, every: bool, bucket_r
         rows = rows.sort_values("node") if lo == hi else rows.assign(late=rows["chunk"] != lo).sort_values(["late", "node"])
         codes = rows["code"].to_numpy().astype(np.int64).view(np.uint64)
         ahead = len(rows) if lo == hi else int((~rows["late"]).sum())
-        a, b = near_pairs(codes[:ahead], None if lo == hi else codes[ahead:], rows["label"].to_numpy(), radius, every)
+        a, b = near_pairs(codes[:ahead], None if lo == hi else codes[ahead:], radius)
         node = rows["node"].to_numpy()
         return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
     return tiles.groupBy("band", "key", "lo", "hi").applyInPandas(solve, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) have a Jaccard similarity of their shingles of ``similarity`` or more."""
+def similar_forest(sets: list[np.ndarray], label: np.ndarray, late: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that join all sets of a Jaccard similarity of ``similarity`` or more.
+
+    Sets of one label count as joined. late: only links between late sets and others. Overlaps are counted
+    through lists of the sets that hold an element. Sets whose elements are the most frequent are
+    asked first, as these are the centres of groups: what they join is not compared again.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    values, element, frequency = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    central = np.bincount(owner, frequency[element], n) / np.maximum(size, 1)
+    lists, starts = owner[np.argsort(element, kind="stable")], np.cumsum(frequency) - frequency
+    ends = np.cumsum(size)
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    root = first[of]
+    out = [(np.zeros(0, np.int64),) * 2]
+    for q in np.argsort(-central, kind="stable"):
+        # no product is rounded to more than the overlap that the test below would need
+        wanted = (root != root[q]) & (similarity * size <= size[q]) & (similarity * size[q] <= size)
+        if late is not None:
+            wanted &= late != late[q]
+        if not wanted.any():
+            continue
+        own = element[ends[q] - size[q] : ends[q]]
+        own = own[frequency[own] > 1]
+        many = frequency[own]
+        held = lists[np.repeat(starts[own] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        both = np.bincount(held, minlength=n)
+        near = np.flatnonzero(wanted & (both >= similarity * (size + size[q] - both)))
+        if len(near):
+            near = near[np.unique(root[near], return_index=True)[1]]  # one of each part
+            out.append((np.full(len(near), q), near))
+            joined = np.isin(root, root[near]) | (root == root[q])
+            root[joined] = root[joined].min()
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
 
-    @F.pandas_udf("boolean")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out = []
-            for x, y in zip(left, right):
-                x, y = shingles(x, words), shingles(y, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both >= similarity * (len(x) + len(y) - both))
-            yield pd.Series(out, dtype=bool)
+def similar_links(tiles: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) in each tile: rows (reach, lo, hi, chunk, node, label, text), whose chunk is lo or hi.
 
-    ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    return pairs.join(ends[1], "b").join(ends[0], "a").where(alike("text_a", "text_b")).select("a", "b")
+    A tile of two chunks is searched for links between them only. See ``similar_forest``.
+    """
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        late = None if key[1] == key[2] else (rows["chunk"] != key[1]).to_numpy()
+        a, b = similar_forest([shingles(x, words) for x in rows["text"]], rows["label"].to_numpy(), late, similarity)
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return tiles.groupBy("reach", "lo", "hi").applyInPandas(solve, "a long, b long")
 
 
-def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 8, radius: int = 8, chunk_bytes: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies: of each component the row with the least id stays.
 
     Two texts link if the Jaccard similarity of their sets of word shingles, which is computed from the
     texts, is ``similarity`` or more. Candidates are the pairs of texts within ``radius`` bits in one
-    of ``prints`` independent fingerprints. First as many pairs are compared as join all candidates;
-    where that leaves texts apart, all the pairs between what is apart are compared. So a group
-    of near copies costs a comparison per text, and no candidate link is lost.
+    of ``prints`` independent fingerprints. The texts that candidates join meet in a task, which
+    finds the links among them and returns a spanning forest, never the pairs. A group
+    beyond ``chunk_bytes`` is cut into chunks by hash: links inside each chunk first, then,
+    where these leave a group in parts, those between the parts of each two chunks. So no candidate
+    link is lost, and one task never holds more than two chunks.
 
     Rows are told apart by id and text (two 64-bit hashes); of rows equal in both, one stays. A null
     id comes after all others. All columns are kept as they are.
@@ -325,21 +344,26 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints:
     nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "t1", "t2", "codes", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "nodes")
     keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), text.cast("binary").alias("text"))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        chosen = staged(nodes.join(ends, "node").select("node", "k1", "k2"), "ends")
-        texts = staged(keyed.join(chosen, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-        return staged(similar(pairs, texts, words, similarity), "similar")
-
-    tried = staged(candidates(nodes.select("node", "codes", F.col("node").alias("label")), prints, radius, every=False), "tried")
-    linked = compared(tried)
+    tried = staged(candidates(nodes.select("node", "codes"), prints, radius), "tried")
     reach = components(tried).withColumnRenamed("root", "reach")
+    chosen = staged(nodes.join(reach, "node").select("node", "reach", "k1", "k2"), "chosen")
+    texts = staged(keyed.join(chosen, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "reach", "text"), "texts")
+    # stored, so that the join deals both sides anew and a large group's rows can be split
+    held = F.sum(F.length("text") + F.lit(NODE_BYTES)) / float(chunk_bytes)
+    sizes = staged(texts.groupBy("reach").agg(F.ceil(held).cast("int").alias("chunks")), "sizes")
+    cut = texts.join(sizes, "reach").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    inside = cut.select("reach", F.col("chunk").alias("lo"), F.col("chunk").alias("hi"), "chunk", "node", F.col("node").alias("label"), "text")
+    linked = staged(similar_links(inside, words, similarity), "linked")
     label = F.coalesce("root", "node")
-    parts = staged(reach.join(components(linked), "node", "left").select("node", "reach", label.alias("label")), "parts")
-    torn = staged(parts.groupBy("reach").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("reach"), "torn")
-    apart = staged(parts.join(torn, "reach").join(nodes.select("node", "codes"), "node").select("node", "codes", "label"), "apart")
-    more = candidates(apart, prints, radius, every=True).join(tried, ["a", "b"], "left_anti")
-    linked = linked.union(compared(staged(more, "tried")))
+    large = sizes.where("chunks > 1")
+    if not large.isEmpty():
+        parts = chosen.join(large, "reach").join(components(linked), "node", "left").select("node", "reach", "chunks", label.alias("label"))
+        parts = staged(parts, "parts")
+        torn = staged(parts.groupBy("reach").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("reach"), "torn")
+        parts = parts.join(torn, "reach").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk")))
+        tiles = parts.withColumn("other", other).select("node", "reach", "label", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+        linked = linked.union(staged(similar_links(tiles.join(texts.select("node", "text"), "node"), words, similarity), "linked"))
 
     rooted = nodes.join(components(linked), "node", "left").select("t1", "t2", label.alias("root"))
     rooted = staged(rooted, "rooted")

@@ -142,11 +142,53 @@ def test_near_fingerprints_of_unlike_texts_stay(spark):
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {rows[i][0] for i in first}
 
 
+def plain_roots(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        before = root[:]
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            return root
+
+
 def test_forest_of_near_pairs():
     rng = np.random.default_rng(7)
     codes = (rng.integers(0, 1 << 62, 5)[rng.integers(0, 5, 300)].astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
-    a, b = simhash.near_pairs(codes, None, np.arange(300), 2, True)
-    apart = np.bitwise_count(codes[:, None] ^ codes[None]) <= 2
-    assert len(a) == (apart.sum() - 300) // 2 and apart[a, b].all()
-    a, b = simhash.near_pairs(codes[:100], codes[100:], np.arange(300), 2, False)
-    assert apart[a, b].all() and len(a) < 300
+    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= 2
+    for cut in (None, 100):
+        a, b = simhash.near_pairs(codes[:cut], None if cut is None else codes[cut:], 2)
+        pairs = [(i, j) for i, j in np.argwhere(np.triu(near, 1)).tolist() if cut is None or i < cut <= j]
+        assert len(a) < 300 and plain_roots(300, list(zip(a.tolist(), b.tolist()))) == plain_roots(300, pairs)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_forest_of_similar_sets(split):
+    rng = np.random.default_rng(8)
+    bases = [rng.choice(10000, int(n), replace=False) for n in (1, 4, 5, 40, 200)]
+    sets = [np.zeros(0, np.uint64)] * 2
+    for k in range(150):
+        base = bases[k % 5].copy()
+        base[rng.random(len(base)) < 0.1] += 20000 + 100000 * k
+        sets.append(np.unique(base[rng.random(len(base)) < 0.98]).astype(np.uint64))
+    late = rng.random(len(sets)) < 0.5 if split else None
+    label = np.where(rng.random(len(sets)) < 0.1, 1000, np.arange(len(sets)))
+    given = [(i, j) for j in range(len(sets)) for i in range(j) if label[i] == label[j]]
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    plain = [set(s.tolist()) for s in sets]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if alike(plain[i], plain[j]) and (late is None or late[i] != late[j])]
+    a, b = simhash.similar_forest(sets, label, late, 0.8)
+    found = list(zip(a.tolist(), b.tolist()))
+    assert len(found) < len(sets) and all(alike(plain[i], plain[j]) and label[i] != label[j] for i, j in found)
+    assert plain_roots(len(sets), given + found) == plain_roots(len(sets), given + pairs)
+
+
+def test_groups_cut_into_chunks(spark):
+    rng = np.random.default_rng(9)
+    base = [" ".join(f"u{x}" for x in rng.integers(0, 5000, 200)) for _ in range(2)]
+    texts = [t for b in base for t in [edited(rng, b, 4 + k % 4) for k in range(40)]] + ["", " ", "A b", "a B"]
+    first = plain_roots(len(texts), similar_pairs(texts))
+    assert 2 < len(set(first)) < len(texts)
+    docs = common.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for size in (1 << 22, 20000, 4000):
+        assert {r.doc_id for r in simhash.keep_first(docs, chunk_bytes=size).collect()} == set(first), size
