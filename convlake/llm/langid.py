@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convlake.llm.common import unused
@@ -91,20 +92,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, where: Column, label: str, id_col: str, text_col: str, rows: int) -> pd.DataFrame:
-    """Snippets (text, lang) of labelled rows, some ``rows`` documents in all, equally many per label.
+    """Snippets (text, lang) of at most ``rows`` labelled documents in all (one per label at least), equally many per label.
 
-    A document is taken if the hash of its id is small enough for its label, so the sample is the
-    same in every run. Labels are counted first; they are few (one column of the model each).
+    The documents with the least hashes of id and text are taken, so the sample is the same in every run.
+    Rows equal in id, text and label count as one. Labels are counted first; they are few (one column of the model each).
     """
-    labelled = docs.where(where & F.col(label).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"), F.lit(0), F.col(text_col)), 1)
+    labelled = docs.where(where & F.col(label).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    draws = labelled.select("lang", "draw").distinct()
+    counts = {r[0]: r[1] for r in draws.groupBy("lang").count().collect()}
     if not counts:
         return pd.DataFrame({"snippet": [], "lang": []})
-    share = F.coalesce(*[F.when(F.col(label) == k, F.lit(min(1.0, rows / len(counts) / n))) for k, n in sorted(counts.items())])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
-    step = F.greatest(F.floor((F.length(text_col) - SNIPPET) / SNIPPETS), F.lit(SNIPPET)).cast("int")
-    at = F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.substring(F.col(text_col), i * step + 1, F.lit(SNIPPET)))
-    picked = labelled.where(draw < share).select(F.col(label).alias("lang"), F.explode(F.filter(at, lambda x: x != "")).alias("snippet"))
+    each = max(1, rows // len(counts))
+    by_label = lambda limits: F.coalesce(*[F.when(F.col("lang") == k, F.lit(x)) for k, x in sorted(limits.items())])
+    # twice as many as wanted are ranked, so that a label with enough documents gets its share
+    likely = {k: min((1 << 63) - 1, (1 << 63) * (2 * each + 16) // n) for k, n in counts.items()}
+    ranked = draws.where(F.col("draw") <= by_label(likely)).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw")))
+    last = {r[0]: r[1] for r in ranked.where(F.col("n") <= each).groupBy("lang").agg(F.max("draw")).collect()}
+    step = F.greatest(F.floor((F.length("text") - SNIPPET) / SNIPPETS), F.lit(SNIPPET)).cast("int")
+    at = F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(SNIPPET)))
+    # snippets are cut before equal rows meet, so that no whole text is shuffled
+    picked = labelled.where(F.col("draw") <= by_label(last)).select("lang", "draw", F.filter(at, lambda x: x != "").alias("snippets"))
+    picked = picked.dropDuplicates(["lang", "draw"]).select("lang", F.explode("snippets").alias("snippet"))
     return picked.toPandas().sort_values(["lang", "snippet"], ignore_index=True)
 
 

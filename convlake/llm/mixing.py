@@ -15,14 +15,16 @@ all rows is split over tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convlake.llm.common import numbered, staged, word_count
 
-POINT_BITS = 31
-GOLDEN = 1327217885  # 2^31 divided by the golden ratio, odd: all points of a period differ
+HALF_BITS = 31  # points have twice as many
+GOLDEN = (math.isqrt(5 << 4 * HALF_BITS) - (1 << 2 * HALF_BITS)) >> 1 | 1  # 2^62 divided by the golden ratio, odd: all points of a period differ
 SLOTS = 1 << 16  # slots ranked at a time
 BUCKET = 1 << 10  # slot numbers of a bucket that points are looked up in
 DIGEST_BITS, SLICE_BITS = 60, 12  # a source is cut into 2^SLICE_BITS slices by digest
@@ -74,12 +76,20 @@ def placed(docs: DataFrame, sources: DataFrame, seed: str = "mix", id_col: str =
     return rows.withColumn("_at", F.col("_start") + F.col("_in")).drop("_digest", "_tie", "_slice", "_start", "_in", "_source")
 
 
+def point(number: Column) -> Column:
+    """``number`` (below 2^62) times GOLDEN modulo 2^62, in halves so that no product passes 63 bits."""
+    low = lambda x: x.bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+    g_high, g_low = F.lit(GOLDEN >> HALF_BITS), F.lit(GOLDEN & (1 << HALF_BITS) - 1)
+    middle = F.shiftright(number, HALF_BITS) * g_low + low(number) * g_high
+    return (low(number) * g_low + F.shiftleft(low(middle), HALF_BITS)).bitwiseAND(F.lit((1 << 2 * HALF_BITS) - 1))
+
+
 def schedule(sources: DataFrame) -> DataFrame:
     """The slots in order: slot, no, rank (of the slot in its source)."""
     spark = sources.sparkSession
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    points = ((F.col("slot") + 1) % (1 << POINT_BITS)) * F.lit(GOLDEN) % (1 << POINT_BITS)
-    at = spark.range(total).withColumnRenamed("id", "slot").withColumn("v", F.floor(points / float(1 << POINT_BITS) * total).cast("long"))
+    mapped = F.floor(point(F.col("slot") + 1) / float(1 << 2 * HALF_BITS) * total).cast("long")
+    at = spark.range(total).withColumnRenamed("id", "slot").withColumn("v", F.least(mapped, F.lit(total - 1)))
     last = F.col("first_slot") + F.col("slots") - 1
     bucket = lambda c: F.floor(c / BUCKET)
     spans = sources.where("slots > 0").select("no", "slots", "first_slot", last.alias("last_slot"), F.explode(F.sequence(bucket(F.col("first_slot")), bucket(last))).alias("bucket"))

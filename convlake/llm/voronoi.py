@@ -32,9 +32,17 @@ SHELLS = 8  # shells a cell is cut into by distance
 
 
 def integers(vector: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) of each component; null for a vector that is null or holds null or non-finite components."""
+    """floor(scale * x) of each component; null for a vector that is null or holds null or non-finite components.
+
+    Raises an error where one does not fit 64 bits.
+    """
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: _floor(x.cast("double"), scale)))
+
+
+def _floor(x: Column, scale: float) -> Column:
+    large = (F.abs(x) < float("inf")) & (F.abs(x * scale) >= float(1 << 63))
+    return F.when(large, F.raise_error(F.lit("a component does not fit 64 bits")).cast("long")).otherwise(F.floor(x * scale).cast("long"))
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
@@ -52,10 +60,22 @@ def _block(items: pa.StructArray, width: int) -> tuple[np.ndarray, list, np.ndar
     return rows.to_numpy(), ids.to_pylist(), vectors.flatten().to_numpy().reshape(-1, width) if even and width else _matrix(vectors.to_pylist(), width)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows; by doubles where these are exact."""
+def _products(a: np.ndarray, b: np.ndarray, unused: np.ndarray | None = None) -> np.ndarray:
+    """Exact integer inner products of all rows, by doubles where these are exact.
+
+    Raises where one does not fit 64 bits, other than the ``unused`` ones (a mask).
+    """
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < PLAIN else a @ b.T
+    if most < PLAIN:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < 1 << 62:
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)
+    if unused is not None:
+        exact[unused] = 0
+    if exact.size and not -(1 << 63) <= exact.min() <= exact.max() < 1 << 63:
+        raise ValueError("an inner product does not fit 64 bits")
+    return exact.astype(np.int64)
 
 
 def _nearest(pivots: np.ndarray, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +99,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 16, bl
     Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part.
     A shorter vector counts as filled up with zeros. Rows that share an id are different rows: only
     the query's own row is left out, and each query row has its own result. Null ids come last.
-    Scores must fit 64 bits.
+    Scores and components beyond 64 bits raise an error.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), integers(F.col(vector_col), scale).alias("v")).where("v IS NOT NULL")
@@ -138,7 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 16, bl
                 by_id = np.empty(len(ids), np.int64)
                 by_id[sorted(range(len(ids)), key=lambda n: (ids[n] is None, 0 if ids[n] is None else ids[n], rows[n]))] = np.arange(len(ids))
                 out = []
-                for q_row, q_id, row in zip(q_rows, q_ids, _products(a, b)):
+                for q_row, q_id, row in zip(q_rows, q_ids, _products(a, b, q_rows[:, None] == rows)):
                     order = np.lexsort((by_id, -row))[: k + 1]
                     out += [(q_row, q_id, rows[n], ids[n], row[n]) for n in order if rows[n] != q_row][:k]
                 id_type = asked.values.type.field("id").type

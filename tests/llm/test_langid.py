@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from convlake.llm import langid, queries
 
@@ -42,6 +43,32 @@ def test_no_labels_and_no_rows(spark):
     assert langid.identified(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_learned_and_bounded(spark):
+    text = F.concat(F.when(F.col("id") % 3 == 0, "der hund und die katze ").otherwise("the cat and the dog "), F.col("id").cast("string"), F.lit(" were"))
+    docs = spark.range(3000).select(F.lit(0).cast("long").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 3 == 0, "yy").otherwise("xx").alias("lang"))
+    docs = docs.union(docs)
+    found = langid.sample(docs, F.lit(True), "lang", "doc_id", "text", 200)
+    assert found["lang"].value_counts().to_dict() == {"xx": 100, "yy": 100}
+    same = docs.withColumn("text", F.concat(F.lit("only this text "), "lang"))
+    assert len(langid.sample(same, F.lit(True), "lang", "doc_id", "text", 200)) == 2
+    got = langid.identified(docs.withColumn("doc_id", F.lit(1).cast("long")))
+    assert got.where("rejected OR lang_pred = 'und'").count() == 0
+
+
+def test_predictions_are_the_models(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, langid.remainder() != 2)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.predict(docs, model).collect():
+        points = langid.letter_runs(text[r.doc_id] or "")
+        if not len(points):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        mean = np.mean([model.rows[f].astype(float) for f in langid.features(points)], axis=0) / model.temperature
+        odds = np.exp(mean - mean.max())
+        assert r.lang_pred == model.langs[int(odds.argmax())] and abs(r.score - odds.max() / odds.sum()) < 1e-6
+
+
 def test_long_texts_are_read_in_blocks():
     model = langid.train(["aaa bbb"] * 30 + ["ccc ddd"] * 30, ["x"] * 30 + ["y"] * 30)
     text = langid.letter_runs("aaa bbb " * (langid.BLOCK // 4))

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from convlake.llm import mixing
 
@@ -77,6 +78,14 @@ def test_sources_are_spread_over_the_schedule(spark):
         assert all(abs(seen[s] - n * share[s] / total) < 8 for s in share)
 
 
+def test_points(spark):
+    numbers = [1, 2, 3, 2**31 - 1, 2**31, 2**40 + 12345, 2**61 + 2**33 + 7, 2**62 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    got = {r.n: r.p for r in df.select("n", mixing.point(F.col("n")).alias("p")).collect()}
+    assert got == {n: n * mixing.GOLDEN % 2**62 for n in numbers}
+    assert mixing.GOLDEN % 2 and abs(mixing.GOLDEN / 2**62 - (5**0.5 - 1) / 2) < 1e-15
+
+
 def test_mix_holds_what_it_takes(spark):
     docs = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "doc_id long, source string, text string, length string, pass int")
     out = mixing.mixed(docs, block=7)

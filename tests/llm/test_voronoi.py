@@ -49,3 +49,14 @@ def test_odd_rows(spark):
 def test_large_components_stay_exact():
     a = np.array([[2**31 + 1, 3]])
     assert voronoi._products(a, a)[0, 0] == (2**31 + 1) ** 2 + 9
+    b = np.array([[2**62, 5]])
+    assert voronoi._products(b, np.array([[1, 2], [-2, 0]])).tolist() == [[2**62 + 10, -(2**63)]]
+    with pytest.raises(ValueError):
+        voronoi._products(b, np.array([[2, 0]]))
+
+
+@pytest.mark.parametrize("large", [1e10, 1e30])
+def test_scores_beyond_64_bits_raise(spark, large):
+    df = spark.createDataFrame([(0, [large]), (1, [large])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        voronoi.top_k(df, F.col("vec_id") == 0).collect()
