@@ -118,15 +118,15 @@ def order_mentions(t: Tables):
 
 
 def people(t: Tables):
-    return t.customer.filter("c_custkey % 10 <> 0").select(F.lower(F.replace("c_name", F.lit("#"), F.lit(" "))).alias("id"), "c_name", F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("name"))
+    return t.customer.select(F.lower(F.replace("c_name", F.lit("#"), F.lit(" "))).alias("id"), "c_name", F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("name"))
 
 
 @query("j3_resolve_entities", """
-SELECT o_orderkey, lower(replace(c_name, '#', ' ')) AS id, CASE WHEN c_custkey % 4 = 1 THEN 'anchored_identity' ELSE 'known_personnel_filename' END AS source, CAST(1 AS BIGINT) AS pos
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 10 <> 0""")
+SELECT o_orderkey, lower(replace(c_name, '#', ' ')) AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'anchored_identity' ELSE 'known_personnel_filename' END AS source, CAST(1 AS BIGINT) AS pos
+FROM orders JOIN customer ON o_custkey = c_custkey""")
 def _(t):
     p = people(t)
-    links = t.customer.filter("c_custkey % 4 = 1").select(F.col("c_name").alias("display_name"), F.lit("http://example.org").alias("url"))
+    links = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("display_name"), F.lit("http://example.org").alias("url"))
     links = links.withColumn("display_name", F.replace("display_name", F.lit("#"), F.lit(" ")))
     r = G.resolve_entities(order_mentions(t), G.person_aliases(p, links), p, "o_orderkey")
     return r.select("o_orderkey", "id", "source", F.col("pos").cast("long").alias("pos"))
