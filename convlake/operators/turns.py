@@ -166,40 +166,38 @@ def cap_samples(df: DataFrame, split: str, id: str, n: int) -> DataFrame:
     return ids.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def merge_close_segments(segs: DataFrame, keys: Sequence[str], order: Sequence[str], slice_expr: Column, gap_s: float = 1.0) -> DataFrame:
-    """Join segments of one speaker that follow within ``gap_s``.
-
-    The end is that of the last row (not the largest), texts are joined by a space, and the
-    pieces stay in ``originals``. Input: keys, order, start_s, end_s, text.
-    """
-    keys, order = list(keys), list(order)
+def close_segments(segs: DataFrame, keys: Sequence[str], order: Sequence[str], slice_expr: Column, gap_s: float = 1.0, keep_slice: bool = False) -> DataFrame:
+    """Number the runs of rows of one speaker that follow within ``gap_s``, from 1: ``segs`` with ``segment``, one row per piece."""
     df = S.scan(segs, keys, order, slice_expr, [S.Lag("_end", F.col("end_s"))])
     # slices must not be lost between the scans: the order columns are still there
     fresh = F.coalesce(F.col("start_s") - F.col("_end") > gap_s, F.lit(True))
-    df = S.scan(df.withColumn("_new", fresh.cast("long")), keys, order, slice_expr, [S.RunSum("segment", F.col("_new"))])
-    at = F.struct(*order)
-    parts = F.sort_array(F.collect_list(F.struct(*order, "start_s", "end_s", "text")))
-    out = df.groupBy(*keys, "segment").agg(
-        F.min_by("start_s", at).alias("start_s"), F.max_by("end_s", at).alias("end_s"), parts.alias("_p")
-    )
-    return out.select(
-        *keys, "segment", "start_s", "end_s", F.array_join(F.transform("_p", lambda p: p["text"]), " ").alias("text"),
-        F.transform("_p", lambda p: F.struct(p["start_s"].alias("start_s"), p["end_s"].alias("end_s"), p["text"].alias("text"))).alias("originals"),
-    )
+    df = S.scan(df.withColumn("_new", fresh.cast("long")), keys, order, slice_expr, [S.RunSum("segment", F.col("_new"))], keep_slice)
+    return df.drop("_end", "_new")
+
 
+def merge_close_segments(segs: DataFrame, keys: Sequence[str], order: Sequence[str], slice_expr: Column, gap_s: float = 1.0, originals: bool = True) -> DataFrame:
+    """Join segments of one speaker that follow within ``gap_s``.
 
-def _messages(df: DataFrame, key: str, order: Sequence[str], slice_expr: Column, piece: Column) -> DataFrame:
-    """Islands of equal role with their pieces concatenated in order: key, message, role, content."""
-    df = df.withColumn("_piece", piece)
-    parts = F.sort_array(F.collect_list(F.struct(*order, "_piece")))
-    return df.groupBy(key, "message").agg(F.first("role").alias("role"), F.array_join(F.transform(parts, lambda p: p["_piece"]), "").alias("content"))
+    The end is that of the last row (not the largest), texts are joined by a space, slice by slice, and
+    the pieces stay in ``originals``. Without these no array holds all pieces of a segment
+    (``close_segments`` has them in rows). Input: keys, order, start_s, end_s, text.
+    """
+    keys, order = list(keys), list(order)
+    df = close_segments(segs, keys, order, slice_expr, gap_s, keep_slice=True)
+    out = S.join_pieces(df, [*keys, "segment"], order, F.col("text"), " ", first=["start_s"], last=["end_s"])
+    if not originals:
+        return out
+    parts = F.sort_array(F.collect_list(F.struct(*order, "start_s", "end_s", "text")))
+    rows = df.groupBy(*[F.struct(*keys, "segment").alias("_k")]).agg(parts.alias("_p"))
+    rows = rows.select("_k", F.transform("_p", lambda p: F.struct(p["start_s"].alias("start_s"), p["end_s"].alias("end_s"), p["text"].alias("text"))).alias("originals"))
+    return out.withColumn("_k", F.struct(*keys, "segment")).join(rows, "_k").drop("_k")
 
 
-def role_islands(df: DataFrame, key: str, order: Sequence[str], slice_expr: Column) -> DataFrame:
-    """Number the runs of equal role from 0."""
+def role_islands(df: DataFrame, key: str, order: Sequence[str], slice_expr: Column, keep_slice: bool = False) -> DataFrame:
+    """Number the runs of equal role from 0: one row per turn, with its ``message``."""
     df = S.scan(df, [key], order, slice_expr, [S.Lag("_role", F.col("role"))])
     new = F.coalesce(F.col("_role") != F.col("role"), F.lit(True)).cast("long")
-    df = S.scan(df.withColumn("_new", new), [key], order, slice_expr, [S.RunSum("message", F.col("_new"))])
+    df = S.scan(df.withColumn("_new", new), [key], order, slice_expr, [S.RunSum("message", F.col("_new"))], keep_slice)
     return df.withColumn("message", F.col("message") - 1).drop("_role", "_new")
 
 
@@ -210,9 +208,8 @@ def merge_same_role(turns: DataFrame, key: str = "conv_id", order: str = "turn",
     ``pos`` orders the messages of a conversation; odd numbers are the inserted ones.
     """
     kept = turns.filter(F.translate("text", T.INTERRUPTION_MARK, "") != "")
-    df = role_islands(kept, key, [order], S.by_index(order))
-    parts = F.sort_array(F.collect_list(F.struct(order, "text")))
-    merged = df.groupBy(key, "message").agg(F.first("role").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("content"))
+    df = role_islands(kept, key, [order], S.by_index(order), keep_slice=True)
+    merged = S.join_pieces(df, [key, "message"], [order], F.col("text"), " ", first=["role"]).withColumnRenamed("text", "content")
     heads = merged.filter("message <= 1").groupBy(key).agg(
         F.max(F.when(F.col("message") == 0, F.col("role"))).alias("r0"), F.max(F.when(F.col("message") == 1, F.col("role"))).alias("r1")
     )
@@ -223,12 +220,13 @@ def merge_same_role(turns: DataFrame, key: str = "conv_id", order: str = "turn",
 
 def append_deltas(deltas: DataFrame, key: str, order: Sequence[str], slice_expr: Column) -> DataFrame:
     """Deltas of one role append to one message, with a space where neither side has one."""
-    df = role_islands(deltas, key, order, slice_expr)
+    df = role_islands(deltas, key, order, slice_expr, keep_slice=True)
     tail = F.when(F.col("text") != "", F.when(F.col("text").rlike(f"{T.SPACE}$"), 1).otherwise(0))
-    df = S.scan(df, [key, "message"], order, slice_expr, [S.LastValid("_tail", tail, inclusive=False)])
+    df = S.scan(df, [key, "message"], order, slice_expr, [S.LastValid("_tail", tail, inclusive=False)], keep_slice=True)
     space = (F.col("_tail") == 0) & (F.col("text") != "") & ~F.col("text").rlike(f"^{T.SPACE}")
     piece = F.when(F.coalesce(space, F.lit(False)), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    return _messages(df, key, order, slice_expr, piece)
+    out = S.join_pieces(df, [key, "message"], order, piece, first=["role"])
+    return out.select(key, "message", "role", F.col("text").alias("content"))
 
 
 def rechunk_words(deltas: DataFrame, key: str, order: Sequence[str], slice_expr: Column) -> DataFrame:

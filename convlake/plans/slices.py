@@ -5,20 +5,26 @@ user or conversation holds a large share of the table. Here every group is cut i
 by a monotone function of its ordering (a day of events, a few thousand frames). Windows run
 inside a slice; what has to cross a slice border is aggregated to one row per slice, scanned
 over the slices of the group, and added to each slice as a row before its first or after its last.
-The large side is shuffled once, on (group, slice), and not joined; null keys form groups.
+The large side is shuffled once, on (group, slice), and not joined; null keys form groups. The scan
+over slices is such a scan itself, in spans of SLICES_PER_SPAN slices, so a window never ranges over
+all slices of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
 EDGE = "_edge"
+BORDER = "_border"
 ROWS_PER_SLICE = 4096
+SLICES_PER_SPAN = 4096
+# a span of rows by index covers 2^24 places, so a window over the spans of 10^12 rows has 60,000
+SPAN_LEVELS = 1
 # ten minutes: a key with 30 TB of events in a month still gives slices of a few GB, and a key
 # has at most 144 border rows per day however many events it has
 SLICE_US = 600_000_000
@@ -106,12 +112,17 @@ def scan(
     order: Sequence[str],
     slice_expr: Column,
     specs: Sequence[Spec],
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add one column per spec, computed over ``keys`` ordered by ``order``.
 
-    ``order`` must be unique within a group and ``slice_expr`` must not decrease along it.
+    ``order`` must be unique within a group and ``slice_expr``, a whole number, must not decrease along it.
+    With ``keep_slice`` the column ``_slice`` stays, and with it the partitioning.
     """
-    keys, order = list(keys), list(order)
+    return _scan(df, list(keys), list(order), slice_expr, specs, keep_slice, SPAN_LEVELS)
+
+
+def _scan(df: DataFrame, keys: list[str], order: list[str], slice_expr: Column, specs: Sequence[Spec], keep_slice: bool, levels: int) -> DataFrame:
     if SLICE not in df.columns:
         df = df.withColumn(SLICE, slice_expr)
     named = [f"_x{i}" for i in range(len(specs))]
@@ -120,45 +131,53 @@ def scan(
 
     # one row per slice with what the slice hands on, then what each slice gets from the others
     position = F.struct(*order)
-    aggs, carries = [], []
-    over = Window.partitionBy(*keys).orderBy(SLICE)
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    after = over.rowsBetween(1, Window.unboundedFollowing)
-    for s, n in zip(specs, named):
-        x = F.col(n)
-        if isinstance(s, (RunSum, RunMax)):
-            f = F.sum if isinstance(s, RunSum) else F.max
-            aggs.append(f(x).alias(n))
-            carries.append(f(n).over(before).alias(n))
-        elif isinstance(s, AheadMax):
-            aggs.append(F.max(x).alias(n))
-            carries.append(F.max(n).over(after).alias(n))
+    aggs, between = [], []
+    for i, (s, n) in enumerate(zip(specs, named)):
+        x, handed = F.col(n), F.col(f"_b{i}")
+        if isinstance(s, (RunSum, RunMax, AheadMax)):
+            aggs.append((F.sum if isinstance(s, RunSum) else F.max)(x).alias(f"_b{i}"))
+            between.append(type(s)(n, handed, inclusive=False))
         elif isinstance(s, (Lag, LastValid)):
-            aggs.append(F.max_by(x, F.when(x.isNotNull(), position)).alias(n))
-            carries.append(F.last(n, ignorenulls=True).over(before).alias(n))
+            aggs.append(F.max_by(x, F.when(x.isNotNull(), position)).alias(f"_b{i}"))
+            between.append(LastValid(n, handed, inclusive=False))
         else:
-            aggs.append(F.min_by(x, F.when(x.isNotNull(), position)).alias(n))
-            carries.append(F.first(n, ignorenulls=True).over(after).alias(n))
-    borders = df.groupBy(*keys, SLICE).agg(*aggs).select(*keys, SLICE, *carries)
+            aggs.append(F.min_by(x, F.when(x.isNotNull(), position)).alias(f"_b{i}"))
+            between.append(NextValid(n, handed, inclusive=False))
+    borders = df.groupBy(*keys, SLICE).agg(*aggs).withColumnRenamed(SLICE, BORDER)
+    if levels:
+        borders = _scan(borders, keys, [BORDER], F.floor(F.col(BORDER) / SLICES_PER_SPAN).cast("long"), between, False, levels - 1)
+    else:
+        borders = borders.select("*", *_over(between, Window.partitionBy(*keys).orderBy(BORDER)))
+    borders = borders.select(*keys, F.col(BORDER).alias(SLICE), *named)
 
     # a slice's windows see what it gets as a row before its first and one after its last
     sums = {n: borders.schema[n].dataType for s, n in zip(specs, named) if isinstance(s, RunSum)}
     df = df.withColumns({n: F.col(n).cast(kind) for n, kind in sums.items()}).withColumn(EDGE, F.lit(0))
     ahead = [isinstance(s, (Lead, NextValid, AheadMax)) for s in specs]
-    for edge in {1 if a else -1 for a in ahead}:
-        kept = [n if a == (edge > 0) else F.lit(None).cast(borders.schema[n].dataType).alias(n) for n, a in zip(named, ahead)]
-        df = df.unionByName(borders.select(*keys, SLICE, *kept, F.lit(edge).alias(EDGE)), allowMissingColumns=True)
-
-    local = Window.partitionBy(*keys, SLICE).orderBy(EDGE, *order)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    past = local.rowsBetween(Window.unboundedPreceding, -1)
-    onward = local.rowsBetween(0, Window.unboundedFollowing)
-    future = local.rowsBetween(1, Window.unboundedFollowing)
+    edges = [
+        F.struct(*[(F.col(n) if a == (edge > 0) else F.lit(None).cast(borders.schema[n].dataType)).alias(n) for n, a in zip(named, ahead)], F.lit(edge).alias(EDGE))
+        for edge in sorted({1 if a else -1 for a in ahead})
+    ]
+    # both from one reading of the borders, so that chained scans do not multiply the plan
+    edges = borders.select(*keys, SLICE, F.explode(F.array(*edges)).alias("_e")).select(*keys, SLICE, "_e.*")
+    df = df.unionByName(edges, allowMissingColumns=True)
+
+    values = _over([replace(s, expr=F.col(n)) for s, n in zip(specs, named)], Window.partitionBy(*keys, SLICE).orderBy(EDGE, *order))
+    rest = [c for c in df.columns if c not in (EDGE, *named) and (keep_slice or c != SLICE)]
+    return df.select(*rest, EDGE, *values).where(F.col(EDGE) == 0).drop(EDGE)
+
+
+def _over(specs: Sequence[Spec], ordered) -> list[Column]:
+    """The column of each spec in plain windows; a lag or lead has structs, so that none is told from null."""
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    past = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    onward = ordered.rowsBetween(0, Window.unboundedFollowing)
+    future = ordered.rowsBetween(1, Window.unboundedFollowing)
     out = []
-    for s, n in zip(specs, named):
-        x = F.col(n)
+    for s in specs:
+        x = s.expr
         if isinstance(s, (Lag, Lead)):
-            found = (F.lag if isinstance(s, Lag) else F.lead)(x).over(local)
+            found = (F.lag if isinstance(s, Lag) else F.lead)(x).over(ordered)
             value = found["v"] if s.default is None else F.when(found.isNull(), s.default).otherwise(found["v"])
         elif isinstance(s, (NextValid, AheadMax)):
             frame = onward if s.inclusive else future
@@ -167,8 +186,28 @@ def scan(
             frame = upto if s.inclusive else past
             value = F.coalesce(F.sum(x).over(frame), F.lit(0)) if isinstance(s, RunSum) else F.max(x).over(frame) if isinstance(s, RunMax) else F.last(x, ignorenulls=True).over(frame)
         out.append(value.alias(s.out))
-    rest = [c for c in df.columns if c not in (SLICE, EDGE, *named)]
-    return df.select(*rest, EDGE, *out).where(F.col(EDGE) == 0).drop(EDGE)
+    return out
+
+
+def join_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, sep: str = "", first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
+    """One row per group: its pieces joined in order, their number, and columns of its first and last rows.
+
+    ``df`` has the column ``_slice`` (see ``scan``). Pieces are joined within slices, then the texts of
+    slices, so an array holds a slice's pieces or one text per slice, never all pieces of a group.
+    Null pieces are left out and not counted. Output: keys, first, last, text, pieces.
+    """
+    keys, order, place = list(keys), list(order), F.struct(*order)
+
+    def joined(at: Sequence[str], text: str) -> Column:
+        parts = F.sort_array(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(*at, text))))
+        return F.array_join(F.transform(parts, lambda p: p[text]), sep)
+
+    ends = [F.min_by(F.struct(*first), place).alias("_first")] * bool(first) + [F.max_by(F.struct(*last), place).alias("_last")] * bool(last)
+    text = F.when(F.count("_piece") > 0, joined(order, "_piece")).alias("_text")
+    per = df.withColumn("_piece", piece).groupBy(*keys, SLICE).agg(text, F.count("_piece").alias("_n"), *ends)
+    ends = [F.min_by("_first", SLICE).alias("_first")] * bool(first) + [F.max_by("_last", SLICE).alias("_last")] * bool(last)
+    out = per.groupBy(*keys).agg(joined([SLICE], "_text").alias("text"), F.sum("_n").alias("pieces"), *ends)
+    return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in first], *[F.col(f"_last.{c}").alias(c) for c in last], "text", "pieces")
 
 
 def neighbours(

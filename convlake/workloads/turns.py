@@ -83,8 +83,8 @@ def _(t):
     e = VW.events(t)
     at = F.col("ts_us") / 1000000
     segs = e.select("user_id", "ts_us", "event_id", at.alias("start_s"), at.alias("end_s"), F.col("event_type").alias("text"))
-    m = U.merge_close_segments(segs, ["user_id"], ["ts_us", "event_id"], S.by_micros("ts_us"), 6 * 3600.0)
-    return m.select("user_id", "segment", "start_s", "end_s", "text", F.size("originals").cast("long").alias("pieces"))
+    m = U.merge_close_segments(segs, ["user_id"], ["ts_us", "event_id"], S.by_micros("ts_us"), 6 * 3600.0, originals=False)
+    return m.select("user_id", "segment", "start_s", "end_s", "text", "pieces")
 
 
 MR = """

@@ -20,13 +20,17 @@ def rows(seed=1, n=400):
     return out
 
 
-def test_scan_equals_python(spark):
+@pytest.mark.parametrize("levels, span", [(0, 4096), (1, 4096), (1, 3), (3, 2)])
+def test_scan_equals_python(spark, monkeypatch, levels, span):
+    monkeypatch.setattr(S, "SPAN_LEVELS", levels)
+    monkeypatch.setattr(S, "SLICES_PER_SPAN", span)
     data = rows()
     df = spark.createDataFrame(data, "k string, p long, a int, b int")
     specs = [
         S.Lag("lag", F.col("a")), S.Lag("lag_d", F.col("b"), F.lit(99)), S.Lead("lead", F.col("b")), S.RunSum("rs", F.col("b")),
         S.RunSum("rsx", F.col("b"), inclusive=False), S.RunMax("rm", F.col("b"), inclusive=False), S.LastValid("lv", F.col("a")),
         S.LastValid("lvx", F.col("a"), inclusive=False), S.NextValid("nv", F.col("a")), S.NextValid("nvx", F.col("a"), inclusive=False),
+        S.AheadMax("am", F.col("a")), S.AheadMax("amx", F.col("b"), inclusive=False),
     ]
     got = {(r.k, r.p): r for r in S.scan(df, ["k"], ["p"], S.by_index("p", 7), specs).collect()}
     groups = {}
@@ -45,6 +49,26 @@ def test_scan_equals_python(spark):
             assert o.rm == (max(b[:i]) if i else None)
             assert o.lv == last(a[: i + 1]) and o.lvx == last(a[:i])
             assert o.nv == first(a[i:]) and o.nvx == first(a[i + 1 :])
+            assert o.am == max((x for x in a[i:] if x is not None), default=None) and o.amx == max(b[i + 1 :], default=None)
+
+
+def test_a_key_of_a_million_slices(spark):
+    """One row a slice: windows range over a span of slices or over the spans, never over all slices of the key."""
+    n = 1 << 20
+    df = spark.range(0, n, 1, 8).select(F.lit("x").alias("k"), F.col("id").alias("p"), F.lit(1).alias("v"))
+    out = S.scan(df, ["k"], ["p"], S.by_index("p", 1), [S.RunSum("s", F.col("v")), S.LastValid("l", F.when(F.col("p") % 100_000 == 7, F.col("p")))])
+    row = out.agg(F.count_if(F.col("s") == F.col("p") + 1).alias("n"), F.max("l").alias("l"), F.count("l").alias("c")).first()
+    assert (row.n, row.l, row.c) == (n, 1_000_007, n - 7)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Window [" in x and "_border" in x and "[k#" in x and "_slice#" not in x.split("], [")[1]] == []
+
+
+def test_join_pieces(spark):
+    rows = [("a", i, None if i % 5 == 0 else f"w{i}") for i in range(40)] + [("n", 3, None), (None, 7, "x"), (None, 1, "y"), ("e", 2, ""), ("e", 90, "")]
+    df = spark.createDataFrame(rows, "k string, p long, t string").withColumn(S.SLICE, S.by_index("p", 4)).repartition(5)
+    got = {r.k: (r.p, r.t, r.text, r.pieces) for r in S.join_pieces(df, ["k"], ["p"], F.col("t"), " ", first=["p"], last=["t"]).collect()}
+    words = [t for k, _, t in rows if k == "a" and t is not None]
+    assert got == {"a": (0, "w39", " ".join(words), 32), "n": (3, None, "", 0), None: (1, "x", "y x", 2), "e": (2, "", " ", 2)}
 
 
 def test_neighbours_equal_scan(spark):
@@ -87,7 +111,7 @@ def test_scan_shuffles_the_rows_once(spark):
     out = S.scan(df, ["k"], ["p"], S.by_index("p", 64), [S.RunSum("s", F.col("v")), S.Lead("n", F.col("v"))])
     plan = out._jdf.queryExecution().executedPlan().toString()
     rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "_slice" in line]
-    assert "Join" not in plan and 1 <= len(rows) <= 4  # the union of rows and borders, and the borders' sums
+    assert "Join" not in plan and 1 <= len(rows) <= 5  # the union of rows and borders, the borders' sums (twice, run once), and their spans
     assert out.agg(F.sum("s")).first()[0] == sum(sum(range(k, i + 1, 3)) for k in range(3) for i in range(k, 1000, 3))
 
 
