@@ -6,8 +6,8 @@ by a monotone function of its ordering (a day of events, a few thousand frames).
 inside a slice; what has to cross a slice border is aggregated to one row per slice, scanned
 over the slices of the group, and added to each slice as a row before its first or after its last.
 The large side is shuffled once, on (group, slice), and not joined; null keys form groups. The scan
-over slices is such a scan itself, in spans of SLICES_PER_SPAN slices, so a window never ranges over
-all slices of a group.
+over slices is such a scan itself, in spans of SLICES_PER_SPAN slices, so no window ranges over all slices
+of a group; only an input of at most PLAIN_BYTES by Spark's estimate is spared the two small shuffles.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ ROWS_PER_SLICE = 4096
 SLICES_PER_SPAN = 4096
 # a span of rows by index covers 2^24 places, so a window over the spans of 10^12 rows has 60,000
 SPAN_LEVELS = 1
+# an input that Spark estimates to be no larger has so few slices that one window may hold those of a key
+PLAIN_BYTES = 4 << 30
 # ten minutes: a key with 30 TB of events in a month still gives slices of a few GB, and a key
 # has at most 144 border rows per day however many events it has
 SLICE_US = 600_000_000
@@ -119,7 +121,8 @@ def scan(
     ``order`` must be unique within a group and ``slice_expr``, a whole number, must not decrease along it.
     With ``keep_slice`` the column ``_slice`` stays, and with it the partitioning.
     """
-    return _scan(df, list(keys), list(order), slice_expr, specs, keep_slice, SPAN_LEVELS)
+    estimate = int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return _scan(df, list(keys), list(order), slice_expr, specs, keep_slice, SPAN_LEVELS if estimate > PLAIN_BYTES else 0)
 
 
 def _scan(df: DataFrame, keys: list[str], order: list[str], slice_expr: Column, specs: Sequence[Spec], keep_slice: bool, levels: int) -> DataFrame:
