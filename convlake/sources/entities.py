@@ -145,7 +145,8 @@ def collapse_wrappers(leaves: DataFrame, doc: str) -> DataFrame:
     """Shorten ``k.text``/``k.value`` wrappers to ``k``; join wrapped paragraphs of known keys.
 
     A wrapper is an object whose only leaf is that one. Items of a list of wrappers become one
-    text for paragraph keys or single items, and stay separate otherwise.
+    text for paragraph keys or single items, and stay separate otherwise. The counts are as many as the
+    leaves, but small by Spark's estimate, which the explode misleads: they are merged, not broadcast.
     """
     parent = F.regexp_extract("source_field", r"^(.*)\.(?:text|value)$", 1)
     prefixes = F.transform(
@@ -153,14 +154,14 @@ def collapse_wrappers(leaves: DataFrame, doc: str) -> DataFrame:
         lambda n: F.array_join(F.slice(F.split("source_field", r"\."), 1, n), "."),
     )
     sizes = leaves.select(doc, F.explode(prefixes).alias("_parent")).groupBy(doc, "_parent").agg(F.count(F.lit(1)).alias("_size"))
-    marked = leaves.withColumn("_parent", parent).join(sizes, [doc, "_parent"], "left")
+    marked = leaves.withColumn("_parent", parent).join(sizes.hint("merge"), [doc, "_parent"], "left")
     sole = (F.col("_parent") != "") & (F.col("_size") == 1)
     path = F.when(sole, F.col("_parent")).otherwise(F.col("source_field"))
     marked = marked.select(doc, "seq", "text", path.alias("_path"), (sole & F.col("source_field").endswith(".text")).alias("_wrapped"))
     stem = F.when(F.col("_wrapped") & F.col("_path").rlike(r"\[\d+\]$"), F.regexp_replace("_path", r"\[\d+\]$", ""))
     marked = marked.withColumn("_list", stem)
     lists = marked.filter(F.col("_list").isNotNull()).groupBy(doc, "_list").agg(F.count(F.lit(1)).alias("_items"))
-    marked = marked.join(lists, [doc, "_list"], "left")
+    marked = marked.join(lists.hint("merge"), [doc, "_list"], "left")
     last_key = F.lower(F.trim(F.regexp_replace(F.element_at(F.split("_list", r"\."), -1), r"\[\d+\]", "")))
     joined = F.col("_list").isNotNull() & ((F.col("_items") == 1) | last_key.isin(PARAGRAPH_KEYS))
     marked = marked.withColumn("source_field", F.when(joined, F.col("_list")).otherwise(F.col("_path")))

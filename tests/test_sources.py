@@ -77,3 +77,13 @@ def test_upserts(spark):
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(map(tuple, R.upsert_nodes(wide, new, "id").collect()), key=key) == [(1, "a", "m1", None), (2, "b", "m2", 5), (3, "c", None, 6), (None, "q", "m0", 7)]
     assert sorted(map(tuple, R.upsert_nodes(wide, new, "id", null_overwrites=True).collect()), key=key)[1] == (2, None, "m2", 5)
+
+
+def test_wrapper_counts_are_not_broadcast(spark, tmp_path):
+    body = json.dumps({"about": [{"text": "a"}, {"text": "b"}], "roles": [{"organization": {"value": "G"}}], "name": "N"})
+    spark.createDataFrame([(str(i), body) for i in range(9)], "path string, body string").write.parquet(str(tmp_path / "in"))
+    leaves = E.flatten_leaves(spark.read.parquet(str(tmp_path / "in")))
+    out = E.collapse_wrappers(leaves, "path")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.source_field, r.text) for r in out.filter("path = '4'").collect()) == [("about", "a\n\nb"), ("name", "N"), ("roles[0].organization", "G")]
