@@ -21,13 +21,18 @@ KINDS = {
 }
 
 
+def source(t: Tables, name: str) -> str:
+    """Path of a table for a stream, as a pattern: a plain path may not be a file there, and a table is a file or a folder of files."""
+    return f"{t.path}/[{name[0]}]{name[1:]}.parquet"
+
+
 def stream(t: Tables):
-    e = SW.stream_events(t.spark, t.path, t.events.schema, glob="events.parquet")
+    e = SW.stream_events(t.spark, source(t, "events"), t.events.schema)
     return e.withColumn("ts_us", F.unix_micros("ts"))
 
 
 def turns(t: Tables):
-    return t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.path)
+    return t.spark.readStream.schema(t.conversations.schema).parquet(source(t, "conversations"))
 
 
 def signals(df, role: str):

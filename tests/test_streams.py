@@ -223,3 +223,18 @@ def test_words_in_twelve_batches(spark, tmp_path):
     got = SW.run_to_end(src, lambda r: run_stream(r, SG.words_machine(), "k"), "words").collect()
     want = fold_sorted(table, SG.words_machine(), ["k"], until=10**15).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_tables_as_files_or_folders(spark, tmp_path, folder):
+    import pyarrow.parquet as pq
+
+    for table, files in (("conversations", 3), ("events", 2)):
+        data = pq.read_table(f"/root/testdata/sf0.001/{table}.parquet").slice(0, 60)
+        (tmp_path / f"{table}.parquet").mkdir() if folder else pq.write_table(data, tmp_path / f"{table}.parquet")
+        for i in range(files if folder else 0):
+            pq.write_table(data.slice(i * 60 // files, 60 // files), tmp_path / f"{table}.parquet" / f"part-{i}.parquet")
+    words = spark.read.parquet(f"{tmp_path}/conversations.parquet").select(F.explode(F.split(F.trim("text"), r"\s+")))
+    assert workloads.QUERIES["t5_rechunk_stream"](spark, str(tmp_path)).count() == words.count() > 100
+    got = workloads.QUERIES["t9_live_histograms"](spark, str(tmp_path)).agg(F.sum("count")).first()[0]
+    assert got == 60
