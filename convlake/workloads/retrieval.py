@@ -8,6 +8,7 @@ from convlake.functions import text as T
 from convlake.operators import chunks as C
 from convlake.operators import evaluation as EV
 from convlake.operators import vectors as V
+from convlake.session import staged
 from convlake.workloads.chunks import DOC_TOKENS, SPACE, TOKS, doc_chunks
 from convlake.workloads.registry import Tables, query
 
@@ -64,6 +65,9 @@ FEATS = """SELECT id, idx, round(w / greatest(sqrt(sum(w * w) OVER (PARTITION BY
   FROM (SELECT id, md5(unnest({toks})) AS h FROM {of}) GROUP BY 1, 2)"""
 
 
+FEW_HITS = 200_000
+
+
 @query("j6_chunk_search", f"""WITH {DOC_TOKENS},
 cf AS ({FEATS.format(toks=TOKS, of="(SELECT chunk_id AS id, chunk_text AS text FROM chunks)")}),
 qf AS ({FEATS.format(toks=TOKS, of="(SELECT 'q' || item_id AS id, text FROM benchmark)")}),
@@ -80,9 +84,12 @@ def _(t):
     asked = t.benchmark.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "text")
 
     def vectors(df, id):
-        return V.dense(V.hashed_features(df.select(id, "text"), id, "text", 64), id, 64).select(id, F.transform("embedding", lambda x: F.round(x * 1024)).alias("embedding"))
+        return V.hashed_vectors(df, id, "text", 64).select(id, F.transform("embedding", lambda x: F.round(x * 1024)).alias("embedding"))
 
-    hits = V.vector_topk(vectors(asked, "query_id"), vectors(chunks.select("chunk_id", F.col("chunk_text").alias("text")), "chunk_id").withColumnRenamed("chunk_id", "vec_id"), 10)
+    hits = staged(V.vector_topk(vectors(asked, "query_id"), vectors(chunks.select("chunk_id", F.col("chunk_text").alias("text")), "chunk_id").withColumnRenamed("chunk_id", "vec_id"), 10))
+    ids = hits.select(F.col("vec_id").alias("chunk_id")).distinct()
+    # ten ids a question; where they are few, the chunks' texts are not shuffled to be cut to them
+    chunks = chunks.join(F.broadcast(ids) if hits.count() <= FEW_HITS else ids, "chunk_id", "left_semi")
     hits = C.attach_chunks(hits.withColumnRenamed("vec_id", "chunk_id"), chunks.select("chunk_id", "source_path", "entity_id", F.col("token_count").cast("long").alias("token_count"), "chunk_text"), "source_path")
     start = F.array_join(F.slice(T.tokens(F.col("text")), 1, 8), " ")
     out = hits.join(asked.withColumn("start", start), "query_id")

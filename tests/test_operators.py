@@ -104,6 +104,43 @@ def test_hash_embedding_bits(spark):
     assert np.allclose(got[0][0], want / np.linalg.norm(want), atol=1e-6) and not np.any(got[1][0])
 
 
+def test_hashed_features_by_id(spark):
+    """Texts of one id are one text; sums are whole numbers until the norm; a place where tokens cancel stays."""
+    want = {}
+    for id, text in (texts := [(1, "to be or\u2003not"), (1, "to \x1c be"), (2, "x"), (3, " "), (4, None)]):
+        for tok in (text or "").split():
+            h = hashlib.md5(tok.encode()).hexdigest()
+            at = want.setdefault(id, {})
+            at[int(h[:7], 16) % 4] = at.get(int(h[:7], 16) % 4, 0) + (1 if int(h[8:10], 16) % 2 == 0 else -1) * (255 + int(h[10:12], 16))
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = V.hashed_features(df, "id", "text", 4)
+    assert got.dtypes == [("id", "bigint"), ("idx", "bigint"), ("value", "double")]
+    norm = {id: sum(w * w for w in at.values()) ** 0.5 for id, at in want.items()}
+    assert {(r.id, r.idx): r.value for r in got.collect()} == {(id, i): w / norm[id] for id, at in want.items() for i, w in at.items()}
+    dense = {r.id: list(r.embedding) for r in V.hashed_vectors(df, "id", "text", 4).collect()}
+    assert dense == {id: [at.get(i, 0) / norm[id] for i in range(4)] for id, at in want.items()}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_topk_memory_is_bounded():
+    """Blocks hold a fixed number of bytes, however many rows a batch has, and so do scores."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    m = np.random.default_rng(1).normal(size=(20_000, 8)).astype(np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(m))), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 8).cast(pa.list_(pa.float32()))], ["id", "v"])
+    blocks = list(V._pack(256 << 10)(iter([rows, rows.slice(0, 5)])))
+    assert max(b.column(1)[0].as_buffer().size for b in blocks) == 256 << 10 and sum(len(b.column(0)[0]) for b in blocks) == 20_005
+    whole = next(V._pack(8 << 20)(iter([rows])))
+    pair = pa.RecordBatch.from_arrays([*whole.columns, *whole.columns], ["q_ids", "q_mat", "v_ids", "v_mat"])
+    tracemalloc.start()
+    best = list(V._score(3, True, False)(iter([pair])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in best) == 60_000 and peak < 100 << 20
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_topk_equals_brute_force(spark, monkeypatch, broadcast):
     rng = np.random.default_rng(0)
