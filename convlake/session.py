@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    # 10,000 long texts are too many for a Python worker, which holds a batch in several forms
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

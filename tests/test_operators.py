@@ -422,3 +422,15 @@ def test_items_without_an_answer(spark):
     done, missing = EV.benchmark_responses(items, outputs)
     assert sorted((r.item_id, r.answers.top1_answer, r.answers.top5_answer) for r in done.collect()) == [("a", "yes", "yes"), ("c", None, None)]
     assert [tuple(r) for r in missing.collect()] == [("b", "Q2")]
+
+
+def test_python_batches_are_bounded(spark):
+    """A Python worker gets long texts a few megabytes at a time, not 10,000 rows or 64 MB."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 10_000_000
