@@ -81,6 +81,27 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("item"), F.col("value").alias("body"))
 
 
+TRACE_ROWS = {"generations": "generations", "attempts": "speculation_attempts", "pauses": "vad_pause_detection_times_sec"}
+
+
+def trace_rows(traces: DataFrame) -> DataFrame:
+    """(item, body) to (item, kind, pos, generations, attempts, pauses): the elements of all three lists from one reading.
+
+    ``kind`` names the column that holds the element; the others are null.
+    """
+    t = traces.select("item", F.from_json("body", TRACE).alias("t"))
+    kinds = {k: t.schema["t"].dataType[f].dataType.elementType for k, f in TRACE_ROWS.items()}
+
+    def rows(kind: str):
+        def row(x, pos):
+            held = [(x if k == kind else F.lit(None).cast(of)).alias(k) for k, of in kinds.items()]
+            return F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), *held)
+
+        return F.coalesce(F.transform(f"t.{TRACE_ROWS[kind]}", row), F.array())
+
+    return t.select("item", F.explode(F.concat(*[rows(k) for k in kinds])).alias("r")).select("item", "r.*")
+
+
 def explode_traces(traces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(item, body) to the tables generations, attempts, and pause times."""
     t = traces.select("item", F.from_json("body", TRACE).alias("t"))

@@ -65,10 +65,10 @@ SELECT 'generations' AS kind, count(*) * 2 AS n, CAST(sum(l_quantity * 2 + 1) AS
 UNION ALL SELECT 'attempts', count(*), CAST(sum(l_quantity + l_linenumber) AS DOUBLE) FROM lineitem
 UNION ALL SELECT 'pauses', count(*) * 2, CAST(sum(l_quantity * 2 + 2) AS DOUBLE) FROM lineitem""")
 def _(t):
-    g, a, p = TR.explode_traces(trace_files(t))
-    parts = [("generations", g, F.col("vad_pause_detected_sec")), ("attempts", a, F.col("trigger_time_sec") + F.col("attempt_index")), ("pauses", p, F.col("pause_s"))]
-    out = [df.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(c).alias("s")) for k, df, c in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    rows = TR.trace_rows(trace_files(t))
+    values = {"generations": F.col("generations.vad_pause_detected_sec"), "attempts": F.col("attempts.trigger_time_sec") + F.col("attempts.attempt_index"), "pauses": F.col("pauses")}
+    one = rows.agg(*[F.struct(F.lit(k).alias("kind"), F.count_if(F.col("kind") == k).alias("n"), F.sum(c).alias("s")).alias(k) for k, c in values.items()])
+    return one.select(F.inline(F.array(*values)))
 
 
 @query("p13_compact_columns", """

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from convlake import workloads
 from convlake.operators import chunks as C
 from convlake.sources import entities as E
 from convlake.sources import pages as P
@@ -87,3 +88,12 @@ def test_wrapper_counts_are_not_broadcast(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted((r.source_field, r.text) for r in out.filter("path = '4'").collect()) == [("about", "a\n\nb"), ("name", "N"), ("roles[0].organization", "G")]
+
+
+def test_traces_are_read_once(spark, tmp_path):
+    body = json.dumps({"generations": [{"generation_index": 0, "status": "completed"}, {"generation_index": 1}], "vad_pause_detection_times_sec": [1.5, 2.0]})
+    df = spark.createDataFrame([("a", body), ("b", "{}"), ("c", json.dumps({"speculation_attempts": [{"attempt_index": 3, "trigger_time_sec": 0.5}]}))], "item string, body string")
+    rows = sorted((r.item, r.kind, r.pos, (r.generations or r.attempts or [None])[0], r.pauses) for r in TR.trace_rows(df).collect())
+    assert rows == [("a", "generations", 0, 0, None), ("a", "generations", 1, 1, None), ("a", "pauses", 0, None, 1.5), ("a", "pauses", 1, None, 2.0), ("c", "attempts", 0, 3, None)]
+    plan = workloads.QUERIES["s6_explode_traces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
