@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,26 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+BITMAP_BITS = 1 << 15  # of one of Spark's bitmaps
+MOST_BITS = 1 << 26  # of all bitmaps of a set of keys, 8 MB
+
+
+def perhaps_among(df: DataFrame, key: Column, keys: DataFrame, col: str) -> DataFrame:
+    """Rows of ``df`` whose ``key``, a 64-bit hash, is in ``keys`` (a stored table), and a few others: one in sixteen at most,
+    more only beyond four million keys.
+
+    The keys are sent to all tasks as bitmaps of bounded size, so rows that a join would drop are dropped before it deals them.
+    """
+    bits = max(BITMAP_BITS, min(MOST_BITS, 1 << math.ceil(math.log2(max(1, 16 * keys.count())))))
+    place = lambda k: F.pmod(k, F.lit(bits)) + 1
+    of, part, held = (unused(df, x) for x in ("_of", "_part", "_held"))
+    maps = keys.groupBy(F.bitmap_bucket_number(place(F.col(col))).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(F.col(col)))).alias(held))
+    at = F.bitmap_bit_position(F.col(of))
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = df.withColumn(of, place(key)).join(F.broadcast(maps), F.bitmap_bucket_number(F.col(of)) == F.col(part))
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop(of, part, held)
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

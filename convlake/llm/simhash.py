@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm import words as words_of
-from convlake.llm.common import components, staged, unused
+from convlake.llm.common import components, perhaps_among, staged, unused
 
 FAN = 16  # children of a tree node, codes of a leaf
 QUERIES = 128  # codes searched at a time, which bounds the memory of a search
@@ -347,7 +347,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints:
     tried = staged(candidates(nodes.select("node", "codes"), prints, radius), "tried")
     reach = components(tried).withColumnRenamed("root", "reach")
     chosen = staged(nodes.join(reach, "node").select("node", "reach", "k1", "k2"), "chosen")
-    texts = staged(keyed.join(chosen, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "reach", "text"), "texts")
+    # few texts are candidates: the join deals those alone
+    texts = staged(perhaps_among(keyed, F.col("k1"), chosen, "k1").join(chosen, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "reach", "text"), "texts")
     # stored, so that the join deals both sides anew and a large group's rows can be split
     held = F.sum(F.length("text") + F.lit(NODE_BYTES)) / float(chunk_bytes)
     sizes = staged(texts.groupBy("reach").agg(F.ceil(held).cast("int").alias("chunks")), "sizes")

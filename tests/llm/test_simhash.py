@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from convlake.llm import common, simhash
 
@@ -192,3 +193,38 @@ def test_groups_cut_into_chunks(spark):
     docs = common.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     for size in (1 << 22, 20000, 4000):
         assert {r.doc_id for r in simhash.keep_first(docs, chunk_bytes=size).collect()} == set(first), size
+
+
+def shuffled_bytes(spark):
+    sc, none = spark.sparkContext, spark._jvm.java.util.ArrayList()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_only_candidates_are_dealt(spark):
+    """Of texts without near copies a join may move none but to return them, however it is planned."""
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 62, 1500)) for _ in range(150)]
+    texts += [edited(rng, texts[0], 3), edited(rng, texts[1], 3)]
+    docs = common.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    once = docs.repartition(4, "doc_id")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = shuffled_bytes(spark)
+        once.write.format("noop").mode("overwrite").save()
+        b = shuffled_bytes(spark)
+        kept = {r.doc_id for r in common.staged(simhash.keep_first(docs)).select("doc_id").collect()}
+        c = shuffled_bytes(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert kept == set(range(150)) and c - b < 1.5 * (b - a)
+
+
+def test_rows_perhaps_among_keys(spark):
+    rows = spark.range(200000).select("id", F.xxhash64("id").alias("k"))
+    for wanted in (0, 1, 3000):
+        keys = common.staged(rows.where(F.col("id") < wanted))
+        found = {r.id for r in common.perhaps_among(rows, F.col("k"), keys.select("k"), "k").collect()}
+        assert set(range(wanted)) <= found and len(found) <= wanted + 200000 // 16
