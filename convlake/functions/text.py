@@ -82,16 +82,24 @@ def truncate_tokens(c: Column, n: int) -> Column:
     return F.when(F.size(toks) <= n, c).otherwise(F.array_join(F.slice(toks, 1, n), " "))
 
 
+def _canonical(composed: Column) -> Column:
+    plain = strip_diacritics(F.lower(strip(composed)))
+    return squeeze(F.regexp_replace(plain, NOT_WORD, " "))
+
+
 def canonicalize_text(c: Column) -> Column:
     """Lower case, no accents, no punctuation but the hyphen, single spaces."""
-    plain = strip_diacritics(F.lower(strip(nfkc(F.coalesce(c, F.lit(""))))))
-    return squeeze(F.regexp_replace(plain, NOT_WORD, " "))
+    return _canonical(nfkc(F.coalesce(c, F.lit(""))))
 
 
 def canonicalize_person(c: Column) -> Column:
-    """The name before the first comma (after compatibility forms) in canonical form, without title tokens."""
+    """The name before the first comma (after compatibility forms) in canonical form, without title tokens.
+
+    A part of a composed text is composed, with spaces for underscores too; composing it again would
+    only add a Python process to every task.
+    """
     name = F.substring_index(F.replace(nfkc(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit(" ")), ",", 1)
-    kept = F.filter(F.split(canonicalize_text(name), " "), lambda x: ~x.isin(PERSON_TITLES))
+    kept = F.filter(F.split(_canonical(name), " "), lambda x: ~x.isin(PERSON_TITLES))
     return F.trim(F.array_join(kept, " "))
 
 

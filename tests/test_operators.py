@@ -38,6 +38,16 @@ def test_canonical_forms(spark):
     assert one(spark, "prof. Ing. Jan Novák", T.canonicalize_person) == "jan novak"
 
 
+def test_person_takes_two_python_passes(spark):
+    """Each pass is a Python process for every task; composing a part of a composed text again would change nothing."""
+    odd = ["Ěščř_\u0301a", "ﬁ＿x，y", "A\u1bf2Σ b_\u0344c", "İ\u0307_Σ", "\u00b4_\u1100\u1161\u11a8", "_\u0323\u0301e", "ſ\u0323\u0307, z"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    again = df.select("t", T.canonicalize_person(F.col("t")).alias("one"), T.canonicalize_person(T.nfkc(F.replace(T.nfkc(F.col("t")), F.lit("_"), F.lit(" ")))).alias("two"))
+    assert all(r.one == r.two for r in again.collect())
+    plan = df.select(T.canonicalize_person(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
 def test_normalise_text_keeps_lines(spark):
     assert one(spark, " a  b\r\n\r\n\r\n\r\nc​d \t", T.normalise_text) == "a b\n\ncd"
 
