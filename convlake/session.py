@@ -69,6 +69,12 @@ def shuffle_partitions(shuffled_bytes: int, target_bytes: int = 256 << 20, at_le
     return max(at_least, -(-shuffled_bytes // target_bytes))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to all cores, for costly work on the rows of files that make few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by the cluster in spark.checkpoint.dir.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from convlake.functions import text as T
 from convlake.operators import chunks as C
+from convlake.session import spread
 from convlake.sources import entities as E
 from convlake.sources import records as R
 from convlake.workloads.registry import Tables, query
@@ -198,8 +199,11 @@ def _(t):
 
 
 def entity_files(t: Tables):
-    """Customers as people, parts as courses, suppliers as groups: (path, JSON body)."""
-    c, p, s = t.customer, t.part, t.supplier
+    """Customers as people, parts as courses, suppliers as groups: (path, JSON body).
+
+    A table of many short rows is a small file, so one task, while every row is turned into JSON and read field by field.
+    """
+    c, p, s = spread(t.customer), spread(t.part), spread(t.supplier)
     mail = F.when(F.col("c_custkey") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.org")))
     people = c.select(
         F.concat(F.lit("personnel_profiles/"), "c_name", F.lit("_Ing.,_PhD.json")).alias("path"),

@@ -444,3 +444,13 @@ def test_python_batches_are_bounded(spark):
 
     texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
     assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 10_000_000
+
+
+def test_entity_files_are_spread(spark):
+    """A small file of many rows is one task, unless its rows are dealt to all cores before they are turned into JSON."""
+    from convlake.workloads.chunks import entity_files
+    from convlake.workloads.registry import Tables
+
+    files = entity_files(Tables(spark, "/root/testdata/sf0.01")).filter("path LIKE 'courses/%'")
+    held = [r.n for r in files.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) >= 4 and max(held) <= 0.4 * sum(held)
