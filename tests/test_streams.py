@@ -1,5 +1,6 @@
 """Streams replayed in several micro-batches give the rows of their batch twins."""
 
+import json
 import os
 import random
 
@@ -11,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from convlake import workloads
 from convlake.streaming import signals as SG
 from convlake.streaming import windows as SW
-from convlake.streaming.ordered import OrderedProcessor, fold_sorted, run_stream
+from convlake.streaming.ordered import PACKED_ROWS, Machine, OrderedProcessor, PackedProcessor, fold_sorted, run_stream
 
 SCHEMA = "k string, ts_us long, id long, kind string, value double"
 
@@ -182,6 +183,44 @@ def test_timers_read_due_buckets_only(name, bucket_ms):
     assert most <= 2 + 5_000_000 // 1000 // bucket_ms and not handle.map
 
 
+def test_a_firing_gives_two_columns_and_reads_its_bucket_once():
+    """Spark converts a firing's frame column by column, and each read of state is a round trip."""
+    machine, handle = SG.speculation_machine(1_000, 5_000_000), Handle()
+    names = [c.split()[0] for c in machine.output.split(", ")]
+    processor = PackedProcessor(machine, "k", StructType([StructField(c, LongType()) for c in machine.columns]), names, 60_000)
+    processor.init(handle)
+    asked, has = [], handle.map.containsKey
+    handle.map.containsKey = lambda key: asked.append(key[0]) or has(key)
+    # the last trigger's window ends after its row, within the bucket and before the watermark
+    rows = [(10**9 + i, i, "chunk" if i % 2 else "trigger") for i in range(PACKED_ROWS)] + [(10**9 + 10**6, 10**6, "trigger")]
+    list(processor.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=machine.columns)]), None))
+    now = max(handle.timers)
+    asked.clear()
+    (pdf,) = processor.handleExpiredTimer(("a",), At(now, now + 50), At(now, now + 50))
+    state, want = dict(machine.initial), []
+    for row in rows:
+        want += machine.run(state, row)
+    want += machine.tick(state, (now + 50) * 1000)
+    assert list(pdf.columns) == ["k", "_rows"] and list(pdf["k"]) == ["a", "a"]
+    assert [tuple(r.values()) for text in pdf["_rows"] for r in json.loads(text)] == want and len(want) > PACKED_ROWS
+    assert asked == handle.map.reads == [rows[0][0] // 1000 // 60_000]
+
+
+def test_odd_values_through_a_stream(spark, tmp_path):
+    """Nulls, quotes, line ends, signs beyond 16 bits, wide integers and fractions arrive as they were put out."""
+    texts = ['a "quoted" \\ text\n', "\U0001f600 ü \u2028", "", None, "\x00\x1f"]
+    values = [0.1 + 0.2, None, -0.0, 1e-310, 1.7976931348623157e308]
+    machine = Machine(
+        lambda state, row: [((1 << 63) - 1 - row[1], values[row[1]], texts[row[1]], None if row[1] == 1 else row[1] > 2)],
+        ["ts_us", "id"], "big bigint, value double, text string, flag boolean",
+    )
+    rows = [(2, 10**9 + i, i) for i in range(5)] + [(3, 10**12, 0)]
+    spark.createDataFrame(rows, "k long, ts_us long, id long").write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("k long, ts_us long, id long").parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
+    got = SW.run_to_table(run_stream(src, machine, "k"), "odd").where("k = 2").orderBy(F.desc("big")).collect()
+    assert [repr(tuple(r)) for r in got] == [repr((2, (1 << 63) - 1 - i, values[i], texts[i], None if i == 1 else i > 2)) for i in range(5)]
+
+
 TWINS = {"t1_pause_ema": "t1_pause_ema_batch", "t2_anticipation_trigger": "t2_anticipation_batch", "t3_speculation_lifecycle": "t3_speculation_batch"}
 
 
