@@ -75,7 +75,8 @@ def with_next(docs: DataFrame, scale: int = 8, words: int = 5, id_col: str = "do
     head = F.substring(F.col("row.text"), F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")).alias("next_head")
     sent = once.withColumnsRenamed({"k1": "n1", "k2": "n2"}).join(asked, ["n1", "n2"]).select("k1", "k2", "n_chars", "copies", head, F.col("row.sketch").alias("next_sketch"))
     met = once.join(sent, ["k1", "k2"])
-    own = F.struct(head, F.col("row.sketch").alias("next_sketch"))
-    nexts = F.concat(F.array(F.struct("next_head", "next_sketch")), F.array_repeat(own, (F.col("copies") - 1).cast("int")))
-    out = met.select("row", "n_chars", F.explode(nexts).alias("next"))
-    return out.select(F.col("row.id").alias(id_col), F.col("row.text").alias(text_col), "n_chars", F.col("row.sketch").alias("sketch"), "next.next_head", "next.next_sketch")
+    # equal rows follow each other: all but the last have a copy of themselves as the next, made one row at a time
+    out = met.select("row", "n_chars", "next_head", "next_sketch", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    is_last = F.col("copy") == 1
+    nexts = [F.when(is_last, F.col("next_head")).otherwise(head).alias("next_head"), F.when(is_last, F.col("next_sketch")).otherwise(F.col("row.sketch")).alias("next_sketch")]
+    return out.select(F.col("row.id").alias(id_col), F.col("row.text").alias(text_col), "n_chars", F.col("row.sketch").alias("sketch"), *nexts)

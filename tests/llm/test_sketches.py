@@ -59,6 +59,14 @@ def test_one_row_and_none(spark, tmp_path):
     assert run(spark, tmp_path / "b", []) == []
 
 
+def test_many_equal_rows(spark, tmp_path):
+    """Copies are made one row at a time: no row holds an array of all of them."""
+    rows = [(9, "first words of a text"), *[(5, "one two three four five six seven eight")] * 300, (2, "the last words are here")]
+    check(rows, run(spark, tmp_path, rows))
+    plan = sketches.with_next(spark.read.parquet(str(tmp_path / "documents.parquet")))._jdf.queryExecution().analyzed().toString()
+    assert "explode" in plan and "array_repeat" not in plan
+
+
 def test_merged_sketch_is_that_of_the_union(spark):
     a, b = "a b c d e f g h i j k l m n o p", "x y z a b c d e f g u v w"
     row = spark.createDataFrame([(a, b)], "a string, b string").select(*[sketches.sketch(F.col(c), scale=s).alias(f"{c}{s}") for c in "ab" for s in (2, 64)])
