@@ -13,11 +13,13 @@ pairs; ``components`` joins the forests.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,11 @@ from convlake.llm.common import components, perhaps_among, staged, unused
 FAN = 16  # children of a tree node, codes of a leaf
 QUERIES = 128  # codes searched at a time, which bounds the memory of a search
 SHINGLES = 1 << 16  # shingles of a text whose bits are counted at a time
+AGREE = 3  # bands that two codes within the radius agree in, of radius + AGREE
+MANY = 256  # codes of a group that are all compared
+PAIRS = 1 << 20  # held until they are united
+BLOCK = 1 << 14  # codes compared with QUERIES others at a time
+DEALT = 1 << 17  # nodes whose codes are dealt at a time
 NODE_BYTES = 1024  # counted for a text besides its bytes, which bounds the texts of a chunk
 
 
@@ -216,48 +223,152 @@ def independent_fingerprints(h: np.ndarray, count: int) -> list[int]:
     return out or [0] * count
 
 
-def near_pairs(codes: np.ndarray, others: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of near pairs among codes, or between codes and others: so many that they join what all of them join."""
-    index = GrayIndex(codes)
-    if others is None:
-        found = ((index.order[q], index.order[at]) for q, at in index.search(index.codes, radius, later=True))
-    else:
-        found = ((q + len(codes), index.order[at]) for q, at in index.search(others, radius))
-    root = np.arange(len(codes) + (0 if others is None else len(others)))
-    for a, b in found:
-        root = _unite(root, a, b)
+def bands(count: int) -> list[tuple[int, int]]:
+    """(shift, width) of ``count`` runs of a code's bits, from the highest on, the wider ones first."""
+    out, at = [], 64
+    for k in range(count):
+        width = 64 // count + (k < 64 % count)
+        at -= width
+        out.append((at, width))
+    return out
+
+
+def _near_in_groups(codes: np.ndarray, key: np.ndarray, radius: int, late: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of pairs within ``radius`` bits, all that join codes of equal ``key`` among them.
+
+    In the order of the keys each code is compared with the next one, with the one after it, and so on: as many
+    steps as the largest group has rows. Groups beyond MANY are searched from code to code instead.
+    """
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(np.append(starts, len(order)))
+    for at, n in zip(starts[sizes > MANY], sizes[sizes > MANY]):
+        yield from _near_from(codes, order[at : at + n], radius, late)
+    order = order[np.repeat((sizes > 1) & (sizes <= MANY), sizes)]
+    ordered = codes[order]
+    differ, bits = np.empty(len(order), np.uint64), np.empty(len(order), np.uint8)
+    for step in range(1, sizes.max(where=sizes <= MANY, initial=1)):
+        n = len(order) - step
+        np.bitwise_xor(ordered[step:], ordered[:n], out=differ[:n])
+        np.bitwise_count(differ[:n], out=bits[:n])
+        found = np.flatnonzero(bits[:n] <= radius)
+        if late is not None:
+            found = found[late[order[found]] != late[order[found + step]]]
+        if len(found):
+            yield order[found], order[found + step]
+
+
+def _near_from(codes: np.ndarray, left: np.ndarray, radius: int, late: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forest of the near pairs among the codes at ``left``: what has been reached is not compared again."""
+    reached = left[:0]
+    while len(left):
+        if not len(reached):
+            reached, left = left[:1], left[1:]
+        asked, reached = reached[:QUERIES], reached[QUERIES:]
+        first = np.full(len(left), -1)
+        for k in range(0, len(left), BLOCK):
+            part = left[k : k + BLOCK]
+            near = np.bitwise_count(codes[asked][:, None] ^ codes[part]) <= radius
+            if late is not None:
+                near &= late[asked][:, None] != late[part]
+            first[k : k + BLOCK] = np.where(near.any(axis=0), near.argmax(axis=0), -1)
+        found = first >= 0
+        yield asked[first[found]], left[found]
+        reached, left = np.concatenate([reached, left[found]]), left[~found]
+
+
+def near_pairs(codes: np.ndarray, others: np.ndarray | None, radius: int, band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of near pairs among codes, or between codes and others: so many that they join what all of them join.
+
+    Of ``radius + AGREE`` bands, two codes within the radius agree in AGREE at least. Each choice of so many bands makes
+    groups of codes that agree, whose members are compared. band: all codes agree in it, and pairs that agree in one before it
+    are left to that one, so the others are behind it.
+    """
+    every = codes if others is None else np.concatenate([codes, others])
+    late = None if others is None else np.arange(len(every)) >= len(codes)
+    cut = bands(radius + AGREE)
+    values = [(every >> np.uint64(shift)) & np.uint64((1 << width) - 1) for shift, width in cut]
+    root, held, many = np.arange(len(every)), [], 0
+    for chosen in itertools.combinations(range(len(cut)), AGREE) if band is None else itertools.combinations(range(band + 1, len(cut)), AGREE - 1):
+        key, width = values[chosen[0]], sum(cut[k][1] for k in chosen)
+        for k in chosen[1:]:
+            key = key << np.uint64(cut[k][1]) | values[k]
+        for pair in _near_in_groups(every, key.astype(np.uint16) if width <= 16 else key, radius, late):
+            held.append(pair)
+            many += len(pair[0])
+            if many > PAIRS:
+                root, held, many = _unite(root, *map(np.concatenate, zip(*held))), [], 0
+    if held:
+        root = _unite(root, *map(np.concatenate, zip(*held)))
     moved = np.flatnonzero(root != np.arange(len(root)))
     return moved, root[moved]
 
 
-def candidates(nodes: DataFrame, prints: int, radius: int, bucket_rows: int = 2048, chunk_rows: int = 32768) -> DataFrame:
-    """Pairs (a < b) of nodes (node, codes) that join all nodes which are near in any of their fingerprints. Dealt as in ``links``."""
+def _sorted_buckets(codes: np.ndarray, cut: list[tuple[int, int]], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each column of codes and each band: its number, an order by the band's first ``bits``, and the keys there with their rows."""
+    for which in range(codes.shape[1]):
+        for k, (shift, width) in enumerate(cut):
+            held = min(bits, width)
+            key = ((codes[:, which] >> np.uint64(shift + width - held)) & np.uint64((1 << held) - 1)).astype(np.uint16)
+            rows = np.bincount(key, minlength=1)
+            found = np.flatnonzero(rows)
+            yield which * len(cut) + k, np.argsort(key, kind="stable"), found, rows[found]
+
+
+def candidates(nodes: DataFrame, prints: int, radius: int, bucket_rows: int = 8192, chunk_rows: int = 1 << 18) -> DataFrame:
+    """Pairs (a < b) of nodes (node, codes) that join all nodes which are near in any of their fingerprints.
+
+    Each fingerprint is dealt by the bits of its first bands, as many as can be the first that two near ones agree in
+    (see ``near_pairs``). A bucket beyond ``chunk_rows`` is cut into chunks by hash, and each pair of chunks is searched.
+    Nodes and codes travel in blocks, the part of a bucket that comes from DEALT nodes.
+    """
     n = nodes.count()
-    bands = radius + 1
-    wide = 64 // bands
-    bits = min(wide, max(0, math.ceil(math.log2(max(n, 1) / bucket_rows))))
-    shifts = [64 - wide * k - bits for k in range(bands)] if bits else [0]
-    keys = []
-    for which in range(prints):
-        code = F.col("codes")[which]
-        keys += [F.struct(F.lit(which * bands + k).alias("band"), code.alias("code"), (F.shiftrightunsigned(code, s) if bits else F.lit(0)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("key")) for k, s in enumerate(shifts)]
-    dealt = nodes.select("node", F.explode(F.array(*keys)).alias("_")).select("node", "_.*")
-    # at most prints * (radius + 1) * 2^(64 / (radius + 1)) buckets
-    counts = dealt.groupBy("band", "key").agg(F.ceil(F.count("*") / float(chunk_rows)).cast("int").alias("chunks"))
-    cut = dealt.join(counts, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("lo"), F.greatest(c, "chunk").alias("hi"))))
-    tiles = cut.withColumn("_", pair).select("node", "code", "band", "key", "chunk", "_.lo", "_.hi")
+    cut = bands(radius + AGREE)[: radius + 1]
+    bits = max(0, math.ceil(math.log2(max(n, 1) / bucket_rows)))
+    kinds = {"band": pa.int32(), "key": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "late": pa.bool_(), "block": pa.binary()}
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if held and (batch is None or sum(map(len, held)) >= DEALT):
+                codes = np.concatenate([x.column("codes").flatten().to_numpy() for x in held]).view(np.uint64)
+                yield np.concatenate([x.column("node").to_numpy() for x in held]), codes.reshape(-1, prints)
+                held = []
+            if batch is not None and len(batch):
+                held.append(batch)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, codes in gathered(batches):
+            for band, _, key, rows in _sorted_buckets(codes, cut, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), band), pa.int32()), pa.array(key, pa.int32()), pa.array(rows, pa.int64())], ["band", "key", "rows"])
+
+    # at most prints * (radius + 1) * 2^(width of a band) buckets
+    sizes = nodes.mapInArrow(counted, "band int, key int, rows long").groupBy("band", "key").agg(F.sum("rows").alias("rows"))
+    chunks = {(r.band, r.key): -(-r.rows // chunk_rows) for r in sizes.where(F.col("rows") > chunk_rows).collect()}
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, codes in gathered(batches):
+            for band, order, keys, rows in _sorted_buckets(codes, cut, bits):
+                pairs = np.stack([node[order], codes[order, band // len(cut)].view(np.int64)], axis=1)
+                out = []
+                for key, part in zip(keys.tolist(), np.split(pairs, np.cumsum(rows)[:-1])):
+                    m = chunks.get((band, key), 1)
+                    chunk = words_of.mix(part[:, 0].view(np.uint64)) % np.uint64(m)
+                    for c in range(m):
+                        block = (part if m == 1 else part[chunk == c]).tobytes()
+                        out += [(band, key, min(c, d), max(c, d), c > d, block) for d in range(m)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds.values())], list(kinds))
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key[2], key[3]
-        # in one order whatever the order of arrival, and those of the first chunk before the others
-        rows = rows.sort_values("node") if lo == hi else rows.assign(late=rows["chunk"] != lo).sort_values(["late", "node"])
-        codes = rows["code"].to_numpy().astype(np.int64).view(np.uint64)
-        ahead = len(rows) if lo == hi else int((~rows["late"]).sum())
-        a, b = near_pairs(codes[:ahead], None if lo == hi else codes[ahead:], radius)
-        node = rows["node"].to_numpy()
+        first, behind = (np.frombuffer(b"".join(rows["block"][rows["late"] == late]), np.int64).reshape(-1, 2) for late in (False, True))
+        first, behind = (x[np.argsort(x[:, 0])] for x in (first, behind))  # one order whatever that of arrival
+        code = lambda x: np.ascontiguousarray(x[:, 1]).view(np.uint64)
+        a, b = near_pairs(code(first), code(behind) if key[2] != key[3] else None, radius, key[0] % len(cut))
+        node = np.concatenate([first[:, 0], behind[:, 0]])
         return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
+    tiles = nodes.mapInArrow(dealt, "band int, key int, lo int, hi int, late boolean, block binary")
     return tiles.groupBy("band", "key", "lo", "hi").applyInPandas(solve, "a long, b long").distinct()
 
 

@@ -228,3 +228,37 @@ def test_rows_perhaps_among_keys(spark):
         keys = common.staged(rows.where(F.col("id") < wanted))
         found = {r.id for r in common.perhaps_among(rows, F.col("k"), keys.select("k"), "k").collect()}
         assert set(range(wanted)) <= found and len(found) <= wanted + 200000 // 16
+
+
+def test_near_pairs_without_comparing_all(monkeypatch):
+    """Codes that are not near are hardly compared, so a bucket's work does not follow the square of its codes."""
+    rng = np.random.default_rng(11)
+    codes = rng.integers(0, 1 << 64, 12000, dtype=np.uint64)
+    copied = codes[:300].copy()
+    for _ in range(8):
+        copied ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    codes = np.concatenate([codes, copied])
+    count, compared = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x, **kw: compared.append(x.size) or count(x, **kw))
+    a, b = simhash.near_pairs(codes, None, 8)
+    found = {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
+    assert {(i, 12000 + i) for i in range(300)} <= found and len(found) < 310
+    assert sum(compared) < len(codes) ** 2 / 20
+
+
+def test_large_groups_and_chunks_of_candidates(spark):
+    """Groups beyond the rows that are all compared, buckets by some bits and chunks join what all pairs join."""
+    rng = np.random.default_rng(12)
+    codes = rng.integers(0, 1 << 64, (900, 2), dtype=np.uint64)
+    for which, size in ((0, 400), (1, 300)):  # chains and dense groups in one of two fingerprints
+        for i in range(size):
+            step = np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, 1 + i % 5, dtype=np.uint64))
+            codes[which * 450 + i, which] = codes[which * 450 + (0 if i % 3 else max(0, i - 1)), which] ^ (step if i else np.uint64(0))
+    near = (np.bitwise_count(codes[:, None] ^ codes[None]) <= 8).any(axis=2)
+    want = plain_roots(900, np.argwhere(np.triu(near, 1)).tolist())
+    assert 2 < len(set(want)) < 700
+    rows = [(i, c.tolist()) for i, c in enumerate(codes.view(np.int64))]
+    nodes = common.staged(spark.createDataFrame(rows, "node long, codes array<long>"))
+    for sizes in ((8192, 1 << 18), (8192, 300), (20, 300)):
+        found = simhash.candidates(nodes, 2, 8, *sizes).collect()
+        assert plain_roots(900, [(r.a, r.b) for r in found]) == want, sizes
