@@ -60,3 +60,38 @@ def test_scores_beyond_64_bits_raise(spark, large):
     df = spark.createDataFrame([(0, [large]), (1, [large])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="does not fit 64 bits"):
         voronoi.top_k(df, F.col("vec_id") == 0).collect()
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 200, 1000])
+def test_highest_scores_and_ties(n):
+    rng = np.random.default_rng(n)
+    for scores in (rng.integers(-3, 3, (7, n)), rng.integers(-(1 << 23), 1 << 23, (7, n)).astype(np.float32), np.full((2, n), -(1 << 63))):
+        row, col, value = voronoi._highest(scores, 6)
+        want = [(i, j, int(s[j])) for i, s in enumerate(scores) for j in sorted(range(n), key=lambda j: (-int(s[j]), j))[:6]]
+        assert list(zip(row.tolist(), col.tolist(), value.tolist())) == want
+
+
+def shuffled(spark):
+    sc, none = spark.sparkContext, spark._jvm.java.util.ArrayList()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_vectors_move_once_per_tile_and_shard(spark, monkeypatch):
+    """Without clusters all groups need all vectors, which must not move once per group."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=64).astype(np.float32).tolist()) for k in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    was, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = voronoi.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(got) == 600 and shuffled(spark) - before < 6000 * 64 * 8
+    want = {(r.query_id, r["rank"]): (r.id, r.score) for r in got}
+    monkeypatch.setattr(voronoi, "TILE", 7)  # groups in several tiles, and many shards
+    monkeypatch.setattr(voronoi, "SHARD", 500)
+    monkeypatch.setattr(voronoi, "SCORES", 900)
+    assert {(r.query_id, r["rank"]): (r.id, r.score) for r in voronoi.top_k(df, F.col("vec_id") % 50 == 0).collect()} == want
