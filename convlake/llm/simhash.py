@@ -9,6 +9,8 @@ search carries the differences gathered on the way down and drops a node once th
 A bucket beyond ``chunk_rows`` is cut into chunks by hash, and each pair of chunks is searched, so
 one task never holds more than two chunks. A task returns a spanning forest of its links, never the
 pairs; ``components`` joins the forests.
+
+Larger radii, where such a tree drops little, are searched by groups that agree in AGREE bands (``near_pairs``).
 """
 
 from __future__ import annotations
